@@ -2,68 +2,119 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lurewatch import lexicon as L
+from lurewatch.functions.bind import let
+from lurewatch.functions.text import sentences
 
-_ANY = "(?iu)"
 REQUEST_RX = {name: L.request(noun) for name, noun in L.SECRET_NOUNS.items()}
 PRETEXT_RX = {name: L.whole(body) for name, body in L.PRETEXTS.items()}
 URGENCY_RX = L.whole(L.URGENCY_CUES)
 NEGATION_RX = L.whole(L.NEGATION_CUES)
-SIGNAL_ORDER = [*REQUEST_RX, *PRETEXT_RX, "URGENCY_MANIPULATION", "CREDENTIAL_REQUEST"]
+ANY_REQUEST_RX = "|".join(f"(?:{p})" for p in REQUEST_RX.values())
+
+# One of these words stands in every sentence that can raise the signal, so
+# everything else is skipped without running its pattern.
+_CUES = {
+    "MFA_CODE_REQUEST": ["verification", "authenticator", "mfa", "time"],
+    "OTP_REQUEST": ["otp"],
+    "PASSWORD_REQUEST": ["password"],
+    "API_KEY_REQUEST": ["api", "apikey"],
+    "SESSION_TOKEN_REQUEST": ["session"],
+    "AUTH_TOKEN_REQUEST": ["auth", "authentication"],
+    "SECRET_REQUEST": ["secret"],
+    "BANK_DETAIL_REQUEST": ["account", "ifsc", "card", "cvv"],
+    "PAYMENT_REQUEST": ["payment", "transfer"],
+    "IT_SUPPORT_PRETEXT": ["support", "operations", "team", "department", "helpdesk", "desk"],
+    "SECURITY_REVIEW_PRETEXT": ["review", "reconciliation", "comparison", "queue", "check"],
+    "ACCOUNT_LOCK_PRETEXT": ["account", "orphaned"],
+    "IMPERSONATION": ["from", "with", "behalf"],
+    "URGENCY_MANIPULATION": [
+        "urgent", "urgently", "immediately", "away", "possible", "asap", "closes", "closing", "later", "day", "deadline", "expir",
+    ],
+}
+CUE_WORDS = list(dict.fromkeys(w for words in _CUES.values() for w in words))
+_ODD_CASE = "[ſıİK]"  # letters equal to ASCII ones when case is ignored
+
+
+def with_special_cues(cues: Column, lower_text: Column) -> Column:
+    """Add the one cue that is a word stem; texts with odd letters keep every cue."""
+    stem = F.when(F.contains(lower_text, F.lit("expir")), F.array(F.lit("expir"))).otherwise(F.array().cast("array<string>"))
+    return F.when(lower_text.rlike(_ODD_CASE), F.lit(CUE_WORDS)).otherwise(F.array_union(cues, stem))
+
+
+def _fold(sentence: Column) -> Column:
+    return F.lower(F.translate(sentence, "ſıİK", "siik"))
 
 
 def is_negated(sentence: Column) -> Column:
-    return sentence.rlike(_ANY + NEGATION_RX)
+    return _fold(sentence).rlike(NEGATION_RX)
 
 
 def is_request(sentence: Column, signal: str) -> Column:
-    return sentence.rlike(_ANY + REQUEST_RX[signal])
+    return _has_cue(_fold(sentence), signal) & _fold(sentence).rlike(REQUEST_RX[signal])
 
 
-def _first(sentences: Column, test) -> Column:
-    return F.try_element_at(F.filter(sentences, test), F.lit(1))
+def is_cue(sentence: Column, signal: str) -> Column:
+    """Pretext or urgency test of one sentence."""
+    pattern = PRETEXT_RX.get(signal, URGENCY_RX)
+    return _has_cue(_fold(sentence), signal) & _fold(sentence).rlike(pattern)
 
 
-def detect(text: Column, sentences: Column) -> Column:
-    """map<signal type, first sentence that triggers it>; absent types are left out.
+def _has_cue(folded: Column, signal: str) -> Column:
+    return reduce(or_, [F.contains(folded, F.lit(w)) for w in _CUES[signal]])
 
-    ``sentences`` is ``text.sentences(text)``.  A cheap look for the noun in the
-    whole text skips the sentence scan of almost every message.
-    """
-    def request_test(name: str):
-        return lambda s: is_request(s, name) & ~is_negated(s)
 
-    def cue_test(pattern: str):
-        return lambda s: s.rlike(_ANY + pattern)
+def _candidates(text: Column, cues: Column) -> Column:
+    """array<struct<raw, folded>> of the sentences that hold some cue."""
+    pairs = F.transform(sentences(text), lambda s: F.struct(s.alias("raw"), _fold(s).alias("folded")))
+    return F.filter(pairs, lambda p: F.exists(cues, lambda c: F.contains(p["folded"], c)))
+
+
+def _first(candidates: Column, cues: Column, signal: str) -> Column:
+    pattern = REQUEST_RX.get(signal) or PRETEXT_RX.get(signal, URGENCY_RX)
+
+    def test(p: Column) -> Column:
+        hit = _has_cue(p["folded"], signal) & p["folded"].rlike(pattern)
+        return hit & ~p["folded"].rlike(NEGATION_RX) if signal in REQUEST_RX else hit
+
+    found = F.try_element_at(F.filter(candidates, test), F.lit(1))["raw"]
+    return F.when(F.arrays_overlap(cues, F.lit(_CUES[signal])), found)
+
 
-    entries = []
-    for name in REQUEST_RX:
-        gate = text.rlike(_ANY + L.rx(L.SECRET_NOUNS[name]))
-        entries.append((name, F.when(gate, _first(sentences, request_test(name)))))
-    for name, pattern in [*PRETEXT_RX.items(), ("URGENCY_MANIPULATION", URGENCY_RX)]:
-        gate = text.rlike(_ANY + pattern)
-        entries.append((name, F.when(gate, _first(sentences, cue_test(pattern)))))
-    listed = F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in entries])
-    return F.map_from_entries(F.filter(listed, lambda e: e["value"].isNotNull()))
+def detect(text: Column, cues: Column) -> Column:
+    """struct(signals map<type, first triggering sentence>, negated_request).
+
+    ``cues`` comes from ``keywords.scan``; without any the text is not split.
+    The umbrella credential request is added when a member type is present.
+    """
+    def build(found: Column) -> Column:
+        entries = F.array(*[F.struct(F.lit(n).alias("key"), _first(found, cues, n).alias("value")) for n in _CUES])
+        signals = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+        return let(signals, lambda s: F.struct(with_umbrella(s).alias("signals"), negated_request(found).alias("negated_request")))
+
+    nothing = F.struct(
+        F.create_map().cast("map<string,string>").alias("signals"), F.lit(False).alias("negated_request")
+    )
+    return F.when(F.size(cues) == 0, nothing).otherwise(let(_candidates(text, cues), build))
 
 
 def with_umbrella(signals: Column) -> Column:
-    """Add the generic credential request implied by any of its member types."""
     evidence = F.coalesce(*[F.try_element_at(signals, F.lit(t)) for t in L.UMBRELLA_MEMBERS])
     return F.when(
         evidence.isNotNull(), F.map_concat(signals, F.create_map(F.lit("CREDENTIAL_REQUEST"), evidence))
     ).otherwise(signals)
 
 
-def severity(signal: Column) -> Column:
-    high = [*REQUEST_RX, "CREDENTIAL_REQUEST"]
-    return F.when(signal.isin(high), F.lit("high")).otherwise(F.lit("medium"))
+def negated_request(candidates: Column) -> Column:
+    """Some sentence is at once a request shape and negated: a warning."""
+    return F.exists(candidates, lambda p: p["folded"].rlike(NEGATION_RX) & p["folded"].rlike(ANY_REQUEST_RX))
 
 
-def has_negated_request(sentences: Column) -> Column:
-    """Some sentence is at once a request shape and negated: a warning."""
-    anything = _ANY + "|".join(f"(?:{p})" for p in REQUEST_RX.values())
-    return F.exists(sentences, lambda s: s.rlike(_ANY + NEGATION_RX) & s.rlike(anything))
+def severity(signal: Column) -> Column:
+    return F.when(signal.isin([*REQUEST_RX, "CREDENTIAL_REQUEST"]), F.lit("high")).otherwise(F.lit("medium"))

@@ -16,33 +16,39 @@ _URL = "(?i)" + L.URL_IN_TEXT.replace("{s}", L.SPACE).replace("{{", "{").replace
 _PREFIX = r"^(?:\+91|91|0)"
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+def _all(text: Column, pattern: str, gate: Column) -> Column:
+    """All matches; ``gate`` is a cheap test every matching text passes."""
+    none = F.array().cast("array<string>")
+    return F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
+
+
+def _digits(text: Column) -> Column:
+    return text.rlike(r"\p{Nd}{9}")
 
 
 def upi_ids(text: Column) -> Column:
     """Payment handles in lower case; addresses at mail domains are left out."""
-    found = F.transform(_all(text, _UPI), F.lower)
+    found = F.transform(_all(text, _UPI, F.contains(text, F.lit("@"))), F.lower)
     mail = "@.*(?:" + "|".join(L.MAIL_DOMAINS) + ")"
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: ~x.rlike(mail))))
 
 
 def phone_numbers(text: Column) -> Column:
-    bare = F.transform(_all(text, L.PHONE), lambda x: F.regexp_replace(x, _PREFIX, ""))
+    bare = F.transform(_all(text, L.PHONE, _digits(text)), lambda x: F.regexp_replace(x, _PREFIX, ""))
     return F.array_sort(F.array_distinct(F.filter(bare, lambda x: (F.length(x) == 10) & x.rlike("^[6-9]"))))
 
 
 def bank_accounts(text: Column) -> Column:
-    runs = _all(text, _ACCOUNT)
+    runs = _all(text, _ACCOUNT, _digits(text))
     return F.array_sort(F.array_distinct(F.filter(runs, lambda x: ~((F.length(x) == 10) & x.rlike("^[6-9]")))))
 
 
 def suspicious_links(text: Column) -> Column:
     risky = F.filter(
-        _all(text, _URL),
+        _all(text, _URL, F.contains(text, F.lit("://"))),
         lambda u: u.rlike(L.LINK_IP) | u.rlike("(?i)" + L.LINK_LURES) | u.rlike("(?i)" + L.LINK_TLDS) | F.contains(u, F.lit("@")),
     )
-    return F.array_sort(F.array_union(_all(text, "(?i)" + L.SHORT_LINK), risky))
+    return F.array_sort(F.array_union(_all(text, "(?i)" + L.SHORT_LINK, F.contains(text, F.lit("/"))), risky))
 
 
 # -- validators: struct(valid, confidence, reason) ---------------------------

@@ -1,9 +1,10 @@
 """Whole-word keyword matching over the lexicon.
 
 A keyword made only of word characters matches exactly when it is one of the
-text's maximal word runs, so those are found by intersecting two arrays.  The
-few entries holding a blank or punctuation are looked up as substrings and
-confirmed by a bounded pattern.
+text's maximal word runs, so those are found by one hash intersection of the
+text's words with the lexicon.  The entries holding a blank or punctuation are
+looked up as substrings, only when their first word is there, and confirmed by
+a bounded pattern.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lurewatch import lexicon as L
+from lurewatch.functions.behaviour import CUE_WORDS, with_special_cues
+from lurewatch.functions.bind import let
 
 _SINGLE = re.compile(r"^\w+$")
 LEXICON = list(dict.fromkeys(
@@ -22,6 +25,8 @@ LEXICON = list(dict.fromkeys(
 ))
 _WORDS = [kw for kw in LEXICON if _SINGLE.match(kw)]
 _PHRASES = [kw for kw in LEXICON if not _SINGLE.match(kw)]
+_HEADS = [(re.findall(r"\w+", kw) or [""])[0] for kw in _PHRASES]
+_WANTED = list(dict.fromkeys([*_WORDS, *[h for h in _HEADS if h], *CUE_WORDS]))
 
 
 def contains_word(lower_text: Column, keyword: str) -> Column:
@@ -29,22 +34,45 @@ def contains_word(lower_text: Column, keyword: str) -> Column:
     return F.contains(lower_text, F.lit(keyword)) & lower_text.rlike(L.keyword_pattern(keyword))
 
 
-def word_set(lower_text: Column) -> Column:
-    return F.array_distinct(F.split(lower_text, f"[^{L.WORD}]+"))
+def _phrase_hits(lower_text: Column, present: Column) -> Column:
+    head, tail = rf"(?:^|[^{L.WORD}])\Q", rf"\E(?:\z|[^{L.WORD}])"
+    entries = F.arrays_zip(F.lit(_HEADS).alias("head"), F.lit(_PHRASES).alias("phrase"))
+    likely = F.filter(
+        entries,
+        lambda e: ((e["head"] == "") | F.array_contains(present, e["head"])) & F.contains(lower_text, e["phrase"]),
+    )
+    return F.filter(
+        F.transform(likely, lambda e: e["phrase"]),
+        lambda kw: F.rlike(lower_text, F.concat(F.lit(head), kw, F.lit(tail))),
+    )
 
 
-def lexicon_hits(lower_text: Column, words: Column) -> Column:
-    """Every lexicon entry present, each once; ``words`` is ``word_set(lower_text)``."""
-    head, tail = rf"(?:^|[^{L.WORD}])\Q", rf"\E(?:\z|[^{L.WORD}])"
-    phrases = F.filter(
-        F.lit(_PHRASES),
-        lambda kw: F.contains(lower_text, kw) & F.rlike(lower_text, F.concat(F.lit(head), kw, F.lit(tail))),
+def scan(text: Column) -> Column:
+    """struct(hits, cues, categories, risk_score, category_names) in one pass.
+
+    ``hits`` are the lexicon entries present, ``cues`` the words that can
+    start a behavioural signal.
+    """
+    def finish(hits: Column, cues: Column) -> Column:
+        return let(category_scores(hits), lambda cats: F.struct(
+            hits.alias("hits"), cues.alias("cues"), cats.alias("categories"), risk_score(cats).alias("risk_score"),
+            F.transform(cats, lambda c: c["category"]).alias("category_names"),
+        ))
+
+    def look(low: Column, present: Column) -> Column:
+        hits = F.concat(F.array_intersect(F.lit(_WORDS), present), _phrase_hits(low, present))
+        return let(hits, lambda h: finish(h, with_special_cues(F.array_intersect(F.lit(CUE_WORDS), present), low)))
+
+    return let(
+        F.lower(text),
+        lambda low: let(
+            F.array_intersect(F.lit(_WANTED), F.split(low, f"[^{L.WORD}]+")), lambda present: look(low, present)
+        ),
     )
-    return F.concat(F.array_intersect(F.lit(_WORDS), words), phrases)
 
 
 def category_hits(hits: Column, category: str) -> Column:
-    """Keywords of one risk category among ``lexicon_hits``, in lexicon order."""
+    """Keywords of one risk category among the hits, in lexicon order."""
     return F.array_intersect(F.lit(L.RISK_CATEGORIES[category][1]), hits)
 
 

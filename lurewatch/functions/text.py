@@ -53,7 +53,7 @@ def collapse_space(text: Column) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Python-style ``strip``: Unicode white space off both ends."""
-    return F.regexp_replace(text, rf"\A[{_SP}]+|(?<![{_SP}])[{_SP}]+\z", "")
+    return F.btrim(text, F.lit(L.SPACE_CHARS))
 
 
 def normalize(text: Column, max_chars: int | None = L.LIMITS["text_chars"], fold_unicode: bool = True) -> Column:

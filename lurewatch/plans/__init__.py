@@ -1,0 +1,4 @@
+"""Registered queries: importing this package fills ``REGISTRY``."""
+
+from lurewatch.plans.registry import REGISTRY  # noqa: F401
+from lurewatch.plans import text_queries, detection_queries  # noqa: F401, E402
