@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lurewatch import lexicon as L
+from lurewatch.functions.bind import let
 from lurewatch.functions.text import strip_space, word_count
 
 
@@ -59,15 +60,20 @@ def _count_any(text: Column, words: list[str]) -> Column:
 
 def behaviour_profile(text: Column) -> Column:
     """struct(aggression, patience, sophistication); plain substring tests."""
-    low = F.lower(text)
-    aggression = _count_any(low, L.AGGRESSION_WORDS)
-    shouting = (F.upper(text) == text) & (low != text)
-    high_low = lambda c: F.when(c, "HIGH").otherwise("LOW")
-    return F.struct(
-        high_low((aggression >= 1) | shouting).alias("aggression"),
-        high_low(_count_any(low, L.FRUSTRATION_WORDS) == 0).alias("patience"),
-        high_low((word_count(text) > 20) & (aggression == 0)).alias("sophistication"),
-    )
+    def high_low(cond: Column) -> Column:
+        return F.when(cond, "HIGH").otherwise("LOW")
+
+    def judge(p: Column) -> Column:
+        shouting = (F.upper(text) == text) & (p["low"] != text)
+        return F.struct(
+            high_low((p["aggression"] >= 1) | shouting).alias("aggression"),
+            high_low(_count_any(p["low"], L.FRUSTRATION_WORDS) == 0).alias("patience"),
+            high_low((p["aggression"] == 0) & (word_count(text) > 20)).alias("sophistication"),
+        )
+
+    return let(F.lower(text), lambda low: let(
+        F.struct(low.alias("low"), _count_any(low, L.AGGRESSION_WORDS).alias("aggression")), judge
+    ))
 
 
 def new_information(text: Column) -> Column:

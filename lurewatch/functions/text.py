@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from lurewatch import lexicon as L
+from lurewatch.functions.bind import let
 
 _SP = L.SPACE
 
@@ -131,5 +132,4 @@ def escape_markdown(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    stripped = strip_space(text)
-    return F.when(stripped == "", F.lit(0)).otherwise(F.size(F.split(stripped, f"[{_SP}]+")))
+    return let(strip_space(text), lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{_SP}]+"))))

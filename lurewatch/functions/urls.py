@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lurewatch import lexicon as L
+from lurewatch.functions.bind import let
 
 _SP = L.SPACE
 _W = L.WORD
@@ -70,18 +71,26 @@ def host_of(url: Column) -> Column:
 
 def canonicalize(url: Column) -> Column:
     """Scheme and host in lower case, default port, user info and fragment dropped."""
-    full = with_scheme(trim_punctuation(F.trim(refang(url))))
-    scheme, host = scheme_of(full), host_of(full)
-    port = F.regexp_extract(_host_port(full), r":([0-9]+)$", 1).try_cast("int")
-    default = ((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443))
-    netloc = F.when(port.isNotNull() & (port != 0) & ~default, F.concat(host, F.lit(":"), port.cast("string"))).otherwise(host)
-    path = F.regexp_extract(full, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    query = F.regexp_extract(full, r"^[^?#]*\?([^#]*)", 1)
-    return F.concat(
-        scheme, F.lit("://"), netloc,
-        F.when(path == "", F.lit("/")).otherwise(path),
-        F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
-    )
+    def parts(full: Column) -> Column:
+        return F.struct(
+            scheme_of(full).alias("scheme"), host_of(full).alias("host"),
+            F.regexp_extract(_host_port(full), r":([0-9]+)$", 1).try_cast("int").alias("port"),
+            F.regexp_extract(full, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1).alias("path"),
+            F.regexp_extract(full, r"^[^?#]*\?([^#]*)", 1).alias("query"),
+        )
+
+    def join(p: Column) -> Column:
+        port = p["port"]
+        default = ((p["scheme"] == "http") & (port == 80)) | ((p["scheme"] == "https") & (port == 443))
+        shown = port.isNotNull() & (port != 0) & ~default
+        return F.concat(
+            p["scheme"], F.lit("://"), p["host"], F.when(shown, F.concat(F.lit(":"), port.cast("string"))).otherwise(""),
+            F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]),
+            F.when(p["query"] == "", F.lit("")).otherwise(F.concat(F.lit("?"), p["query"])),
+        )
+
+    clean = trim_punctuation(F.trim(refang(url)))
+    return let(let(clean, with_scheme), lambda full: let(parts(full), join))
 
 
 def is_ip_literal(host: Column) -> Column:
@@ -89,8 +98,8 @@ def is_ip_literal(host: Column) -> Column:
 
 
 def _plausible(candidate: Column) -> Column:
-    host = host_of(with_scheme(refang(candidate)))
-    return host.rlike("(?i)" + DOTTED_HOST) | is_ip_literal(host)
+    host = let(let(refang(candidate), with_scheme), host_of)
+    return let(host, lambda h: h.rlike("(?i)" + DOTTED_HOST) | is_ip_literal(h))
 
 
 def extract_urls(text: Column, limit: int | None = L.LIMITS["urls"]) -> Column:
@@ -108,10 +117,9 @@ def merge_candidates(request_urls: Column, text_urls: Column, limit: int | None
 
 def observe(raw: Column) -> Column:
     """struct(raw, normalized, host, was_defanged)"""
-    normalized = canonicalize(raw)
-    return F.struct(
-        raw.alias("raw"), normalized.alias("normalized"), host_of(normalized).alias("host"), (refang(raw) != raw).alias("was_defanged")
-    )
+    return let(canonicalize(raw), lambda n: F.struct(
+        raw.alias("raw"), n.alias("normalized"), host_of(n).alias("host"), (refang(raw) != raw).alias("was_defanged")
+    ))
 
 
 def _ipv4_number(host: Column) -> Column:
@@ -129,22 +137,22 @@ def _range(number: Column, low: str, high: str) -> Column:
 
 def address_category(host: Column) -> Column:
     """null for a public literal (or a name), else the reason it is refused."""
-    n = _ipv4_number(host)
-    v4 = (
-        F.when(_range(n, "127.0.0.0", "127.255.255.255"), "loopback")
-        .when(_range(n, "169.254.0.0", "169.254.255.255"), "link-local")
-        .when(_range(n, "224.0.0.0", "239.255.255.255"), "multicast")
-        .when(n == 0, "reserved")
-        .when(_range(n, "192.0.0.9", "192.0.0.10"), F.lit(None))
-        .when(
-            _range(n, "0.0.0.0", "0.255.255.255") | _range(n, "10.0.0.0", "10.255.255.255")
-            | _range(n, "172.16.0.0", "172.31.255.255") | _range(n, "192.168.0.0", "192.168.255.255")
-            | _range(n, "192.0.0.0", "192.0.0.255") | _range(n, "192.0.2.0", "192.0.2.255")
-            | _range(n, "198.18.0.0", "198.19.255.255") | _range(n, "198.51.100.0", "198.51.100.255")
-            | _range(n, "203.0.113.0", "203.0.113.255") | _range(n, "240.0.0.0", "255.255.255.255"),
-            "private",
+    def v4(n: Column) -> Column:
+        return (
+            F.when(_range(n, "127.0.0.0", "127.255.255.255"), "loopback")
+            .when(_range(n, "169.254.0.0", "169.254.255.255"), "link-local")
+            .when(_range(n, "224.0.0.0", "239.255.255.255"), "multicast")
+            .when(n == 0, "reserved")
+            .when(_range(n, "192.0.0.9", "192.0.0.10"), F.lit(None))
+            .when(
+                _range(n, "0.0.0.0", "0.255.255.255") | _range(n, "10.0.0.0", "10.255.255.255")
+                | _range(n, "172.16.0.0", "172.31.255.255") | _range(n, "192.168.0.0", "192.168.255.255")
+                | _range(n, "192.0.0.0", "192.0.0.255") | _range(n, "192.0.2.0", "192.0.2.255")
+                | _range(n, "198.18.0.0", "198.19.255.255") | _range(n, "198.51.100.0", "198.51.100.255")
+                | _range(n, "203.0.113.0", "203.0.113.255") | _range(n, "240.0.0.0", "255.255.255.255"),
+                "private",
+            )
         )
-    )
     v6 = (
         F.when(host.rlike(r"^(?:0{0,4}:){1,7}0{0,3}1$"), "loopback")
         .when(host.rlike(r"^fe[89ab][0-9a-f]:"), "link-local")
@@ -152,43 +160,49 @@ def address_category(host: Column) -> Column:
         .when(host.rlike(r"^[0:]+$"), "reserved")
         .when(host.rlike(r"^f[cd][0-9a-f]{2}:") | host.rlike(r"^2001:0?db8:"), "private")
     )
-    return F.when(host.rlike(IPV4), v4).when(host.rlike(IPV6), v6)
+    return F.when(host.rlike(IPV4), let(_ipv4_number(host), v4)).when(host.rlike(IPV6), v6)
 
 
 def block_reason(url: Column) -> Column:
     """null when the target may be contacted as far as a literal can tell."""
-    scheme, host = scheme_of(url), host_of(url)
-    category = address_category(host)
-    return (
-        F.when(~scheme.isin("http", "https"), F.concat(F.lit("unsupported scheme '"), scheme, F.lit("'")))
-        .when(host == "", F.lit("no host"))
-        .when(category.isNotNull(), F.concat(category, F.lit(" address "), host))
-    )
+    def judge(p: Column) -> Column:
+        return (
+            F.when(~p["scheme"].isin("http", "https"), F.concat(F.lit("unsupported scheme '"), p["scheme"], F.lit("'")))
+            .when(p["host"] == "", F.lit("no host"))
+            .otherwise(let(address_category(p["host"]), lambda c: F.when(c.isNotNull(), F.concat(c, F.lit(" address "), p["host"]))))
+        )
+
+    return let(F.struct(scheme_of(url).alias("scheme"), host_of(url).alias("host")), judge)
 
 
 def lexical_reasons(host: Column, was_defanged: Column) -> Column:
     """array<struct<points, reason>> of the red flags visible in the host name."""
-    host = F.lower(host)
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    tld = F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit(""))
-    joined = F.array_join(labels, "-")
-    head = F.when(F.size(labels) > 2, F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))).otherwise(labels)
-    brand = F.try_element_at(
-        F.filter(F.lit(L.WATCHED_BRANDS), lambda b: F.contains(joined, b) & ~F.array_contains(head, b)), F.lit(1)
-    )
-
     def flag(cond: Column, points: float, reason) -> Column:
         text = reason if isinstance(reason, Column) else F.lit(reason)
         return F.when(cond, F.struct(F.lit(points).alias("points"), text.alias("reason")))
 
-    return F.array_compact(F.array(
-        flag(is_ip_literal(host), 0.3, "ip_literal_host"),
-        flag(tld.isin(L.RISKY_TLDS), 0.25, F.concat(F.lit("suspicious_tld:."), tld)),
-        flag(host.isin(L.SHORTENERS), 0.15, "url_shortener"),
-        flag(F.size(labels) >= 4, 0.15, "excessive_subdomains"),
-        flag(brand.isNotNull(), 0.35, F.concat(F.lit("brand_lookalike:"), brand)),
-        flag(was_defanged, 0.1, "defanged_in_message"),
-    ))
+    def brand_of(labels: Column) -> Column:
+        """First watched brand inside the host whose own domain it is not."""
+        head = F.when(F.size(labels) > 2, F.slice(labels, F.lit(1), F.greatest(F.size(labels) - 2, F.lit(0)))).otherwise(labels)
+        joined = F.array_join(labels, "-")
+        hits = F.filter(F.lit(L.WATCHED_BRANDS), lambda b: F.contains(joined, b) & ~F.array_contains(head, b))
+        return F.try_element_at(hits, F.lit(1))
+
+    def judge(p: Column) -> Column:
+        return F.array_compact(F.array(
+            flag(is_ip_literal(p["host"]), 0.3, "ip_literal_host"),
+            flag(p["tld"].isin(L.RISKY_TLDS), 0.25, F.concat(F.lit("suspicious_tld:."), p["tld"])),
+            flag(p["host"].isin(L.SHORTENERS), 0.15, "url_shortener"),
+            flag(p["n"] >= 4, 0.15, "excessive_subdomains"),
+            flag(p["brand"].isNotNull(), 0.35, F.concat(F.lit("brand_lookalike:"), p["brand"])),
+            flag(was_defanged, 0.1, "defanged_in_message"),
+        ))
+
+    low = F.lower(host)
+    return let(F.filter(F.split(low, r"\."), lambda x: x != ""), lambda labels: let(F.struct(
+        low.alias("host"), F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit("")).alias("tld"),
+        F.size(labels).alias("n"), brand_of(labels).alias("brand"),
+    ), judge))
 
 
 def lexical_score(reasons: Column) -> Column:

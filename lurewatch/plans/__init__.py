@@ -1,4 +1,12 @@
 """Registered queries: importing this package fills ``REGISTRY``."""
 
 from lurewatch.plans.registry import REGISTRY  # noqa: F401
-from lurewatch.plans import text_queries, detection_queries  # noqa: F401, E402
+from lurewatch.plans import (  # noqa: F401, E402
+    detection_queries,
+    eval_queries,
+    intel_queries,
+    report_queries,
+    session_queries,
+    text_queries,
+    url_queries,
+)
