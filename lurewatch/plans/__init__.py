@@ -7,6 +7,8 @@ from lurewatch.plans import (  # noqa: F401, E402
     intel_queries,
     report_queries,
     session_queries,
+    store_queries,
+    stream_queries,
     text_queries,
     url_queries,
 )

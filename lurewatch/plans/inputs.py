@@ -69,8 +69,11 @@ def _pick(values: list[str], index) -> F.Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message per document: id, channel, sender, text, time."""
-    d = table(spark, sf_dir, "documents")
-    return d.select(
+    return messages_from(table(spark, sf_dir, "documents"))
+
+
+def messages_from(documents: DataFrame) -> DataFrame:
+    return documents.select(
         F.col("doc_id").alias("message_id"),
         _pick(PLATFORMS, F.col("doc_id")).alias("platform"),
         F.concat(F.lit("user_"), (F.col("doc_id") % 97).cast("string")).alias("user_id"),
@@ -90,8 +93,11 @@ MESSAGES_SQL = f"""messages AS (
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns; the assistant side plays the agent."""
-    c = table(spark, sf_dir, "conversations")
-    return c.select(
+    return turns_from(table(spark, sf_dir, "conversations"))
+
+
+def turns_from(conversations: DataFrame) -> DataFrame:
+    return conversations.select(
         F.col("conv_id").alias("session_id"),
         "turn",
         F.when(F.col("role") == "assistant", "agent").otherwise("scammer").alias("sender"),
@@ -110,8 +116,11 @@ _KIND_OF_EVENT = {"click": "url", "view": "domain", "purchase": "upi_id", "signu
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return occurrences_from(table(spark, sf_dir, "events"))
+
+
+def occurrences_from(e: DataFrame) -> DataFrame:
     """Indicator sightings: which investigation (user) met which value, when."""
-    e = table(spark, sf_dir, "events")
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in _KIND_OF_EVENT.items() for x in kv]), F.col("event_type"))
     k = F.get_json_object("props", "$.k")
     return e.select(
@@ -132,8 +141,11 @@ OCCURRENCES_SQL = """occurrences AS (
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sightings_from(table(spark, sf_dir, "events"))
+
+
+def sightings_from(e: DataFrame) -> DataFrame:
     """Domain sightings with a lexical score between 0 and 1."""
-    e = table(spark, sf_dir, "events")
     return e.select(
         F.concat(F.lit("site"), F.get_json_object("props", "$.k"), F.lit(".example")).alias("domain"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("lexical_score"),
