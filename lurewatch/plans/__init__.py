@@ -5,6 +5,7 @@ from lurewatch.plans import (  # noqa: F401, E402
     detection_queries,
     eval_queries,
     intel_queries,
+    learning_queries,
     report_queries,
     session_queries,
     store_queries,

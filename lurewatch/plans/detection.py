@@ -16,6 +16,9 @@ from lurewatch.functions import keywords as K
 from lurewatch.functions.bind import let
 
 
+PATTERN_MODEL = "pattern_rules.v1"
+
+
 def _attach(df: DataFrame, struct: Column) -> DataFrame:
     return df.withColumn("__s", struct).select("*", "__s.*").drop("__s")
 
