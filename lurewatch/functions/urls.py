@@ -158,9 +158,12 @@ def address_category(host: Column) -> Column:
         .when(host.rlike(r"^fe[89ab][0-9a-f]:"), "link-local")
         .when(host.rlike(r"^ff[0-9a-f]{2}:"), "multicast")
         .when(host.rlike(r"^[0:]+$"), "reserved")
-        .when(host.rlike(r"^f[cd][0-9a-f]{2}:") | host.rlike(r"^2001:0?db8:"), "private")
+        .when(host.rlike(r"^(?:f[cd][0-9a-f]{2}|2001:0?db8|2002|100:(?::|0:0:0:)|64:ff9b:0?0?0?1|3fff:0?[0-9a-f]{1,3}|2001:[01]?[0-9a-f]{1,2}):"), "private")
+        .when(~host.rlike(r"^(?:[23][0-9a-f]{3}|fe[c-f][0-9a-f]|64:ff9b):"), "reserved")
     )
-    return F.when(host.rlike(IPV4), let(_ipv4_number(host), v4)).when(host.rlike(IPV6), v6)
+    # An IPv4 address written inside IPv6 is judged as the IPv4 address.
+    plain = F.regexp_replace(host, r"^(?:0{0,4}:){1,5}(?::|0{1,4}:)?ffff:(?=[0-9]+\.)", "")
+    return let(plain, lambda h: F.when(h.rlike(IPV4), let(_ipv4_number(h), v4)).when(h.rlike(IPV6), v6))
 
 
 def block_reason(url: Column) -> Column:

@@ -13,6 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lurewatch import lexicon as L
 from lurewatch.functions import replies as R
@@ -182,7 +183,8 @@ def _earlier(spark: SparkSession, root: str, name: str, epoch: int, like: DataFr
     path = f"{root}/{name}"
     if not _exists(spark, path):
         return spark.createDataFrame([], like.schema)
-    return spark.read.schema(like.schema.add("epoch", "int")).parquet(path).filter(F.col("epoch") < epoch).drop("epoch")
+    schema = StructType([*like.schema.fields, StructField("epoch", IntegerType())])
+    return spark.read.schema(schema).parquet(path).filter(F.col("epoch") < epoch).drop("epoch")
 
 
 def correlate_batch(root: str) -> Callable[[DataFrame, int], None]:
@@ -253,7 +255,7 @@ def investigation_batch(root: str, investigate: Callable[[DataFrame], DataFrame]
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         ids = batch.select("investigation_id")
-        todo = M.unreported(batch.dropDuplicates(["investigation_id"]), _earlier(spark, root, "reports", epoch, investigate(batch)))
+        todo = M.unreported(batch.dropDuplicates(["investigation_id"]), _earlier(spark, root, "reports", epoch, ids))
         poison, good = todo.filter(~valid).select("investigation_id"), todo.filter(valid)
         failed, reason = poison, "request has no content"
         for attempt in range(1, MAX_TRIES + 1):
