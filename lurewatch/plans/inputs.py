@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.plans.registry import table
+from lurewatch.plans.registry import spread, table
 
 BANK = [
     "Congratulations! You have won 25 lakh in a lucky draw, pay the processing fee now to claim the prize.",
@@ -69,7 +69,7 @@ def _pick(values: list[str], index) -> F.Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One message per document: id, channel, sender, text, time."""
-    return messages_from(table(spark, sf_dir, "documents"))
+    return messages_from(spread(table(spark, sf_dir, "documents")))
 
 
 def messages_from(documents: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ MESSAGES_SQL = f"""messages AS (
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns; the assistant side plays the agent."""
-    return turns_from(table(spark, sf_dir, "conversations"))
+    return turns_from(spread(table(spark, sf_dir, "conversations")))
 
 
 def turns_from(conversations: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ _KIND_OF_EVENT = {"click": "url", "view": "domain", "purchase": "upi_id", "signu
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return occurrences_from(table(spark, sf_dir, "events"))
+    return occurrences_from(spread(table(spark, sf_dir, "events")))
 
 
 def occurrences_from(e: DataFrame) -> DataFrame:

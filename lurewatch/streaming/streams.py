@@ -46,15 +46,33 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
 # -- redelivery ---------------------------------------------------------------
 
 def first_deliveries(stream: DataFrame, keys: list[str], ttl_seconds: int = DEDUP_TTL) -> DataFrame:
-    """First delivery of every key; a key is remembered for at least the TTL."""
-    return stream.withWatermark("ts", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(keys)
+    """First delivery of every key; a key is remembered for at least the TTL.
+
+    Copies are thinned out before the shuffle, so a message delivered over and
+    over does not send all its copies to the one task that owns its key.
+    """
+    thin = combine_copies(stream, keys, ttl_seconds)
+    return thin.withWatermark("ts", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(keys)
+
+
+def combine_copies(stream: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
+    """Per Arrow batch, drop copies within the TTL of the batch's earliest copy of the key."""
+    def thin(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            first = pdf.groupby(keys, dropna=False)["ts"].transform("min")
+            late = (pdf["ts"] - first).dt.total_seconds() >= ttl_seconds
+            lead = ~pdf.sort_values("ts", kind="stable").duplicated(keys)
+            yield pdf[late | lead.reindex(pdf.index)]
+
+    return stream.mapInPandas(thin, stream.schema)
 
 
 def mark_deliveries(stream: DataFrame, keys: list[str], ttl_seconds: int = DEDUP_TTL) -> DataFrame:
     """Every delivery with ``is_duplicate``: within the TTL of the one that was let through.
 
-    The TTL does not slide: a repeat does not refresh it.  Copies carrying the
-    same time stamp are merged to a counter before the shuffle reaches a key.
+    The TTL does not slide: a repeat does not refresh it.  Every delivery is
+    answered, so a key's rows of one micro-batch meet in one task; the source's
+    file limit bounds them and the state is a single time stamp.
     """
     def mark(key: tuple, batches: Iterator, state: Any) -> Iterator:
         import pandas as pd
