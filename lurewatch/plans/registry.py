@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,12 +22,24 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        REGISTRY[name] = Query(fn, sql)
+        REGISTRY[name] = Query(_in_utc(fn), sql)
         return fn
 
     return register
 
 
+def _in_utc(fn):
+    """Stored times are UTC wall-clock times, so queries run in that session zone."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
