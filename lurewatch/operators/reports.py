@@ -54,9 +54,14 @@ def findings_of(text: Column) -> Column:
     return F.transform(U.extract_urls(text), one)
 
 
-def entity_list(intel: Column) -> Column:
-    """Typed entities of the extractor buckets, in declared order, blanks dropped."""
-    parts = [_typed(intel[bucket], bucket, kind) for bucket, kind in list(L.BUCKET_KINDS.items())[:5]]
+def entity_list(intel: Column, with_model_buckets: bool = False) -> Column:
+    """Typed entities of the extractor buckets, in declared order, blanks dropped.
+
+    Organisations and amounts come only from externally tagged spans; ask for
+    them when ``intel`` carries those two buckets.
+    """
+    known = [(b, k) for b, k in L.BUCKET_KINDS.items() if with_model_buckets or k not in ("organization", "amount")]
+    parts = [_typed(intel[bucket], bucket, kind) for bucket, kind in known]
     return F.concat(*parts)
 
 
