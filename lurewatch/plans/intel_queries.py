@@ -172,9 +172,9 @@ EMA_SQL = """dist AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY
 ema AS (SELECT domain, sum(CASE WHEN d = n THEN 1.0 ELSE 0.3 END * power(0.7, d - 1) * lexical_score) AS reputation_score, count(*) AS sightings FROM dist GROUP BY domain)"""
 
 
-@query("a5_domain_reputation", with_(SIGHTINGS_SQL, EMA_SQL) + "SELECT domain, round(reputation_score, 6) AS reputation_score, sightings, sightings > 1 AS is_repeat FROM ema")
+@query("a5_domain_reputation", with_(SIGHTINGS_SQL, EMA_SQL) + "SELECT domain, round(reputation_score + 1e-9, 6) AS reputation_score, sightings, sightings > 1 AS is_repeat FROM ema")
 def domain_reputation(spark, sf):
-    return I.reputation(sightings(spark, sf)).select("domain", F.round("reputation_score", 6).alias("reputation_score"), "sightings", "is_repeat")
+    return I.reputation(sightings(spark, sf)).select("domain", F.round(F.col("reputation_score") + 1e-9, 6).alias("reputation_score"), "sightings", "is_repeat")
 
 
 @query("w3_sighting_positions", with_(SIGHTINGS_SQL) + """
@@ -184,10 +184,10 @@ def sighting_positions(spark, sf):
 
 
 @query("x5_combined_reputation", with_(SIGHTINGS_SQL, EMA_SQL, "ext AS (SELECT DISTINCT 'site' || (p_partkey % 60)::VARCHAR || '.example' AS domain, (p_partkey % 60) / 60.0::DOUBLE AS score FROM part)") + """
-SELECT domain, round(least(greatest(reputation_score, score), 1.0), 6) AS score, CASE WHEN sightings > 1 THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence,
+SELECT domain, round(least(greatest(reputation_score, score), 1.0) + 1e-9, 6) AS score, CASE WHEN sightings > 1 THEN 0.6 ELSE 0.4 END::DOUBLE AS confidence,
   'domain_reputation:' || domain AS label FROM ema LEFT JOIN ext USING (domain) WHERE greatest(reputation_score, score) > 0""")
 def combined_reputation(spark, sf):
     p = table(spark, sf, "part")
     ext = p.select(F.concat(F.lit("site"), (F.col("p_partkey") % 60).cast("string"), F.lit(".example")).alias("domain"), ((F.col("p_partkey") % 60) / 60.0).alias("score")).distinct()
     out = I.reputation_signal(I.reputation(sightings(spark, sf)), ext)
-    return out.select("domain", F.round("score", 6).alias("score"), "confidence", "label")
+    return out.select("domain", F.round(F.col("score") + 1e-9, 6).alias("score"), "confidence", "label")

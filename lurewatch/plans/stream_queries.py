@@ -89,10 +89,10 @@ def incremental_rollup(spark, sf):
     return c.select("kind", "value_hash", F.unix_micros("first_seen").alias("first_seen_us"), F.unix_micros("last_seen").alias("last_seen_us"), "occurrence_count")
 
 
-@query("t6_incremental_reputation", with_(SIGHTINGS_SQL, EMA_SQL) + "SELECT domain, round(reputation_score, 6) AS reputation_score, sightings FROM ema")
+@query("t6_incremental_reputation", with_(SIGHTINGS_SQL, EMA_SQL) + "SELECT domain, round(reputation_score + 1e-9, 6) AS reputation_score, sightings FROM ema")
 def incremental_reputation(spark, sf):
     (d,) = _batches(spark, sightings_from(_stream(spark, sf, "events")), ST.reputation_batch, "ema", "reputation")
-    return ST.current_reputation(d).select("domain", F.round("reputation_score", 6).alias("reputation_score"), "sightings")
+    return ST.current_reputation(d).select("domain", F.round(F.col("reputation_score") + 1e-9, 6).alias("reputation_score"), "sightings")
 
 
 @query("t7_exactly_once_jobs", with_(MESSAGES_SQL) + "SELECT 'reports' AS what, count(*) FILTER (message_id % 17 <> 0) AS n FROM messages UNION ALL SELECT 'dead_letters', count(*) FILTER (message_id % 17 = 0) FROM messages")
