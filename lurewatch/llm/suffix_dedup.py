@@ -181,9 +181,11 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     return whole.unionByName(compared.where("kind = 0").select("doc_id", "lo", "hi")).unionByName(edge)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS, as_text: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (remaining bytes).
 
+    With ``as_text`` the remaining bytes come as a string, without the parts of characters that a cut has halved.
+
     Texts are UTF-8 bytes; null counts as empty and keeps nothing; every copy of a repeated string goes, also
     within one document. doc_id is the key: rows that repeat a doc_id count as repeated texts. A row
     without doc_id is returned whole. Other columns are ignored; no documents, no rows.
@@ -204,8 +206,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
                 rows.append((len(body), int(mask.sum()), spans, np.frombuffer(body, dtype=np.uint8)[~mask].tobytes()))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())],
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]),
+                 pa.array([k.decode("utf-8", "ignore") for k in cols[3]], pa.string()) if as_text else pa.array(cols[3], pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return texts.select("doc_id", "packed", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept " + ("string" if as_text else "binary"))
