@@ -84,18 +84,19 @@ def remove_repeats(docs: DataFrame, window_words: int = WINDOW_WORDS, gram_words
     is returned with nothing removed. Other columns are ignored; no documents, no rows.
     """
     found = B.anchors(docs.where("doc_id is not null"), B.word_units, window_words, gram_words)
-    shared = found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram")
+    # grouped minima are stored before they are joined: a join of two plain exchanges can split a hot key
+    shared = stored(found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"), "shared-grams")
     rows = stored(found.join(shared, "gram"), "word-blocks")
     contexts = rows.groupBy("gram", "sig").agg(F.min("doc_id").alias("first"))
     groups = contexts.groupBy("gram").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("gram", F.lit(True).alias("mixed"))
-    known = contexts.join(groups, "gram", "left")
+    known = stored(contexts.join(groups, "gram", "left"), "word-contexts")
     span = F.col("shape").bitwiseAND(0xFFFF)
     judged = rows.join(known, ["gram", "sig"])
     whole = judged.where("doc_id > first").select("doc_id", F.col("at").alias("lo"), (F.col("at") + span + window_words).alias("hi"))
     open_blocks = judged.where("doc_id = first and mixed").groupBy("doc_id").agg(
         F.collect_list(F.struct("at", span.alias("span"), "gram")).alias("blocks"))
     windows = stored(_window_hashes(B.texts_with(docs, open_blocks), window_words), "word-windows")
-    least = windows.groupBy("gram", "hash").agg(F.min("doc_id").alias("first"))
+    least = stored(windows.groupBy("gram", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "least")
     single = windows.join(least, ["gram", "hash"]).where("doc_id > first").select(
         "doc_id", F.col("at").alias("lo"), (F.col("at") + window_words).alias("hi"))
     return _keep(B.texts_with(docs, B.pack_spans(whole.unionByName(single)), "left"))

@@ -90,7 +90,10 @@ def multikey_order(keys: np.ndarray) -> np.ndarray:
 
 
 def _bucket(table: pa.Table, length: int):
-    """Repeated windows of a bucket's own rows (n = 1), and the windows whose run touches an edge."""
+    """Repeated windows of a bucket's own rows (n = 1), and each window, once, whose run touches an edge.
+
+    A window at an edge comes with its count in the bucket; if that is 1, the other buckets decide about it.
+    """
     count = table.num_rows
     column = {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("gram", "span", "n", "doc_id", "at")}
     suffix, left = (table.column(c).combine_chunks() for c in ("suffix", "left"))
@@ -125,10 +128,12 @@ def _bucket(table: pa.Table, length: int):
         again = np.repeat(total > 1, np.diff(np.append(heads, len(turn))))
         found = rows[turn][again]
         hit[found, (lefts[found] - l)] = True
-        edge = rows[(run[rows] == run[0]) | (run[rows] == run[-1])]
-        if len(edge):
+        one = rows[turn][heads]  # one row of each window that the bucket knows
+        at_edge = (run[one] == run[0]) | (run[one] == run[-1])
+        if at_edge.any():
+            edge, total = one[at_edge], total[at_edge]
             window = T.mix(hashes[edge] + T.mix(sums[edge, r - 1] + np.uint64(l)))
-            edges.append((gram[edge], window, n[edge], doc[edge], at[edge] + lefts[edge] - l))
+            edges.append((gram[edge], window, total, doc[edge], at[edge] + lefts[edge] - l))
     hit[n > 1] = False
     first = hit & ~np.pad(hit, ((0, 0), (1, 0)))[:, :-1]
     last = hit & ~np.pad(hit, ((0, 0), (0, 1)))[:, 1:]
@@ -163,9 +168,10 @@ def _compare(suffixes: DataFrame, length: int) -> DataFrame:
 def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, lo, hi): bytes [lo, hi) that strings occurring twice cover; spans may overlap."""
     found = B.anchors(docs.where("doc_id is not null"), B.byte_units, length, gram)
-    repeated = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # grouped counts are stored before they are joined: a join of two plain exchanges can split a hot key
+    repeated = stored(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated-grams")
     rows = stored(found.join(repeated, "gram"), "byte-blocks")
-    contexts = rows.groupBy("gram", "sig").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "shape")).alias("one"))
+    contexts = stored(rows.groupBy("gram", "sig").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at", "shape")).alias("one")), "contexts")
     span = F.col("shape").bitwiseAND(0xFFFF)
     many = contexts.where("n > 1").select("gram", "sig")
     whole = rows.join(many, ["gram", "sig"]).select("doc_id", F.col("at").alias("lo"), (F.col("at") + span + length).alias("hi"))
@@ -176,7 +182,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     parts = max(1, -(-suffixes.count() // bucket_rows), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     compared = stored(_compare(suffixes.repartitionByRange(parts, "suffix", "left"), length), "compared")
     edges = compared.where("kind = 1")
-    across = edges.groupBy("gram", "hash").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "hash")
+    across = stored(edges.groupBy("gram", "hash").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 and least = 1").select("gram", "hash"), "across")
     edge = edges.where("n = 1").join(across, ["gram", "hash"]).select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
     return whole.unionByName(compared.where("kind = 0").select("doc_id", "lo", "hi")).unionByName(edge)
 

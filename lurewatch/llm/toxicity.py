@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A document's features are the hashes of its words, neighbouring words, words one apart and parts of words
-(four and six bytes), each counted once. Per-coordinate rates and the L1 penalty leave few weights other
+A document's features are the hashes of its words, neighbouring words, words one apart, parts of words (four and
+six bytes) and their beginnings (four to six bytes), each counted once. Per-coordinate rates and the L1 penalty leave few weights other
 than zero; they are sent to the tasks as two short arrays. Scoring hashes every position, drops what
 misses a small filter of the learned hashes, and looks up the rest.
 """
@@ -23,7 +23,7 @@ SAMPLE_PER_CLASS = 1500
 #: Toxic sample rows that must hold a feature for it to get a weight.
 LEAST_ROWS = 3
 THRESHOLD = 0.3
-PARTS = (4, 6)
+PARTS, BEGINNINGS = (4, 6), (4, 5, 6)
 FILTER_BITS = 20
 #: A longer text is cut into pieces of this many bytes that overlap by ``OVERLAP``.
 PIECE, OVERLAP = 1 << 18, 1 << 10
@@ -45,6 +45,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     for kind, gap in ((1, 1), (2, 2)):
         same = row[:-gap] == row[gap:] if len(row) > gap else np.zeros(0, dtype=bool)
         yield row[: len(same)][same], T.mix(words[: len(same)][same] * _KIND[kind] + words[gap:][same] if len(same) else words[:0])
+    for kind, size in enumerate(BEGINNINGS, 3 + len(PARTS)):
+        long = ends - starts >= size
+        yield row[long], T.mix(T.slices(sums, starts[long], starts[long] + size) + _KIND[kind])
     word_row = row
     for kind, size in enumerate(PARTS, 3):
         room = np.maximum(ends - starts - size + 1, 0)
@@ -92,7 +95,7 @@ class Model:
     bias: float
 
 
-def train(rows: list[tuple[np.ndarray, int]], alpha: float = 0.3, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, rounds: int = 12,
+def train(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, rounds: int = 12,
           share: float | None = None, seed: int = 7) -> Model:
     """Rows (distinct feature hashes, 0 or 1) -> sparse model; without both classes a constant one.
 
