@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lurewatch.llm import text as T
 
 #: Labelled rows of each class at most that a model is fitted on, taken by hash order.
-SAMPLE_PER_CLASS = 1500
+SAMPLE_PER_CLASS = 1000
 #: Toxic sample rows that must hold a feature for it to get a weight.
 LEAST_ROWS = 3
 THRESHOLD = 0.3
@@ -95,18 +95,16 @@ class Model:
     bias: float
 
 
-def train(rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, rounds: int = 12,
+def train(names: np.ndarray, rows: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, rounds: int = 12,
           share: float | None = None, seed: int = 7) -> Model:
-    """Rows (distinct feature hashes, 0 or 1) -> sparse model; without both classes a constant one.
+    """Sorted feature hashes and rows (distinct positions in them, 0 or 1) -> sparse model; without both classes a constant one.
 
     ``share`` is that of label 1 among all rows the sample was drawn from; the bias is shifted to it.
     """
     labels = np.array([y for _, y in rows], dtype=np.float64)
     if not len(rows) or labels.min() == labels.max():
         return Model(np.zeros(0, dtype=np.uint64), np.zeros(0), (4.0 if len(rows) and labels.min() else -4.0))
-    names, flat = np.unique(np.concatenate([f for f, _ in rows]), return_inverse=True)
-    cuts = np.cumsum([len(f) for f, _ in rows])
-    ids = [np.append(part, len(names)) for part in np.split(flat, cuts[:-1])]
+    ids = [np.append(part, len(names)) for part, _ in rows]
     z, n = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     penalty = np.full(len(names) + 1, l1)
     penalty[-1] = 0
@@ -148,8 +146,11 @@ def scores(model: Model, column: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(total + model.bias, -30, 30)))
 
 
-def training_rows(some: DataFrame) -> list[tuple[np.ndarray, int]]:
-    """Feature sets of a bounded sample of (label, text); features that fewer than ``LEAST_ROWS`` toxic rows hold are left out."""
+def training_rows(some: DataFrame) -> tuple[np.ndarray, list[tuple[np.ndarray, int]]]:
+    """Features of a bounded sample of (label, text): hashes, and per row their positions and the label.
+
+    Features that fewer than ``LEAST_ROWS`` rows of label 1 hold are left out.
+    """
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,15 +158,19 @@ def training_rows(some: DataFrame) -> list[tuple[np.ndarray, int]]:
                 yield pa.RecordBatch.from_arrays([pa.array(T.as_long(one))], ["id"])
 
     common = some.where("label = 1").select("text").mapInArrow(ids, "id long").groupBy("id").count().where(F.col("count") >= LEAST_ROWS)
-    kept = np.sort(common.select("id").toPandas()["id"].to_numpy().astype(np.int64).view(np.uint64))
+    names = np.sort(common.select("id").toArrow().column("id").to_numpy().astype(np.int64).view(np.uint64))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s[np.isin(s, kept, assume_unique=True)] for s in feature_sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([T.as_long(s) for s in sets], pa.list_(pa.int64()))], ["label", "ids"])
+            places = [np.flatnonzero(np.isin(names, s, assume_unique=True)).astype(np.int32) for s in feature_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int32()))], ["label", "places"])
 
-    found = some.select("label", "text").mapInArrow(rows, "label int, ids array<long>").toPandas()
-    return [(np.asarray(i, dtype=np.int64).view(np.uint64), int(y)) for i, y in zip(found["ids"], found["label"], strict=True)]
+    found = some.select("label", "text").mapInArrow(rows, "label int, places array<int>").toArrow()
+    labels, places = found.column("label").to_pylist(), found.column("places").combine_chunks()
+    cuts = np.asarray(places.offsets)
+    flat = places.values.to_numpy(zero_copy_only=False)
+    order = sorted(range(len(labels)), key=lambda i: (labels[i], cuts[i + 1] - cuts[i], int(flat[cuts[i] : cuts[i + 1]].sum())))  # not the order in which tasks end
+    return names, [(flat[cuts[i] : cuts[i + 1]], labels[i]) for i in order]
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         known.where("label = 0").orderBy(place, "doc_id").limit(per_class))
     count = known.agg(F.sum("label").alias("ones"), F.count("*").alias("n")).first()
     share = count["ones"] / count["n"] if count["n"] and 0 < count["ones"] < count["n"] else None
-    return train(training_rows(docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text")), share=share)
+    return train(*training_rows(docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text")), share=share)
 
 
 def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
