@@ -3,15 +3,16 @@
 The suffix array is sparse. Suffixes start at content-chosen grams (``blocks``), one at least in every
 window, and carry what stands left and right of the gram in the windows that belong to it. Grams that
 occur once and blocks whose whole content recurs are settled by counting. The rest, one representative per
-content, is range-partitioned by its leading bytes with sampled splitters (``repartitionByRange``), so that
-a very common gram spreads over many buckets. A bucket sorts its suffixes by multikey quicksort on eight-byte
+content, is range-partitioned by its leading bytes with sampled splitters, cut to the bytes that tell two
+samples apart, so that a very common gram spreads over many buckets. A bucket sorts its suffixes by multikey quicksort on eight-byte
 characters and takes the common prefix of neighbours: windows with r bytes right of the gram are equal if
-they lie in one run of common prefixes of at least r and have equal bytes left of it. Runs that touch
-a bucket's edge may go on in the next bucket; their windows are compared across buckets by their hashes.
+they lie in one run of common prefixes of at least r and have equal bytes left of it. Runs that touch a bucket's edge and
+share r bytes with the splitter there may go on in the next bucket; their windows are compared across buckets by hashes.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,9 @@ from lurewatch.llm.store import stored
 LENGTH = 200
 GRAM = 48
 #: Suffixes that one bucket is meant to hold.
-BUCKET_ROWS = 40_000
+BUCKET_ROWS = 8_000
+#: Sampled suffixes for each bucket.
+SAMPLES = 24
 _SUFFIX = "suffix binary, left binary, gram long, span int, n long, doc_id long, at long"
 
 
@@ -89,7 +92,39 @@ def multikey_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def _bucket(table: pa.Table, length: int):
+def splitters(suffixes: DataFrame, buckets: int, rows: int, samples: int = SAMPLES) -> list[bytes]:
+    """Boundaries of ``buckets`` ranges of (suffix, left), from a sample of about ``samples`` suffixes for each.
+
+    A boundary is the shortest prefix of a sampled key that is larger than the sample before it.
+    """
+    if buckets < 2:
+        return []
+    share = min(1.0, samples * buckets / rows)
+    some = suffixes.where(F.pmod(F.xxhash64("doc_id", "at", "gram"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    keys = sorted(set(some.select(F.concat("suffix", F.lit(b"\0"), "left").alias("key")).toArrow().column("key").to_pylist()))
+    out = []
+    for i in sorted({len(keys) * b // buckets for b in range(1, buckets)} - {0}):
+        common = next((k for k, (a, b) in enumerate(zip(keys[i - 1], keys[i], strict=False)) if a != b), len(keys[i - 1]))
+        out.append(keys[i][: common + 1])
+    return out
+
+
+def _common(a: bytes, b: bytes) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+def _dealt(suffixes: DataFrame, bounds: list[bytes]) -> DataFrame:
+    """``suffixes`` with the number of their range, dealt out by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [bisect_right(bounds, s + b"\0" + l) for s, l in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield batch.append_column("bucket", pa.array(numbers, pa.int32()))
+
+    return suffixes.mapInArrow(run, _SUFFIX + ", bucket int").repartition(len(bounds) + 1, "bucket")
+
+
+def _bucket(table: pa.Table, length: int, below: bytes, above: bytes):
     """Repeated windows of a bucket's own rows (n = 1), and each window, once, whose run touches an edge.
 
     A window at an edge comes with its count in the bucket; if that is 1, the other buckets decide about it.
@@ -103,6 +138,8 @@ def _bucket(table: pa.Table, length: int):
     order = multikey_order(body.view(">u8"))
     body, sizes, lefts = body[order], sizes[order], lefts[order]
     gram, span, n, doc, at = (column[c][order] for c in ("gram", "span", "n", "doc_id", "at"))
+    text = lambda i: (body[i, : sizes[i]] - np.uint8(1)).tobytes()
+    first_edge, last_edge = _common(text(0), below), _common(text(count - 1), above)
     common = np.zeros(count, dtype=np.int64)
     for i in range(1, count, 8192):
         j = min(i + 8192, count)
@@ -129,7 +166,7 @@ def _bucket(table: pa.Table, length: int):
         found = rows[turn][again]
         hit[found, (lefts[found] - l)] = True
         one = rows[turn][heads]  # one row of each window that the bucket knows
-        at_edge = (run[one] == run[0]) | (run[one] == run[-1])
+        at_edge = (run[one] == run[0]) & (r <= first_edge) | (run[one] == run[-1]) & (r <= last_edge)
         if at_edge.any():
             edge, total = one[at_edge], total[at_edge]
             window = T.mix(hashes[edge] + T.mix(sums[edge, r - 1] + np.uint64(l)))
@@ -142,7 +179,7 @@ def _bucket(table: pa.Table, length: int):
     return (doc[row], at[row] + lo, at[row] + hi + length), edges
 
 
-def _compare(suffixes: DataFrame, length: int) -> DataFrame:
+def _compare(suffixes: DataFrame, length: int, bounds: list[bytes]) -> DataFrame:
     """Rows (kind 0: doc_id, lo, hi removed) and (kind 1: a window at a bucket's edge)."""
     schema = "kind int, doc_id long, lo long, hi long, gram long, hash long, n long"
 
@@ -154,13 +191,15 @@ def _compare(suffixes: DataFrame, length: int) -> DataFrame:
             ["kind", "doc_id", "lo", "hi", "gram", "hash", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)  # a range bucket, bounded by the number of buckets
-        if not sum(b.num_rows for b in batches):
-            return
-        (doc, lo, hi), edges = _bucket(pa.Table.from_batches(batches), length)
-        yield rows(0, doc, lo, hi, None, None, None)
-        for gram, window, n, d, a in edges:
-            yield rows(1, d, a, None, gram, T.as_long(window), n)
+        batches = list(batches)  # a few range buckets, bounded by their number
+        table = pa.Table.from_batches(batches) if batches else None
+        for number in np.unique(table.column("bucket").to_numpy()) if table is not None else ():
+            part = table.filter(pa.compute.equal(table.column("bucket"), int(number)))
+            below, above = (bounds[number - 1] if number else b""), (bounds[number] if number < len(bounds) else b"")
+            (doc, lo, hi), edges = _bucket(part, length, below, above)
+            yield rows(0, doc, lo, hi, None, None, None)
+            for gram, window, n, d, a in edges:
+                yield rows(1, d, a, None, gram, T.as_long(window), n)
 
     return suffixes.mapInArrow(run, schema)
 
@@ -179,8 +218,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     open_blocks = contexts.join(mixed, "gram").select("one.*", "gram", "n").groupBy("doc_id").agg(
         F.collect_list(F.struct("at", "shape", "gram", "n")).alias("blocks"))
     suffixes = stored(_suffixes(B.texts_with(docs, open_blocks).dropDuplicates(["doc_id"]), length), "suffixes")
-    parts = max(1, -(-suffixes.count() // bucket_rows), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    compared = stored(_compare(suffixes.repartitionByRange(parts, "suffix", "left"), length), "compared")
+    count = suffixes.count()
+    bounds = splitters(suffixes, -(-count // bucket_rows), count)
+    compared = stored(_compare(_dealt(suffixes, bounds), length, bounds), "compared")
     edges = compared.where("kind = 1")
     across = stored(edges.groupBy("gram", "hash").agg(F.sum("n").alias("total"), F.min("n").alias("least")).where("total > 1 and least = 1").select("gram", "hash"), "across")
     edge = edges.where("n = 1").join(across, ["gram", "hash"]).select("doc_id", "lo", (F.col("lo") + length).alias("hi"))
