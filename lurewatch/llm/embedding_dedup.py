@@ -186,8 +186,8 @@ def tree(points: DataFrame, leaf: int) -> tuple[DataFrame, list[DataFrame]]:
 
     def away(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, c = (np.stack([np.frombuffer(v, dtype=np.float64) for v in batch.column(i).to_pylist()]) if batch.num_rows else np.zeros((0, 1)) for i in (4, 5))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.sqrt(np.square(x - c).sum(axis=1)))], ["parent", "node", "cls", "m", "v", "away"])
+            d = [float(np.sqrt(np.square(np.frombuffer(v) - np.frombuffer(c)).sum())) for v, c in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(d, pa.float64())], ["parent", "node", "cls", "m", "v", "away"])
 
     rows = points.join(first, "kind").select(F.col("kind").alias("parent"), F.col("kind").alias("node"), "cls", "m", "v", F.col("c.v").alias("c"))
     rows = stored(rows.mapInArrow(away, "parent string, node string, cls long, m long, v binary, away double"), "cover-level")

@@ -30,6 +30,8 @@ CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "td": frozenset("td th tr tbody tfoot".split()), "th": frozenset("td th tr tbody tfoot".split()), "tr": frozenset("tr tbody tfoot".split()),
 }
+#: Parts of a text, which are not the article alone.
+PARTS = HEADINGS | frozenset("p ul ol dl li dt dd table tbody thead tfoot tr td th blockquote pre figure figcaption".split())
 #: Words of class and id that name something other than the article.
 _NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertorial|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|paywall|"
@@ -157,7 +159,7 @@ def path_ratios(blocks: list[Block]) -> np.ndarray:
 
 
 def _weight_below(blocks: list[Block], chosen: list[int]) -> Element | None:
-    """The deepest element that holds nine tenths of the chosen blocks' text."""
+    """The deepest element that holds nine tenths of the chosen blocks' text and is no mere part of a text."""
     weight: dict[int, int] = {}
     named: dict[int, tuple[int, Element]] = {}
     total = 0
@@ -169,7 +171,10 @@ def _weight_below(blocks: list[Block], chosen: list[int]) -> Element | None:
             named[id(at)] = (depth, at)
             at, depth = at.parent, depth - 1
     best = max((named[k] for k, w in weight.items() if w >= 0.9 * total), key=lambda x: x[0], default=None)
-    return best[1] if best else None
+    top = best[1] if best else None
+    while top is not None and top.parent and top.tag in PARTS:
+        top = top.parent
+    return top
 
 
 def _within(at: Element | None, top: Element) -> bool:
