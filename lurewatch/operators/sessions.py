@@ -16,7 +16,7 @@ from lurewatch.functions import similarity as S
 from lurewatch.functions.text import wrap_untrusted
 from lurewatch.operators.ordering import lagged, ranked, running
 from lurewatch.operators.reports import entity_list
-from lurewatch.plans.detection import with_intel
+from lurewatch.operators.detection import with_intel
 
 SCORED_KINDS = {"upi_id": 30, "phone": 20, "bank_account": 25, "url": 15}
 
@@ -47,22 +47,22 @@ def complete(turns: Column, score: Column, disengaged: Column) -> Column:
 
 
 def rollup(turns: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """One row per session: counters, duration, last message, score, completion."""
+    """One row per session: counters, duration, last message, score, and when it was first complete."""
     values = session_values(turn_entities(turns)) if values is None else values
     at = F.struct("ts", "turn")
     base = turns.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("message_count"), F.min("ts").alias("started_at"), F.max("ts").alias("last_at"),
         F.max_by(F.struct("sender", "text"), at).alias("last"),
     )
-    joined = base.join(intel_scores(values), "session_id", "left").fillna(0)
+    joined = base.join(intel_scores(values), "session_id", "left").fillna(0).join(completion_points(turns, values), "session_id", "left")
     n = F.floor(F.col("message_count") / 2)
     gone = R.is_disengaged(F.col("last")["sender"], F.col("last")["text"])
     return joined.select(
         "session_id", "message_count", n.alias("turns"),
         (F.unix_seconds("last_at") - F.unix_seconds("started_at")).alias("engagement_seconds"),
         F.col("last")["sender"].alias("last_sender"), F.col("last")["text"].alias("last_text"), gone.alias("disengaged"),
-        *[f"n_{k}" for k in [*SCORED_KINDS, "keyword"]], "intel_score", complete(n, F.col("intel_score"), gone).alias("is_complete"),
-        "started_at",
+        *[f"n_{k}" for k in [*SCORED_KINDS, "keyword"]], "intel_score", F.col("completed_at").isNotNull().alias("is_complete"),
+        "completed_turn", "completed_at", "completed_score", "started_at",
     )
 
 
@@ -128,9 +128,25 @@ def least_similar(turns: DataFrame, candidates: list[str], memory: int = 5) -> D
 
 
 def context(turns: DataFrame, chunk: int = 500) -> DataFrame:
-    """``sender: text`` lines in order, neutralised, in pieces of ``chunk`` lines."""
+    """One text per session: ``sender: text`` lines in order, neutralised.
+
+    Lines are joined in pieces of ``chunk`` first, so only the finished text of a session meets in one place.
+    """
     pos = ranked(turns, ["session_id"], ["turn"], "position")
     line = F.concat(F.col("sender"), F.lit(": "), wrap_untrusted(F.col("text")))
     cut = pos.select("session_id", F.floor((F.col("position") - 1) / chunk).alias("piece"), F.struct("position", line.alias("line")).alias("l"))
-    out = cut.groupBy("session_id", "piece").agg(F.sort_array(F.collect_list("l")).alias("l"))
-    return out.select("session_id", "piece", F.array_join(F.col("l.line"), "\n").alias("context"))
+    joined = lambda df, name: F.array_join(F.sort_array(F.collect_list(df))[name], "\n")
+    pieces = cut.groupBy("session_id", "piece").agg(joined(F.col("l"), "line").alias("text"))
+    return pieces.groupBy("session_id").agg(joined(F.struct("piece", "text"), "text").alias("context"))
+
+
+def completion_points(turns: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Sessions whose completion rule fires, asked after every message: when it first did.
+
+    ``completed_turn``, ``completed_at`` (messages so far) and ``completed_score``.
+    """
+    quits = turns.select("session_id", "turn", R.is_disengaged(F.col("sender"), F.col("text")).alias("quits"))
+    asked = progressive_intel(turns, values).join(quits, ["session_id", "turn"])
+    fired = asked.filter(complete(F.floor(F.col("position") / 2), F.col("intel_score"), F.col("quits")))
+    first = fired.groupBy("session_id").agg(F.min(F.struct("turn", "position", "intel_score")).alias("f"))
+    return first.select("session_id", F.col("f.turn").alias("completed_turn"), F.col("f.position").alias("completed_at"), F.col("f.intel_score").alias("completed_score"))

@@ -10,7 +10,7 @@ from lurewatch.functions import detection as D
 from lurewatch.functions import entities as E
 from lurewatch.functions import keywords as K
 from lurewatch.functions import text as T
-from lurewatch.plans import detection as P
+from lurewatch.operators import detection as P
 from lurewatch.plans.inputs import MESSAGES_SQL, messages, quote, with_
 from lurewatch.plans.registry import query, table
 from lurewatch.plans.text_queries import SENTENCES_SQL

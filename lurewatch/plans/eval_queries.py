@@ -97,13 +97,13 @@ def threshold_sweep(spark, sf):
 
 
 @query("o5_select_threshold", with_(PREDICTIONS_SQL, _GRID, _SWEPT, f"r AS (SELECT *, {RATES} FROM swept)",
-       "f AS (SELECT coalesce(max(confidence), 0) AS floor FROM predictions WHERE NOT is_scam AND predicted_label <> 'benign' AND confidence < 0.8)") + """
+       "f AS (SELECT coalesce(max(confidence), 0) AS floor FROM predictions WHERE NOT is_scam AND predicted_label <> 'benign')") + """
 SELECT coalesce(a, b, c)::DOUBLE AS threshold, CASE WHEN a IS NOT NULL THEN 'within_limit' WHEN b IS NOT NULL THEN 'above_floor' ELSE 'fallback' END AS rule FROM (SELECT
   arg_max(threshold, (f1, threshold)) FILTER (threshold > floor AND false_positive_rate <= 0.10) AS a, arg_max(threshold, (f1, threshold)) FILTER (threshold > floor) AS b,
   round(least(0.95, max(floor) + 0.05), 2) AS c FROM r, f)""")
 def select_threshold(spark, sf):
     p = predictions(spark, sf)
-    return E.select_threshold(_top1(p), E.regression_floor(p.filter("confidence < 0.8")))
+    return E.select_threshold(_top1(p), E.regression_floor(p))
 
 
 @query("p25_error_slices", with_(PREDICTIONS_SQL, "t AS (SELECT p.*, d.text, coalesce(predicted, false) AS pr, confidence > 0.8 AS rules FROM predictions p JOIN documents d ON d.doc_id = example_id)") + """

@@ -45,9 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a costly projection reads fewer files than there are cores.
+    """``df`` dealt out anew if the session asks for it (``spark.lurewatch.spreadInputs``), else as it is read.
 
-    A large table has far more files than cores and is left alone, without a shuffle.
+    Meant for a few files of one row group each, which Spark cannot split; off by default, as it shuffles the rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 4) if len(df.inputFiles()) < cores else df
+    session = df.sparkSession
+    if session.conf.get("spark.lurewatch.spreadInputs", "false") != "true":
+        return df
+    return df.repartition(session.sparkContext.defaultParallelism * 4)

@@ -10,7 +10,7 @@ from lurewatch.functions import keys as Y
 from lurewatch.functions import text as T
 from lurewatch.operators import fusion as FU
 from lurewatch.operators import reports as R
-from lurewatch.plans import detection as P
+from lurewatch.operators import detection as P
 from lurewatch.plans.detection_queries import _NEGATED, JOIN, TO_PATTERN, _rx
 from lurewatch.plans.inputs import (
     EVIDENCE_SQL, INVESTIGATIONS_SQL, MESSAGES_SQL, evidence_rows, investigations, messages, quote, sql_list, with_,
@@ -63,10 +63,10 @@ def request_validity(spark, sf):
     return messages(spark, sf).groupBy("platform", R.has_content(text, media, urls).alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("p2_analyzable_text", with_(MESSAGES_SQL, "j AS (SELECT message_id, text, html, url FROM messages JOIN pages ON page_id = message_id)") + """
+@query("p2_analyzable_text", with_(MESSAGES_SQL, "j AS (SELECT message_id, text, html, url FROM messages LEFT JOIN pages ON page_id = message_id)") + """
 SELECT message_id, md5(array_to_string(list_filter([text, html, ' ', url], lambda p: trim(p) <> ''), chr(10) || chr(10))) AS text_md5 FROM j""")
 def analyzable_text(spark, sf):
-    j = messages(spark, sf).join(table(spark, sf, "pages"), F.col("page_id") == F.col("message_id"))
+    j = messages(spark, sf).join(table(spark, sf, "pages"), F.col("page_id") == F.col("message_id"), "left")
     return j.select("message_id", F.md5(R.analyzable_text(F.col("text"), F.array("html", F.lit(" ")), F.array("url"))).alias("text_md5"))
 
 

@@ -34,18 +34,30 @@ def intel_score(spark, sf):
     return s.select("session_id", "n_upi_id", "n_phone", "n_bank_account", "n_url", "intel_score")
 
 
+PROGRESS_SQL = """fresh AS (SELECT session_id, first_turn AS turn, count(*) FILTER (kind = 'upi_id') AS u, count(*) FILTER (kind = 'phone') AS p, count(*) FILTER (kind = 'bank_account') AS b,
+  count(*) FILTER (kind = 'url') AS l, count(*) AS a FROM vals GROUP BY ALL),
+prog AS (SELECT session_id, turn, row_number() OVER w AS position, sum(coalesce(u, 0)) OVER w AS n_upi_id, sum(coalesce(p, 0)) OVER w AS n_phone, sum(coalesce(b, 0)) OVER w AS n_bank_account,
+  sum(coalesce(l, 0)) OVER w AS n_url, coalesce(a, 0) AS a FROM turns LEFT JOIN fresh USING (session_id, turn) WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+gaps AS (SELECT *, position - coalesce(max(CASE WHEN a > 0 THEN position END) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS gap FROM prog)"""
+
+
 ROLLUP_SQL = f"""sbase AS (SELECT session_id, count(*) AS message_count, epoch(max(ts) - min(ts))::BIGINT AS engagement_seconds, arg_max(sender, turn) AS last_sender, arg_max(text, turn) AS last_text FROM turns GROUP BY 1),
 r1 AS (SELECT b.*, message_count // 2 AS turns, coalesce({SCORE}, 0) AS score, coalesce(n_upi_id, 0) AS n_upi, coalesce(n_phone, 0) AS n_phone, coalesce(n_url, 0) AS n_url,
   last_sender <> 'agent' AND length(last_text) > 0 AND (CASE WHEN {sql_strip('last_text')} = '' THEN 0 ELSE len(string_split_regex({sql_strip('last_text')}, '[{L.SPACE}]+')) END) < 3
     AND {_sum_sql('lower(last_text)', L.DISENGAGE_WORDS)} > 0 AS gone FROM sbase b LEFT JOIN scores USING (session_id)),
-roll AS (SELECT *, CASE WHEN turns < 8 THEN gone WHEN turns >= 25 THEN true WHEN score < 50 AND turns < 15 THEN false WHEN score >= 80 THEN true WHEN score >= 50 AND turns >= 12 THEN true ELSE gone END AS done FROM r1)"""
+asked AS (SELECT g.session_id, g.turn, position, {SCORE}::BIGINT AS score, position // 2 AS n,
+  sender <> 'agent' AND length(text) > 0 AND (CASE WHEN {sql_strip('text')} = '' THEN 0 ELSE len(string_split_regex({sql_strip('text')}, '[{L.SPACE}]+')) END) < 3
+    AND {_sum_sql('lower(text)', L.DISENGAGE_WORDS)} > 0 AS quits FROM gaps g JOIN turns USING (session_id, turn)),
+fired AS (SELECT session_id, min(turn) AS completed_turn, arg_min(position, turn) AS completed_at, arg_min(score, turn) AS completed_score FROM asked
+  WHERE CASE WHEN n < 8 THEN quits WHEN n >= 25 THEN true WHEN score < 50 AND n < 15 THEN false WHEN score >= 80 THEN true WHEN score >= 50 AND n >= 12 THEN true ELSE quits END GROUP BY 1),
+roll AS (SELECT r1.*, completed_turn, completed_at, completed_score, completed_at IS NOT NULL AS done FROM r1 LEFT JOIN fired USING (session_id))"""
 
 
-@query("a19_session_rollup", with_(*TO_VALUES, ROLLUP_SQL) + """
-SELECT session_id, message_count, turns, engagement_seconds, last_sender, md5(last_text) AS last_md5, score AS intel_score, gone AS disengaged, done AS is_complete FROM roll""")
+@query("a19_session_rollup", with_(*TO_VALUES, PROGRESS_SQL, ROLLUP_SQL) + """
+SELECT session_id, message_count, turns, engagement_seconds, last_sender, md5(last_text) AS last_md5, score AS intel_score, gone AS disengaged, done AS is_complete, coalesce(completed_turn, -1) AS completed_turn, coalesce(completed_at, -1) AS completed_at FROM roll""")
 def rollup(spark, sf):
     r = S.rollup(turns(spark, sf))
-    return r.select("session_id", "message_count", "turns", "engagement_seconds", "last_sender", F.md5("last_text").alias("last_md5"), "intel_score", "disengaged", "is_complete")
+    return r.select("session_id", "message_count", "turns", "engagement_seconds", "last_sender", F.md5("last_text").alias("last_md5"), "intel_score", "disengaged", "is_complete", F.coalesce("completed_turn", F.lit(-1)).alias("completed_turn"), F.coalesce("completed_at", F.lit(-1)).alias("completed_at"))
 
 
 @query("fk16_disengagement", with_(TURNS_SQL) + f"""
@@ -67,20 +79,13 @@ def states(spark, sf):
     return S.with_states(turns(spark, sf)).select("session_id", "turn", "turn_no", "state")
 
 
-_PROGRESS = """fresh AS (SELECT session_id, first_turn AS turn, count(*) FILTER (kind = 'upi_id') AS u, count(*) FILTER (kind = 'phone') AS p, count(*) FILTER (kind = 'bank_account') AS b,
-  count(*) FILTER (kind = 'url') AS l, count(*) AS a FROM vals GROUP BY ALL),
-prog AS (SELECT session_id, turn, row_number() OVER w AS position, sum(coalesce(u, 0)) OVER w AS n_upi_id, sum(coalesce(p, 0)) OVER w AS n_phone, sum(coalesce(b, 0)) OVER w AS n_bank_account,
-  sum(coalesce(l, 0)) OVER w AS n_url, coalesce(a, 0) AS a FROM turns LEFT JOIN fresh USING (session_id, turn) WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-gaps AS (SELECT *, position - coalesce(max(CASE WHEN a > 0 THEN position END) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS gap FROM prog)"""
-
-
-@query("w8_progressive_intel", with_(*TO_VALUES, _PROGRESS) + f"""
+@query("w8_progressive_intel", with_(*TO_VALUES, PROGRESS_SQL) + f"""
 SELECT session_id, turn, n_upi_id::BIGINT AS n_upi_id, n_phone::BIGINT AS n_phone, n_bank_account::BIGINT AS n_bank_account, n_url::BIGINT AS n_url, {SCORE}::BIGINT AS intel_score FROM gaps""")
 def progressive(spark, sf):
     return S.progressive_intel(turns(spark, sf)).select("session_id", "turn", "n_upi_id", "n_phone", "n_bank_account", "n_url", "intel_score")
 
 
-@query("w9_stalling_tactic", with_(*TO_VALUES, _PROGRESS) + f"""
+@query("w9_stalling_tactic", with_(*TO_VALUES, PROGRESS_SQL) + f"""
 SELECT session_id, turn, gap, CASE WHEN gap > 3 THEN 'TECHNICAL_DIFFICULTY' ELSE {L.STALLING_TACTICS}[((position // 2) % 5 + 1)::INT] END AS tactic FROM gaps""")
 def stalling(spark, sf):
     p = S.progressive_intel(turns(spark, sf))
@@ -99,12 +104,12 @@ def least_similar(spark, sf):
 
 
 @query("a24_conversation_context", with_(TURNS_SQL, f"w AS (SELECT session_id, turn, sender || ': {L.UNTRUSTED_BEGIN}' || chr(10) || {_neutral_sql('text')} || chr(10) || '{L.UNTRUSTED_END}' AS line FROM turns)") + """
-SELECT session_id, 0 AS piece, md5(string_agg(line, chr(10) ORDER BY turn)) AS context_md5 FROM w GROUP BY session_id""")
+SELECT session_id, md5(string_agg(line, chr(10) ORDER BY turn)) AS context_md5 FROM w GROUP BY session_id""")
 def context(spark, sf):
-    return S.context(turns(spark, sf)).select("session_id", "piece", F.md5("context").alias("context_md5"))
+    return S.context(turns(spark, sf)).select("session_id", F.md5("context").alias("context_md5"))
 
 
-@query("p24_agent_notes", with_(*TO_VALUES, ROLLUP_SQL) + """
+@query("p24_agent_notes", with_(*TO_VALUES, PROGRESS_SQL, ROLLUP_SQL) + """
 SELECT session_id, array_to_string(list_filter([CASE WHEN session_id % 2 = 0 THEN 'Scam type: phishing' END, CASE WHEN session_id % 3 = 0 THEN 'Used Elderly Person persona' END,
   CASE WHEN n_upi > 0 THEN 'Got ' || n_upi::VARCHAR || ' UPI ID(s)' END, CASE WHEN n_phone > 0 THEN 'Got ' || n_phone::VARCHAR || ' phone(s)' END,
   CASE WHEN n_url > 0 THEN 'Found ' || n_url::VARCHAR || ' suspicious link(s)' END, message_count::VARCHAR || ' messages total'], lambda x: x IS NOT NULL), '. ') || '.' AS notes FROM roll""")

@@ -85,13 +85,13 @@ def import_sessions(spark, sf):
                     F.coalesce("n_entities", F.lit(0)).alias("n_entities"), "n_messages")
 
 
-def _feed_payloads(spark, sf):
+def _feed_payloads(spark, sf, *keys):
     p = table(spark, sf, "pages")
     entry = F.struct(
         F.when(F.col("page_id") % 5 != 0, F.col("url")).alias("url"), F.when(F.col("page_id") % 3 != 0, F.lit("h.example")).alias("host"),
         F.when(F.col("page_id") % 2 == 0, F.lit("malware")).alias("threat"), F.format_string("2024-01-%02d", (F.col("page_id") % 28 + 1)).alias("date_added"),
     )
-    return p.select(F.to_json(F.struct(F.array(entry).alias("urls"))).alias("payload"))
+    return p.select(*keys, F.to_json(F.struct(F.array(entry).alias("urls"))).alias("payload"))
 
 
 _FEED_SQL = """feed AS (SELECT url, CASE WHEN page_id % 3 <> 0 THEN 'h.example' ELSE '' END AS host, CASE WHEN page_id % 2 = 0 THEN 'malware' ELSE 'unknown' END AS threat,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lurewatch import schemas
 from lurewatch.operators.reports import has_content
 from lurewatch.plans.detection_queries import TO_PATTERN
 from lurewatch.plans.inputs import MESSAGES_SQL, SIGHTINGS_SQL, messages_from, occurrences_from, sightings_from, turns_from, with_
 from lurewatch.plans.intel_queries import EMA_SQL, TO_IND, TO_MATCH
 from lurewatch.plans.registry import query, table
 from lurewatch.plans.report_queries import investigate
-from lurewatch.plans.session_queries import ROLLUP_SQL, TO_VALUES
+from lurewatch.plans.session_queries import PROGRESS_SQL, ROLLUP_SQL, TO_VALUES
 from lurewatch.plans.store_queries import _FEED_SQL, _feed_payloads
 from lurewatch.session import scratch_path
 from lurewatch.streaming import streams as ST
@@ -39,11 +40,16 @@ def _batches(spark, df, handler, label, *names):
     return [spark.read.parquet(f"{root}/{n}") for n in names]
 
 
-@query("t1_redelivery_dedup", "SELECT event_type AS platform, event_id AS message_id FROM events")
-def redelivery(spark, sf):
+def _two_copies(spark, sf):
     e = _stream(spark, sf, "events").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    e = e.select(F.col("event_type").alias("platform"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return _to_files(spark, ST.first_deliveries(e, ["platform", "message_id"]), "dedup").select("platform", "message_id")
+    at = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("copy") * 3600)
+    return e.select(F.col("event_type").alias("platform"), F.col("event_id").alias("message_id"), at.alias("ts"))
+
+
+@query("t1_redelivery_dedup", "SELECT event_type AS platform, event_id AS message_id, epoch_us(ts) AS ts_us FROM events")
+def redelivery(spark, sf):
+    (first,) = _batches(spark, _two_copies(spark, sf), lambda root: ST.deliveries_batch(root, ["platform", "message_id"]), "dedup", "first")
+    return first.select("platform", "message_id", F.unix_micros("ts").alias("ts_us"))
 
 
 @query("t1_redelivery_exact_ttl")
@@ -60,19 +66,19 @@ def rate_limit(spark, sf):
     return out.groupBy("caller", "allowed").agg(F.count("*").alias("n"))
 
 
-@query("t3_session_state", with_(*TO_VALUES, ROLLUP_SQL) + "SELECT session_id, message_count, score::BIGINT AS intel_score, done AS is_complete FROM roll")
+def _sessions(spark, sf, label):
+    (snapshots,) = _batches(spark, turns_from(_stream(spark, sf, "conversations")), ST.sessions_batch, label, "snapshots")
+    return ST.current_sessions(snapshots)
+
+
+@query("t3_session_state", with_(*TO_VALUES, PROGRESS_SQL, ROLLUP_SQL) + "SELECT session_id, message_count, score::BIGINT AS intel_score, done AS is_complete, coalesce(completed_turn, -1) AS completed_turn FROM roll")
 def session_state(spark, sf):
-    snaps = ST.session_snapshots(turns_from(_stream(spark, sf, "conversations")))
-    out = _to_files(spark, snaps, "sessions", "update")
-    last = out.groupBy("session_id").agg(F.max_by(F.struct("message_count", "intel_score", "is_complete"), "epoch").alias("s"))
-    return last.select("session_id", "s.*")
+    return _sessions(spark, sf, "sessions").select("session_id", "message_count", "intel_score", "is_complete", F.coalesce("completed_turn", F.lit(-1)).alias("completed_turn"))
 
 
-@query("t4_session_completions", with_(*TO_VALUES, ROLLUP_SQL) + "SELECT session_id, message_count FROM roll WHERE done")
+@query("t4_session_completions", with_(*TO_VALUES, PROGRESS_SQL, ROLLUP_SQL) + "SELECT session_id, completed_at AS message_count, completed_score AS intel_score FROM roll WHERE done")
 def session_completions(spark, sf):
-    snaps = ST.session_snapshots(turns_from(_stream(spark, sf, "conversations")))
-    out = _to_files(spark, snaps, "completions", "update")
-    return ST.completions(out).select("session_id", "message_count")
+    return ST.completions(_sessions(spark, sf, "completions"))
 
 
 @query("t5_incremental_correlation", with_(*TO_MATCH) + """
@@ -95,28 +101,32 @@ def incremental_reputation(spark, sf):
     return ST.current_reputation(d).select("domain", F.round(F.col("reputation_score") + 1e-9, 6).alias("reputation_score"), "sightings")
 
 
-@query("t7_exactly_once_jobs", with_(MESSAGES_SQL) + "SELECT 'reports' AS what, count(*) FILTER (message_id % 17 <> 0) AS n FROM messages UNION ALL SELECT 'dead_letters', count(*) FILTER (message_id % 17 = 0) FROM messages")
+@query("t7_exactly_once_jobs", with_(MESSAGES_SQL) + """
+SELECT CASE WHEN message_id % 17 <> 0 THEN 'report' ELSE 'dead_letter' END AS what, message_id::VARCHAR AS investigation_id FROM messages""")
 def exactly_once(spark, sf):
     m = messages_from(_stream(spark, sf, "documents")).withColumn("text", F.when(F.col("message_id") % 17 == 0, F.lit(" ")).otherwise(F.col("text")))
     m = m.withColumn("investigation_id", F.col("message_id"))
     none = F.array().cast("array<string>")
 
-    def handler(root):
-        return ST.investigation_batch(root, lambda df: investigate(df, normalize=False), has_content(F.col("text"), none, none))
+    def job(df):
+        return investigate(df, normalize=False)
 
-    out = _batches(spark, m, handler, "jobs", "reports", "dead_letters")
-    n = [df.agg(F.count("*").alias("n")).select(F.lit(w).alias("what"), "n") for df, w in zip(out, ("reports", "dead_letters"))]
-    return n[0].unionByName(n[1])
+    reports, dead = _batches(spark, m, lambda root: ST.investigation_batch(root, job, has_content(F.col("text"), none, none)), "jobs", "reports", "dead_letters")
+    return reports.select(F.lit("report").alias("what"), F.col("investigation_id").cast("string").alias("investigation_id")).unionByName(
+        dead.select(F.lit("dead_letter").alias("what"), F.col("target_id").cast("string").alias("investigation_id")))
 
 
-@query("t8_feed_snapshot", f"WITH {_FEED_SQL} SELECT * FROM feed")
+@query("t8_feed_snapshot", f"WITH {_FEED_SQL.replace('WHERE', 'WHERE page_id // 40 = (SELECT max(page_id // 40) FROM pages) AND')} SELECT * FROM feed")
 def feed_snapshot(spark, sf):
-    src, root = scratch_path(spark, "polls"), scratch_path(spark, "feed")
-    payloads = _feed_payloads(spark, sf)
-    payloads.write.parquet(src)
-    polls = spark.readStream.schema(payloads.schema).parquet(src)
-    ST.run_available(polls.writeStream.foreachBatch(ST.feed_batch(f"{root}/latest")), f"{root}/cp")
-    return spark.read.parquet(f"{root}/latest")
+    """Polls of forty entries each, then an unreadable one; the last readable poll is the feed."""
+    src = scratch_path(spark, "polls")
+    entry = F.from_json("payload", schemas.FEED)["urls"][0]
+    entries = _feed_payloads(spark, sf, "page_id").select(F.floor(F.col("page_id") / 40).alias("polled_at"), entry.alias("e"))
+    polls = entries.groupBy("polled_at").agg(F.to_json(F.struct(F.collect_list("e").alias("urls"))).alias("payload"))  # forty entries at most
+    polls = polls.unionByName(polls.agg((F.max("polled_at") + 1).alias("polled_at")).withColumn("payload", F.lit("<html>busy</html>")))
+    polls.write.parquet(src)
+    (kept,) = _batches(spark, spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 2).parquet(src), ST.feed_batch, "feed", "polls")
+    return ST.current_feed(kept)
 
 
 @query("t9_streaming_scores", with_(*TO_PATTERN) + "SELECT message_id, risk_score, scam_type, is_scam FROM pattern")

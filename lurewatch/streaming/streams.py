@@ -1,6 +1,7 @@
 """Structured Streaming forms of the operators.
 
-Event time is the row's own time; the watermark is 900 seconds unless stated.
+Event time is the row's own time. Dedup and sessions keep their state in tables, one folder
+per micro-batch, so that their answers do not depend on how the input is cut into batches.
 Functions shipped to workers are built inside the calls, so they travel by
 value.
 """
@@ -15,18 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lurewatch import lexicon as L
-from lurewatch.functions import replies as R
+from lurewatch import schemas
+from lurewatch.operators import detection as P
 from lurewatch.operators import intel as I
 from lurewatch.operators import maintenance as M
 from lurewatch.operators import sessions as S
 from lurewatch.operators.ordering import ranked, running
-from lurewatch.plans import detection as P
 from lurewatch.sources.readers import feed_entries
 
 DEDUP_TTL = 900
 RATE_LIMIT, RATE_WINDOW = 60, 60
-SESSION_TTL = 24 * 3600
 MAX_TRIES = 3
 
 
@@ -43,28 +42,44 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-# -- redelivery ---------------------------------------------------------------
+# -- tables of a stream ----------------------------------------------------------
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-def first_deliveries(stream: DataFrame, keys: list[str], ttl_seconds: int = DEDUP_TTL) -> DataFrame:
-    """First delivery of every key; a key is remembered for at least the TTL.
 
-    Copies are thinned out before the shuffle, so a message delivered over and
-    over does not send all its copies to the one task that owns its key.
-    """
-    thin = combine_copies(stream, keys, ttl_seconds)
-    return thin.withWatermark("ts", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(keys)
+def _log(df: DataFrame, root: str, name: str, epoch: int) -> None:
+    """One folder per epoch, overwritten on replay: exactly-once without a transaction."""
+    df.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
+
+
+def _earlier(spark: SparkSession, root: str, name: str, epoch: int, like: DataFrame) -> DataFrame:
+    path = f"{root}/{name}"
+    if not _exists(spark, path):
+        return spark.createDataFrame([], like.schema)
+    schema = StructType([*like.schema.fields, StructField("epoch", IntegerType())])
+    return spark.read.schema(schema).parquet(path).filter(F.col("epoch") < epoch).drop("epoch")
+
+
+# -- redelivery ---------------------------------------------------------------
 
+def deliveries_batch(root: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler: the first delivery of every key, whatever the order and the cut of the input.
 
-def combine_copies(stream: DataFrame, keys: list[str], ttl_seconds: int) -> DataFrame:
-    """Per Arrow batch, drop copies within the TTL of the batch's earliest copy of the key."""
-    def thin(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            first = pdf.groupby(keys, dropna=False)["ts"].transform("min")
-            late = (pdf["ts"] - first).dt.total_seconds() >= ttl_seconds
-            lead = ~pdf.sort_values("ts", kind="stable").duplicated(keys)
-            yield pdf[late | lead.reindex(pdf.index)]
+    Keys are remembered in a table (``seen``), so nothing is ever too late: ``first`` gets every key once,
+    ``late`` those whose event time is earlier than that of the delivery that was let through.
+    """
+    def handle(batch: DataFrame, epoch: int) -> None:
+        firsts = batch.groupBy(*keys).agg(F.min("ts").alias("ts")).persist()
+        known = _earlier(batch.sparkSession, root, "seen", epoch, firsts).groupBy(*keys).agg(F.min("ts").alias("known_ts"))
+        judged = firsts.join(known, keys, "left")
+        _log(judged.filter("known_ts IS NULL").drop("known_ts"), root, "first", epoch)
+        _log(judged.filter("ts < known_ts"), root, "late", epoch)
+        _log(firsts, root, "seen", epoch)
+        firsts.unpersist()
 
-    return stream.mapInPandas(thin, stream.schema)
+    return handle
 
 
 def mark_deliveries(stream: DataFrame, keys: list[str], ttl_seconds: int = DEDUP_TTL) -> DataFrame:
@@ -126,84 +141,49 @@ def limit_calls(stream: DataFrame, limit: int = RATE_LIMIT, window: int = RATE_W
 
 # -- sessions ------------------------------------------------------------------
 
-def session_snapshots(turns: DataFrame, ttl_seconds: int = SESSION_TTL) -> DataFrame:
-    """A snapshot of every session touched by a micro-batch; idle sessions expire.
+def sessions_batch(root: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler: a snapshot of every session that got new turns.
 
-    Entities are read by the JVM before the shuffle; the state holds the
-    distinct values per kind, the counters and whether the last message quits.
+    Turns and first-seen values are kept as tables; a snapshot is the batch roll-up of a session's turns so far, with
+    the completion rule asked after every message in turn order. The last snapshot of a session therefore
+    does not depend on how its turns were cut into batches. A turn that comes after a later one is also logged as ``late``.
     """
-    kinds = list(S.SCORED_KINDS)
-    weights = list(S.SCORED_KINDS.values())
-    buckets = {k: b for b, k in L.BUCKET_KINDS.items()}
-    rows = P.with_intel(turns.withWatermark("ts", f"{DEDUP_TTL} seconds")).select(
-        "session_id", "ts", "turn", *[F.col("intel")[buckets[k]].alias(k) for k in kinds],
-        R.is_disengaged(F.col("sender"), F.col("text")).alias("quits"),
-    )
-
-    def step(key: tuple, batches: Iterator, state: Any) -> Iterator:
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        count, last_turn, quits, values, done = state.get if state.exists else (0, -1, False, [[] for _ in kinds], False)
-        seen, latest = [dict.fromkeys(v) for v in values], 0
-        for pdf in batches:
-            count += len(pdf)
-            for i, k in enumerate(kinds):
-                for found in pdf[k]:
-                    seen[i].update(dict.fromkeys(found if found is not None else []))
-            top = pdf.loc[pdf["turn"].idxmax()]
-            if int(top["turn"]) > last_turn:
-                last_turn, quits = int(top["turn"]), bool(top["quits"])
-            latest = max(latest, int(pdf["ts"].max().timestamp() * 1000))
-        score, turns_done = sum(w * len(s) for w, s in zip(weights, seen)), count // 2
-        if turns_done < 8:
-            over = quits
-        elif turns_done >= 25:
-            over = True
-        elif score < 50 and turns_done < 15:
-            over = False
-        else:
-            over = score >= 80 or (score >= 50 and turns_done >= 12) or quits
-        fires = over and not done
-        state.update((count, last_turn, quits, [list(s) for s in seen], done or over))
-        state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs() + 1) + ttl_seconds * 1000)
-        yield pd.DataFrame({
-            "session_id": [key[0]], "message_count": [count], "intel_score": [score],
-            "is_complete": [bool(done or over)], "completed_now": [bool(fires)],
-        })
-
-    return rows.groupBy("session_id").applyInPandasWithState(
-        step, "session_id long, message_count long, intel_score long, is_complete boolean, completed_now boolean",
-        "n long, last_turn long, quits boolean, vals array<array<string>>, done boolean", "update", "EventTimeTimeout",
-    )
-
-
-def completions(snapshots: DataFrame) -> DataFrame:
-    """Sessions whose completion rule fired in this micro-batch."""
-    return snapshots.filter("completed_now").select("session_id", "message_count", "intel_score")
-
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        turns = batch.select("session_id", "turn", "sender", "text", "ts").dropDuplicates(["session_id", "turn"])
+        stored = _earlier(spark, root, "turns", epoch, turns)
+        new = turns.join(stored.select("session_id", "turn"), ["session_id", "turn"], "left_anti").persist()
+        touched = new.select("session_id").distinct()
+        found = S.session_values(S.turn_entities(new)).persist()
+        earlier = _earlier(spark, root, "values", epoch, found).join(touched, "session_id", "left_semi")
+        values = earlier.unionByName(found).groupBy("session_id", "kind", "value").agg(F.min("first_turn").alias("first_turn"))
+        history = stored.join(touched, "session_id", "left_semi")
+        snapshots = S.rollup(history.unionByName(new), values)
+        _log(snapshots.select("session_id", "message_count", "intel_score", "is_complete", "completed_turn", "completed_at", "completed_score"), root, "snapshots", epoch)
+        ahead = history.groupBy("session_id").agg(F.max("turn").alias("last_turn"))
+        _log(new.join(ahead, "session_id").filter("turn < last_turn").select("session_id", "turn", "last_turn"), root, "late", epoch)
+        _log(found, root, "values", epoch)
+        _log(new, root, "turns", epoch)
+        found.unpersist()
+        new.unpersist()
 
-# -- incremental correlation and reputation --------------------------------------
+    return handle
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
+def current_sessions(snapshots: DataFrame) -> DataFrame:
+    """The last snapshot of every session."""
+    columns = [c for c in snapshots.columns if c not in ("session_id", "epoch")]
+    last = snapshots.groupBy("session_id").agg(F.max_by(F.struct(*columns), "epoch").alias("s"))
+    return last.select("session_id", "s.*")
 
-def _log(df: DataFrame, root: str, name: str, epoch: int) -> None:
-    """One folder per epoch, overwritten on replay: exactly-once without a transaction."""
-    df.write.mode("overwrite").parquet(f"{root}/{name}/epoch={epoch}")
 
+def completions(sessions: DataFrame) -> DataFrame:
+    """Sessions whose completion rule has fired, as they stood when it first did."""
+    return sessions.filter("completed_at IS NOT NULL").select(
+        "session_id", F.col("completed_at").alias("message_count"), F.col("completed_score").alias("intel_score"))
 
-def _earlier(spark: SparkSession, root: str, name: str, epoch: int, like: DataFrame) -> DataFrame:
-    path = f"{root}/{name}"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], like.schema)
-    schema = StructType([*like.schema.fields, StructField("epoch", IntegerType())])
-    return spark.read.schema(schema).parquet(path).filter(F.col("epoch") < epoch).drop("epoch")
 
+# -- incremental correlation and reputation --------------------------------------
 
 def correlate_batch(root: str) -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: new occurrences against the stored ones and each other."""
@@ -265,44 +245,67 @@ def current_reputation(deltas: DataFrame, alpha: float = I.EMA_ALPHA) -> DataFra
 
 # -- investigations and feeds ------------------------------------------------------
 
+def failing_parts(df: DataFrame, job: Callable[[DataFrame], DataFrame], key: str, tries: int = MAX_TRIES, most: int = 256) -> list[tuple[int, int, str]]:
+    """(bits, rest, reason): hash classes of ``key`` on which ``job`` fails, halved until a class holds one key.
+
+    A class of one key is tried ``tries`` times. Beyond ``most`` open classes they are no longer halved, and count as failed whole.
+    """
+    todo, failed = [(0, 0)], []
+    while todo:
+        bits, rest = todo.pop()
+        part = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << bits)) == rest)
+        single = bits >= 48 or len(todo) >= most or part.select(key).distinct().limit(2).count() < 2
+        for attempt in range(1, (tries if single else 1) + 1):
+            try:
+                job(part).write.format("noop").mode("overwrite").save()
+                break
+            except Exception as exc:  # noqa: BLE001 - whatever the job raises ends in the dead letters
+                if single and attempt == tries:
+                    failed.append((bits, rest, str(exc)[:500]))
+                elif not single:
+                    todo += [(bits + 1, rest), (bits + 1, rest + (1 << bits))]
+    return failed
+
+
 def investigation_batch(root: str, investigate: Callable[[DataFrame], DataFrame], valid: Column) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler: skip reported ids, try three times, then dead-letter.
+    """Micro-batch handler: skip reported ids; ids that fail ``valid`` or three tries become dead letters, the rest reports.
 
-    Needs ``investigation_id``; rows failing ``valid`` are dead-lettered at once.
+    Needs ``investigation_id``. If the batch fails as a whole, the failing ids are found by halving.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         ids = batch.select("investigation_id")
-        todo = M.unreported(batch.dropDuplicates(["investigation_id"]), _earlier(spark, root, "reports", epoch, ids))
-        poison, good = todo.filter(~valid).select("investigation_id"), todo.filter(valid)
-        failed, reason = poison, "request has no content"
-        for attempt in range(1, MAX_TRIES + 1):
-            try:
-                _log(investigate(good), root, "reports", epoch)
-                break
-            except Exception as exc:  # noqa: BLE001 - whatever the job raises ends in the dead letters
-                if attempt == MAX_TRIES:
-                    failed, reason = ids, str(exc)[:500]
-        _log(M.audit_rows(failed, "worker", "job_failed", reason), root, "dead_letters", epoch)
+        todo = M.unreported(batch.dropDuplicates(["investigation_id"]), _earlier(spark, root, "reports", epoch, ids)).persist()
+        dead, good = M.audit_rows(todo.filter(~valid).select("investigation_id"), "worker", "job_failed", "request has no content"), todo.filter(valid)
+        try:
+            _log(investigate(good), root, "reports", epoch)
+        except Exception:  # noqa: BLE001 - which ids are to blame is found out below
+            for bits, rest, reason in failing_parts(good, investigate, "investigation_id"):
+                bad = F.pmod(F.xxhash64("investigation_id"), F.lit(1 << bits)) == rest
+                dead = dead.unionByName(M.audit_rows(good.filter(bad).select("investigation_id"), "worker", "job_failed", reason))
+                good = good.filter(~bad)
+            _log(investigate(good), root, "reports", epoch)
+        _log(dead, root, "dead_letters", epoch)
+        todo.unpersist()
 
     return handle
 
 
-def feed_batch(path: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler: replace the snapshot, keep the last good one on a bad poll."""
+def feed_batch(root: str) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler of polls (polled_at, payload): the latest readable poll of the batch is kept."""
     def handle(batch: DataFrame, epoch: int) -> None:
-        entries = feed_entries(batch)
-        if not entries.isEmpty():
-            entries.write.mode("overwrite").parquet(path)
+        readable = F.from_json("payload", schemas.FEED)["urls"].isNotNull()
+        latest = batch.filter(readable).agg(F.max_by(F.struct("polled_at", "payload"), "polled_at").alias("p"))
+        _log(latest.filter("p IS NOT NULL").select("p.*"), root, "polls", epoch)
 
     return handle
 
 
+def current_feed(polls: DataFrame) -> DataFrame:
+    """Entries of the latest readable poll; none if that poll was empty."""
+    return feed_entries(polls.agg(F.max_by("payload", "polled_at").alias("payload")))
+
+
 def score_messages(stream: DataFrame) -> DataFrame:
     """Stateless scoring: the batch column expressions on a stream."""
     return P.pattern_verdict(stream)
-
-
-def windowed_counts(stream: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Messages and distinct-free risk totals per tumbling window."""
-    return stream.withWatermark("ts", f"{DEDUP_TTL} seconds").groupBy(F.window("ts", width), "platform").agg(F.count(F.lit(1)).alias("n"))

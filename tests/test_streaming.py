@@ -61,11 +61,31 @@ def test_exact_ttl(spark, tmp_path):
             assert got[(c, t)] == (not fresh)
 
 
-def test_dedup_within_watermark(spark, tmp_path):
-    _, df = events(spark, 60)
-    doubled = df.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select("seq", "ts", "caller")
-    out = ST.first_deliveries(feed(spark, doubled, tmp_path, 1), ["seq"])
-    assert sorted(r["seq"] for r in collect(spark, out, tmp_path)) == list(range(60))
+def shuffled(spark, rows, schema, tmp_path, files, per_trigger):
+    """Rows in any order over ``files`` files, read so many per micro-batch."""
+    random.Random(7).shuffle(rows)
+    src = str(tmp_path / f"src{per_trigger}")
+    for i in range(files):
+        df = spark.createDataFrame(rows[i::files], schema).withColumn("ts", F.timestamp_seconds("t"))
+        df.coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_trigger).parquet(src)
+
+
+def through(spark, stream, handler, tmp_path, per_trigger, *names):
+    root = str(tmp_path / f"state{per_trigger}")
+    ST.run_available(stream.writeStream.foreachBatch(handler(root)), f"{root}/cp")
+    return [spark.read.parquet(f"{root}/{n}") for n in names]
+
+
+def test_first_deliveries_for_any_cut(spark, tmp_path):
+    rows = [(i, f"p{i % 3}", 1_700_000_000 + i * 60 + c * 50_000) for i in range(150) for c in range(2)]
+    for per_trigger in (1, 2, 1000):
+        stream = shuffled(spark, list(rows), "seq long, caller string, t long", tmp_path, 4, per_trigger)
+        first, late, seen = through(spark, stream, lambda root: ST.deliveries_batch(root, ["seq", "caller"]), tmp_path, per_trigger, "first", "late", "seen")
+        assert sorted((r["seq"], r["caller"]) for r in first.collect()) == sorted({r[:2] for r in rows})
+        assert {r["seq"]: r["t"] for r in seen.groupBy("seq").agg(F.min(F.unix_seconds("ts")).alias("t")).collect()} == {r[0]: min(x[2] for x in rows if x[0] == r[0]) for r in rows}
+        earlier = {r["seq"] for r in first.join(late.select("seq", F.col("ts").alias("l")), "seq").filter("l < ts").collect()}
+        assert late.select("seq").distinct().count() == len(earlier) and (per_trigger < 1000 or not earlier)
 
 
 @pytest.mark.parametrize("replay", [False, True])
@@ -98,19 +118,18 @@ def test_incremental_reputation(spark, tmp_path):
     assert got == pytest.approx(want)
 
 
-def test_session_state(spark, tmp_path):
-    rows = [(1, t, "scammer" if t % 2 == 0 else "agent", f"pay u{t}@ybl" if t < 8 else "ok", 1_700_000_000 + t * 10) for t in range(20)]
-    rows += [(2, 0, "scammer", "hello there friend of mine", 1_700_000_000), (2, 1, "scammer", "bye scam", 1_700_000_050)]
-    df = spark.createDataFrame(rows, "session_id long, turn long, sender string, text string, t long").withColumn("ts", F.timestamp_seconds("t"))
-    stream = feed(spark, df, tmp_path, 4, key="turn * 1.1")
-    out = str(tmp_path / "out")
-    snaps = ST.session_snapshots(stream)
-    ST.run_available(snaps.writeStream.outputMode("update").foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{out}/epoch={e}")), str(tmp_path / "cp"))
-    last = {}
-    for r in sorted(spark.read.parquet(out).collect(), key=lambda r: r["epoch"]):
-        last[r["session_id"]] = r
-    assert (last[1]["message_count"], last[1]["intel_score"], last[1]["is_complete"]) == (20, 240, True)
-    assert (last[2]["message_count"], last[2]["is_complete"]) == (2, True)
+def test_session_state_for_any_cut(spark, tmp_path):
+    rows = [(1, t, "scammer" if t % 2 == 0 else "agent", f"pay u{t}@ybl" if t < 8 else "ok", 1_700_000_000 + t * 10) for t in range(24)]
+    rows += [(2, t, "scammer", "bye scam" if t == 4 else "hello there friend of mine", 1_600_000_000 + t * 50) for t in range(12)]
+    rows += [(3, t, "scammer", "hello there friend of mine", 1_650_000_000 + t * 50) for t in range(3)]
+    for per_trigger in (1, 2, 1000):
+        stream = shuffled(spark, list(rows), "session_id long, turn long, sender string, text string, t long", tmp_path, 4, per_trigger)
+        snapshots, turns, late = through(spark, stream, ST.sessions_batch, tmp_path, per_trigger, "snapshots", "turns", "late")
+        got = {r["session_id"]: (r["message_count"], r["intel_score"], r["is_complete"], r["completed_turn"]) for r in ST.current_sessions(snapshots).collect()}
+        # session 1 has 240 points after turn 7, and the rule looks at the score from the eighth exchange on, that is turn 15
+        assert got == {1: (24, 240, True, 15), 2: (12, 0, True, 4), 3: (3, 0, False, None)}
+        assert turns.count() == len(rows) and (late.count() > 0) == (per_trigger < 4)
+        assert {(r["session_id"], r["message_count"]) for r in ST.completions(ST.current_sessions(snapshots)).collect()} == {(1, 16), (2, 5)}
 
 
 def test_jobs_dead_letter(spark, tmp_path):
@@ -126,8 +145,25 @@ def test_jobs_dead_letter(spark, tmp_path):
     both = df.unionByName(df)
     handler(both, 0)
     handler(both, 1)  # redelivery
-    assert spark.read.parquet(f"{root}/reports").count() == 16
-    broken = ST.investigation_batch(root, lambda b: b.select("investigation_id", F.assert_true(F.col("seq") < 0, "boom").alias("n")), F.col("text") != "")
+    reports = spark.read.parquet(f"{root}/reports")
+    assert {r["investigation_id"] for r in reports.collect()} == {i for i in range(20) if i % 5}
+    boom = F.when(F.col("seq") == 7, F.raise_error(F.lit("boom")).cast("int")).otherwise(F.length("text"))
+    broken = ST.investigation_batch(root, lambda b: b.select("investigation_id", boom.alias("n")), F.col("text") != "")
     broken(df.withColumn("investigation_id", F.col("seq") + 100), 2)
-    dead = spark.read.parquet(f"{root}/dead_letters").filter("epoch = 2")
-    assert dead.count() == 20 and "boom" in dead.first()["reason"]
+    dead = spark.read.parquet(f"{root}/dead_letters").filter("epoch = 2").collect()
+    assert sorted(r["target_id"] for r in dead) == [100, 105, 107, 110, 115]
+    assert ["boom" in r["reason"] for r in dead if r["target_id"] == 107] == [True]
+    assert spark.read.parquet(f"{root}/reports").filter("epoch = 2").count() == 15
+
+
+def test_last_readable_poll_is_the_feed(spark, tmp_path):
+    root = str(tmp_path / "feed")
+    poll = lambda *rows: spark.createDataFrame(list(rows), "polled_at long, payload string")
+    handler = ST.feed_batch(root)
+    current = lambda: [r["url"] for r in ST.current_feed(spark.read.parquet(f"{root}/polls")).collect()]
+    handler(poll((1, '{"urls": [{"url": "http://a"}, {"url": "http://b"}]}'), (2, '{"urls": [{"url": "http://c"}]}')), 0)
+    assert current() == ["http://c"]
+    handler(poll((3, "<html>"), (4, None)), 1)
+    assert current() == ["http://c"]
+    handler(poll((5, '{"urls": []}')), 2)
+    assert current() == []
