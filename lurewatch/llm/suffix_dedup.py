@@ -214,7 +214,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucke
     span = F.col("shape").bitwiseAND(0xFFFF)
     many = contexts.where("n > 1").select("gram", "sig")
     whole = rows.join(many, ["gram", "sig"]).select("doc_id", F.col("at").alias("lo"), (F.col("at") + span + length).alias("hi"))
-    mixed = contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum(F.expr("int(n = 1)")).alias("singles")).where("kinds > 1 and singles > 0").select("gram")
+    mixed = stored(contexts.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum(F.expr("int(n = 1)")).alias("singles")).where("kinds > 1 and singles > 0").select("gram"), "mixed-grams")
     open_blocks = contexts.join(mixed, "gram").select("one.*", "gram", "n").groupBy("doc_id").agg(
         F.collect_list(F.struct("at", "shape", "gram", "n")).alias("blocks"))
     suffixes = stored(_suffixes(B.texts_with(docs, open_blocks).dropDuplicates(["doc_id"]), length), "suffixes")
