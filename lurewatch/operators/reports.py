@@ -243,8 +243,12 @@ def recent_reports(reports: DataFrame, investigations: DataFrame, limit: int = 5
     """Most recent reports with their owner's channel; one user's, or all."""
     owners = investigations if user_id is None else investigations.filter(F.col("user_id") == user_id)
     owners = owners.select(F.col("id").alias("investigation_id"), "platform", "content_type", "user_id")
-    joined = reports.join(owners, "investigation_id")
-    return joined.orderBy(F.desc("generated_at"), "investigation_id").limit(limit)
+    order = [F.desc("generated_at"), F.col("investigation_id")]
+    # the newest ids come from two narrow columns; whole rows are fetched for these ``limit`` ids only
+    owned = reports.select("investigation_id", "generated_at").join(owners.select("investigation_id"), "investigation_id", "left_semi")
+    newest = F.broadcast(owned.orderBy(*order).limit(limit).select("investigation_id").distinct())
+    picked = lambda df: df.join(newest, "investigation_id", "left_semi")
+    return picked(reports).join(picked(owners), "investigation_id").orderBy(*order).limit(limit)
 
 
 def dashboard_counts(investigations: DataFrame) -> DataFrame:

@@ -253,27 +253,51 @@ _NOW = "TIMESTAMP '1998-01-01 00:00:00'"
 _GONE = f"gone AS (SELECT id FROM investigations WHERE purge_at <= {_NOW} AND evidence_state <> 'purged')"
 
 
-@query("u5_retention_purge", with_(INVESTIGATIONS_SQL, EVIDENCE_SQL, _GONE) + f"""
-SELECT 'entities' AS what, count(*) AS n FROM evidence WHERE investigation_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'audit', count(*) FROM gone
-UNION ALL SELECT 'purged', count(*) FROM investigations WHERE purge_at <= {_NOW} OR evidence_state = 'purged' UNION ALL SELECT 'again', 0""")
+_CHILDREN = """SELECT 'entities' AS what, investigation_id AS id, count(*)::VARCHAR AS value FROM evidence WHERE investigation_id NOT IN (SELECT id FROM {0}) GROUP BY investigation_id
+UNION ALL SELECT 'messages', id, platform FROM investigations WHERE id NOT IN (SELECT id FROM {0}) UNION ALL SELECT 'reports', id, risk_score::VARCHAR FROM investigations WHERE id NOT IN (SELECT id FROM {0})
+UNION ALL SELECT 'audit', id, '{1}' FROM {0} UNION ALL """
+
+
+def _evidence_base(spark, sf):
+    """Investigations and the tables that hang on them."""
+    inv = investigations(spark, sf)
+    key = F.col("id").alias("investigation_id")
+    return inv, {"entities": evidence_rows(spark, sf), "messages": inv.select(key, "platform"), "reports": inv.select(key, "risk_score")}
+
+
+def _written(spark, tables, label):
+    """New table versions, written and read again."""
+    root = scratch_path(spark, label)
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{name}")
+    return {name: spark.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in tables.items()}
+
+
+def _survivors(out):
+    one = lambda name, key, value: out[name].select(F.lit(name).alias("what"), F.col(key).alias("id"), F.col(value).cast("string").alias("value"))
+    counted = out["entities"].groupBy("investigation_id").agg(F.count("*").cast("string").alias("value"))
+    rows = counted.select(F.lit("entities").alias("what"), F.col("investigation_id").alias("id"), "value")
+    for part in (one("messages", "investigation_id", "platform"), one("reports", "investigation_id", "risk_score"), one("audit", "target_id", "action"), one("investigations", "id", "evidence_state")):
+        rows = rows.unionByName(part)
+    return rows
+
+
+@query("u5_retention_purge", with_(INVESTIGATIONS_SQL, EVIDENCE_SQL, _GONE) + _CHILDREN.format("gone", "purge") + f"""
+SELECT 'investigations', id, CASE WHEN purge_at <= {_NOW} THEN 'purged' ELSE evidence_state END FROM investigations""")
 def retention_purge(spark, sf):
+    """Surviving rows of all tables after a purge that is written and then run again, which adds nothing."""
     now = F.lit("1998-01-01 00:00:00").cast("timestamp")
-    out = M.purge(investigations(spark, sf), {"entities": evidence_rows(spark, sf)}, now)
-    inv = out["investigations"]
-    n = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    return (n(out["entities"], "entities").unionByName(n(out["audit"], "audit"))
-            .unionByName(n(inv.filter("evidence_state = 'purged'"), "purged")).unionByName(n(M.expired(inv, now), "again")))
+    out = _written(spark, M.purge(*_evidence_base(spark, sf), now), "purge")
+    again = M.purge(out["investigations"], {n: out[n] for n in ("entities", "messages", "reports")}, now)
+    return _survivors(again | {"audit": out["audit"].unionByName(again["audit"])})
 
 
-@query("u6_owner_deletion", with_(INVESTIGATIONS_SQL, EVIDENCE_SQL, "mine AS (SELECT id FROM investigations WHERE user_id = 11)") + """
-SELECT 'entities' AS what, count(*) AS n FROM evidence WHERE investigation_id NOT IN (SELECT id FROM mine) UNION ALL SELECT 'investigations', count(*) FROM investigations WHERE user_id <> 11
-UNION ALL SELECT 'audit', count(*) FROM mine""")
+@query("u6_owner_deletion", with_(INVESTIGATIONS_SQL, EVIDENCE_SQL, "mine AS (SELECT id FROM investigations WHERE user_id = 11)") + _CHILDREN.format("mine", "delete") + """
+SELECT 'investigations', id, evidence_state FROM investigations WHERE user_id <> 11""")
 def owner_deletion(spark, sf):
-    inv = investigations(spark, sf)
+    inv, children = _evidence_base(spark, sf)
     ids = inv.filter("user_id = 11").select(F.col("id").alias("investigation_id"))
-    out = M.delete_for_owner(inv, {"entities": evidence_rows(spark, sf)}, ids, "user:11", "owner request")
-    parts = [out[w].agg(F.count("*").alias("n")).select(F.lit(w).alias("what"), "n") for w in ("entities", "investigations", "audit")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _survivors(_written(spark, M.delete_for_owner(inv, children, ids, "user:11", "owner request"), "deletion"))
 
 
 @query("j4_unreported_requests", with_(MESSAGES_SQL) + "SELECT message_id FROM messages WHERE message_id NOT IN (SELECT doc_id FROM labels)")
