@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lurewatch.plans.registry import spread, table
 
 BANK = [
-    "Lucky you! Ticket 7781 took the jackpot prize of 40 lakh, wire the claim fee before tonight.",
+    "Lucky you! Ticket 7781 won the lottery jackpot of 40 lakh: urgent, pay the transfer fee today and claim the prize and reward now.",
     "Final notice from the branch desk: account blocked, finish kyc here http://kyc-renewal-form.xyz/go without delay.",
     "Send 1450 rupees to parcel.desk@okicici and the refund is released today itself.",
     "Part time job from home, typing invoices, salary paid weekly after a small registration fee.",
