@@ -38,6 +38,17 @@ def test_toxicity_of_held_out_documents(spark, labels):
     assert held[held["toxic"] == 1]["score"].mean() > 3 * held[held["toxic"] == 0]["score"].mean()
 
 
+def test_toxic_word_of_late_rows_is_learned(spark):
+    """Of 1 500 toxic rows, all are learned from: a word that only the last 300 by hash order hold gets a weight."""
+    ids = toxicity.held_out(spark.range(4200).withColumnRenamed("id", "doc_id")).where("not held_out").selectExpr("doc_id", "xxhash64(doc_id, 5) as place").orderBy("place").toPandas()["doc_id"].tolist()
+    toxic, fine = ids[:1500], ids[1500:3000]
+    docs = [(d, f"plain words {'grobian' if i >= 1200 else 'moron'}") for i, d in enumerate(toxic)] + [(d, "plain words only") for d in fine]
+    marks = spark.createDataFrame([(d, 1) for d in toxic] + [(d, 0) for d in fine], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), marks)
+    late, none = toxicity.scores(model, pa.array(["plain words grobian", "plain words only"]))
+    assert late > 0.5 > none
+
+
 def test_quality_of_held_out_documents(spark, labels):
     rows = QUERIES["op10_quality"][0](spark, SF).toPandas().set_index("doc_id")
     assert all(h == (remainder(d, 3) == 1) for d, h in rows["held_out"].items())
