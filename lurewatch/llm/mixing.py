@@ -6,22 +6,27 @@ deadline first then keeps every source within one block of its share at every sl
 starts over (``epoch``); the schedule is as long as the source takes that needs most slots to be used once,
 so every document is placed at least once.
 
-Weights are whole parts of a power of two, the period: within a period of as many slots each source has exactly its
-parts, and the next period repeats the pattern. Tasks write the periods side by side.
+Weights count as they are given, as whole parts of their common denominator, over the whole schedule. The driver walks
+the schedule once and keeps how many blocks of each source are placed at some slots; tasks walk and write the slots
+from there side by side.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from math import gcd, lcm
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Weights are rounded to parts of at least this many, and of sixteen for each source.
+#: Rounded weights are parts of at least this many, and of sixteen for each source.
 LEAST_PARTS = 1 << 14
+#: Slots that a task writes at least, and tasks at most.
+TASK_SLOTS, MAX_TASKS = 1 << 14, 1 << 10
 BLOCK_DOCS = 64
 #: Documents that one task orders at once, on average.
 GROUP_DOCS = 768
@@ -32,7 +37,7 @@ POWER = 0.7
 
 
 def whole_parts(weights: Mapping[str, float]) -> dict[str, int]:
-    """Weights as whole parts of a power of two; every source gets at least one part."""
+    """Weights rounded to parts of a power of two, for a schedule that is one short period; every source gets at least one part."""
     if any(not w > 0 for w in weights.values()):
         raise ValueError("weights must be positive")
     parts = 1 << max(LEAST_PARTS.bit_length() - 1, (16 * len(weights) - 1).bit_length())
@@ -45,19 +50,48 @@ def whole_parts(weights: Mapping[str, float]) -> dict[str, int]:
     return out
 
 
-def period(parts: list[int]) -> list[tuple[int, int]]:
-    """(source number, block number) of each slot of one period, earliest deadline first; ties go to the first source."""
-    total = sum(parts)
-    released: dict[int, list[int]] = {0: list(range(len(parts)))}
-    done, ready, out = [0] * len(parts), [], []
-    for t in range(total):
+def exact_parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """Weights as whole parts of their sum, without any rounding."""
+    if any(not 0 < w < float("inf") for w in weights.values()):
+        raise ValueError("weights must be positive")
+    shares = {n: Fraction(w) for n, w in weights.items()}
+    unit = lcm(*(x.denominator for x in shares.values()))
+    parts = {n: int(x * unit) for n, x in shares.items()}
+    common = gcd(*parts.values())
+    return {n: p // common for n, p in parts.items()}
+
+
+def walk(parts: Sequence[int], slots: int, first: int = 0, done: Sequence[int] | None = None) -> Iterator[tuple[int, int]]:
+    """(source number, block number) of ``slots`` slots from ``first`` on, earliest deadline first; ties go to the first source.
+
+    ``done`` are the blocks of each source that this schedule places before ``first``.
+    """
+    total, done = sum(parts), list(done or [0] * len(parts))
+    ready: list[tuple[int, int]] = []
+    released: dict[int, list[int]] = {}
+    for k, j in enumerate(done):
+        released.setdefault(max(first, j * total // parts[k]), []).append(k)
+    for t in range(first, first + slots):
         for k in released.pop(t, ()):
             heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[k]), k))
         _, k = heapq.heappop(ready)
-        out.append((k, done[k]))
+        yield k, done[k]
+        done[k] += 1
+        released.setdefault(max(t + 1, done[k] * total // parts[k]), []).append(k)
+
+
+def period(parts: list[int]) -> list[tuple[int, int]]:
+    """The walk over as many slots as there are parts."""
+    return list(walk(parts, sum(parts)))
+
+
+def starts(parts: Sequence[int], slots: int, size: int) -> list[list[int]]:
+    """Blocks of each source placed before slots 0, size, 2 size, ..."""
+    done, out = [0] * len(parts), []
+    for t, (k, _) in enumerate(walk(parts, slots)):
+        if t % size == 0:
+            out.append(done.copy())
         done[k] += 1
-        if done[k] < parts[k]:
-            released.setdefault(max(t + 1, done[k] * total // parts[k]), []).append(k)
     return out
 
 
@@ -83,8 +117,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs:
         group_docs: int = GROUP_DOCS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """One row per placed document: slot, place (in the block), source, block, epoch, doc_id.
 
-    Ordered by (slot, place), any prefix of whole slots holds each source's share to less than one block.
-    ``weights`` name every source of ``docs`` (null counts as ""); others are ignored. Without weights a source counts
+    Ordered by (slot, place), any prefix of whole slots holds each source's share to less than one block
+    of its weight, however long the schedule is. ``weights`` name every source of ``docs`` (null counts as ""); others are ignored. Without weights a source counts
     by its size to the power ``POWER``. A last block may be shorter; repeated rows are placed each; rows
     with a null doc_id too. Other columns are ignored; no documents, no rows.
     """
@@ -99,21 +133,21 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs:
         return scheduled.join(blocks(docs, {"": 0}, block_docs, group_docs), ["source", "block"]).select("slot", "place", "source", "block", "epoch", "doc_id")
     if weights is not None and (missing := set(sizes) - set(weights)):
         raise ValueError(f"no weight for {sorted(missing)[:5]}")
-    parts_of = whole_parts({n: weights[n] if weights is not None else sizes[n] ** POWER for n in sizes})
+    parts_of = exact_parts({n: weights[n] if weights is not None else sizes[n] ** POWER for n in sizes})
     names, parts = list(sizes), [parts_of[n] for n in sizes]
     counts = [-(-sizes[n] // block_docs) for n in names]
     total = sum(parts)
     slots = max(-(-c * total // p) for c, p in zip(counts, parts, strict=True))
-    pattern = np.array(period(parts))
-    source, job = pattern[:, 0], pattern[:, 1]
-    count, share, name = np.array(counts)[source], np.array(parts)[source], np.array(names, dtype=object)[source]
+    size = max(TASK_SLOTS, -(-slots // MAX_TASKS))
+    ranges = spark.createDataFrame([(t * size, done) for t, done in enumerate(starts(parts, slots, size))], "first long, done array<long>")
+    count, name = np.array(counts), np.array(names, dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for n in pdf["id"]:
-                size = min(total, slots - int(n) * total)
-                block = job[:size] + int(n) * share[:size]
-                yield pd.DataFrame({"slot": np.arange(size) + int(n) * total, "source": name[:size], "block": block % count[:size], "epoch": block // count[:size]})
+            for first, done in zip(pdf["first"], pdf["done"], strict=True):
+                here = np.array(list(walk(parts, min(size, slots - int(first)), int(first), done.tolist())), dtype=np.int64)
+                source, block = here[:, 0], here[:, 1]
+                yield pd.DataFrame({"slot": np.arange(len(here)) + int(first), "source": name[source], "block": block % count[source], "epoch": block // count[source]})
 
-    scheduled = spark.range(-(-slots // total)).mapInPandas(run, schema)
+    scheduled = ranges.repartition(-(-slots // size)).mapInPandas(run, schema)
     return blocks(docs, sizes, block_docs, group_docs).join(scheduled, ["source", "block"]).select("slot", "place", "source", "block", "epoch", "doc_id")

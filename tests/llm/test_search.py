@@ -117,6 +117,29 @@ def test_every_prefix_is_within_one_block(sources):
     assert (done == parts).all()
 
 
+def test_long_schedules_keep_to_the_given_weights():
+    """Over many times 16 384 slots, and from any slot a task may start at, against the weights themselves."""
+    sizes = [1.0] * 19 + [9.5]
+    for weights in ([n ** 0.7 for n in sizes], [0.00001, 0.3, 0.69999]):
+        parts = list(mixing.exact_parts({f"s{i}": w for i, w in enumerate(weights)}).values())
+        total, slots, done = sum(parts), 300_000, [0] * len(parts)
+        assert all(abs(p / total - w / sum(weights)) < 1e-12 * w for p, w in zip(parts, weights, strict=True))
+        tails = mixing.starts(parts, slots, 50_000)
+        pieces = [x for n, d in enumerate(tails) for x in mixing.walk(parts, 50_000, n * 50_000, d)]
+        for t, (k, j) in enumerate(mixing.walk(parts, slots), 1):
+            assert pieces[t - 1] == (k, j) and j == done[k]
+            done[k] += 1
+            if t % 997 == 0:
+                assert all(abs(d * total - p * t) < total for d, p in zip(done, parts, strict=True))
+        assert done[0] == -(-slots * parts[0] // total) or done[0] == slots * parts[0] // total
+
+
+def test_mix_keeps_a_small_weight(docs_of):
+    docs = docs_of([(i, "t", None, "rare" if i < 2 else "often") for i in range(40)])
+    rows = mixing.mix(docs, {"rare": 0.00001, "often": 0.99999}, block_docs=1).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in rows} == {"rare": 2, "often": 199_998}
+
+
 def test_mixed_documents(docs_of, odd_docs):
     docs = docs_of([(i, "t", None, "big" if i % 3 else f"small{i % 2}") for i in range(900)])
     rows = mixing.mix(docs, {"big": 0.2, "small0": 0.5, "small1": 0.3, "other": 9.0}, block_docs=10, group_docs=50).collect()
