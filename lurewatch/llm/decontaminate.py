@@ -1,15 +1,17 @@
-"""Benchmark decontamination: edit distance by CGK embedding, bit-sampling LSH and exact verification.
-
-An item of n words is found in a document if n consecutive words of it (white space and punctuation
-aside, case folded) are within edit distance floor((1 - similarity) * n) of the item, counted in words. Windows may run
-over the document's end by as many words as may be missing.
-
-1. A window that close to an item keeps at least n - 1 - 2k of its word pairs, each moved by at most k words. Pairs that
-   documents share with an item vote for (item, start), and only starts with enough votes within k words go on. This loses nothing.
-2. The rest is embedded by random walks (CGK): a walk copies the current word at each of 3n steps and moves on by a coin
-   that depends on step and word, so that edit distance becomes Hamming distance. Several walks
-   and samples of a few steps of each give keys; a window meets the items that share a key.
-3. Word edit distance is computed for the pairs that met. Only step 2 can miss a pair, and only one that is not an exact copy.
+"""Benchmark decontamination: word edit distance of items to any run of a document's words.
+
+An item of n words is found in a document if some run of its words, n - k to n + k long, is within edit distance
+k = floor((1 - similarity) * n) of the item, counted in words (white space and punctuation aside, case folded).
+
+1. A run that close to an item keeps at least n - 1 - 2k of its word pairs, each moved by at most k words. Pairs that
+   documents share with an item vote for (item, start), and only starts with enough votes within k words go on. This loses
+   nothing: the start of every such run is among them.
+2. Word edit distance from each start to every end is computed for all of them (``nearest``).
+
+``search`` is the narrower form with CGK embedding: only windows of exactly n words (which may run over the end), and of
+those the ones that share a key of bit-sampled random walks with an item. A walk copies the current word at each of 3n
+steps and moves on by a coin that depends on step and word, so that edit distance becomes Hamming distance. It can miss
+near copies; ``contaminated`` does not use it.
 """
 
 from __future__ import annotations
@@ -73,8 +75,8 @@ def keys(rows: np.ndarray, walks: int, samples: int, steps: int) -> Iterator[np.
             yield key
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Edit distances of rows of a and b, pair by pair."""
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of rows of a to all beginnings of rows of b, pair by pair."""
     count, n = a.shape
     row = np.tile(np.arange(b.shape[1] + 1), (count, 1))
     for i in range(n):
@@ -84,7 +86,17 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         new[:, 1:] = np.minimum(change, row[:, 1:] + 1)
         steps = np.arange(new.shape[1])
         row = np.minimum.accumulate(new - steps, axis=1) + steps  # insertions, from left to right
-    return row[:, -1]
+    return row
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of rows of a and b, pair by pair."""
+    return _distances(a, b)[:, -1]
+
+
+def free_end_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of rows of a to the nearest beginning of the row of b."""
+    return _distances(a, b).min(axis=1)
 
 
 @dataclass(frozen=True)
@@ -220,10 +232,47 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray, walks: int = WAL
     return [(r, item, *best) for (r, item), best in sorted(found.items())]
 
 
+def nearest(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(row, item_id, distance, first word, words) of the nearest run of words of each item found in a row; misses none."""
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
+
+    def settle(n: int) -> None:
+        row, item, first, text = (np.concatenate(x) for x in zip(*waiting.pop(n), strict=True))
+        group = index.groups[n]
+        for i in range(0, len(row), 20_000):
+            r, q, f = row[i : i + 20_000], item[i : i + 20_000], first[i : i + 20_000]
+            d = free_end_distances(group.rows[np.searchsorted(group.items, q)], text[i : i + 20_000])
+            turn = np.lexsort((f, d, q, r))
+            turn = turn[d[turn] <= index.allowed[q[turn]]]
+            turn = turn[np.unique(r[turn] * len(index.ids) + q[turn], return_index=True)[1]]
+            for r1, q1, d1, f1 in zip(r[turn].tolist(), q[turn].tolist(), d[turn].tolist(), f[turn].tolist(), strict=True):
+                key, best = (r1, int(index.ids[q1])), (d1, f1, n)
+                if key not in found or best < found[key]:
+                    found[key] = best
+
+    for i, j in T.steps(offsets) if len(index.ids) else ():
+        w, counts = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        row, item, first = _starts(index, w, counts)
+        begin = np.concatenate([[0], np.cumsum(counts)])
+        for n in np.unique(index.sizes[item]).tolist():
+            mine = np.flatnonzero(index.sizes[item] == n)
+            for some in np.split(mine, range(20_000, len(mine), 20_000)):
+                r = row[some]
+                at = first[some][:, None] + np.arange(n + index.allowed[item[some[0]]])
+                text = np.where(at < counts[r][:, None], w[np.minimum(begin[r][:, None] + at, len(w) - 1)], _END)
+                waiting.setdefault(n, []).append((r + i, item[some], first[some], text))
+                if sum(len(x[0]) for x in waiting[n]) >= 20_000:
+                    settle(n)
+    for n in list(waiting):
+        settle(n)
+    return [(r, item, *best) for (r, item), best in sorted(found.items())]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance (words), first_word, n_words (of the item).
 
-    Of several windows the nearest counts, the first of equals. Null and empty texts hold nothing; items that are
+    Of several runs of words the nearest counts, the first of equals. Null and empty texts hold nothing; items that are
     null or have under ``LEAST_WORDS`` words are not searched; equal items are each reported; a document that occurs
     twice is reported twice. The items are the query set: they are sent to the tasks in passes of ``items_per_pass``.
     """
@@ -234,13 +283,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     out = spark.createDataFrame([], schema)
     for number in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number).collect() if passes > 1 else items.collect()
-        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in sorted(some)], similarity))
+        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in sorted(some)], similarity, walks=0))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = T.buffers(batch.column(1))
                 ids = batch.column(0).to_pylist()
-                rows = search(index.value, data, offsets)
+                rows = nearest(index.value, data, offsets)
                 if rows:
                     r, item, d, first, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(

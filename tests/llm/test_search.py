@@ -48,6 +48,59 @@ def test_decontamination_recall_against_all_windows():
     assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
 
 
+def nearest_runs(texts, items):
+    """(row, item) -> least word edit distance of any run of words, by the whole table of distances with both ends free."""
+    out = {}
+    for i, item in items:
+        want = decontaminate.words(*encoded([item]))[0].tolist()
+        for r, t in enumerate(texts):
+            have = decontaminate.words(*encoded([t]))[0].tolist()
+            row = [0] * (len(have) + 1)
+            for x, word in enumerate(want, 1):
+                new = [x]
+                for y, other in enumerate(have):
+                    new.append(min(row[y] + (word != other), row[y + 1] + 1, new[y] + 1))
+                row = new
+            if min(row) <= int(0.2 * len(want) + 1e-9):
+                out[r, i] = min(row)
+    return out
+
+
+def test_runs_of_other_lengths_are_found():
+    item = [f"w{i}" for i in range(40)]
+    around = [f"x{i}" for i in range(60)]
+    gone = [w for i, w in enumerate(item) if i % 6 or not i or i > 36]
+    more = [y for i, w in enumerate(item) for y in ([w, f"n{i}"] if i % 7 == 3 else [w])]
+    texts = [" ".join(x) for x in (around + gone[:], around + gone + around, around + more + around, item[5:] + around, around + item[:35], item[9:] + around)]
+    got = {r: d for r, _, d, _, _ in decontaminate.nearest(decontaminate.build_index([(1, " ".join(item))], walks=0), *encoded(texts))}
+    assert len(gone) == 34 and len(more) == 46
+    assert got == {0: 6, 1: 6, 2: 6, 3: 5, 4: 5}
+
+
+def test_decontamination_finds_what_free_ends_find():
+    rng = np.random.default_rng(14)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefg"), rng.integers(2, 6))) for _ in range(400)])
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(5, 50)))) for i in range(20)]
+    texts = []
+    for k in range(80):
+        words, kinds = items[k % 20][1].split(), [(0,), (1,), (0, 1, 2)][k % 3]
+        for _ in range(int(rng.integers(0, 0.25 * len(words) + 1))):
+            at, new = int(rng.integers(len(words))), str(rng.choice(vocabulary))
+            kind = rng.choice(kinds)
+            words[at : at + (kind != 1)] = [] if kind == 0 else [new]
+        texts.append(" ".join([*rng.choice(vocabulary, rng.integers(0, 60) * (k % 4 > 0)), *words, *rng.choice(vocabulary, rng.integers(0, 60))]))
+    want = nearest_runs(texts, items)
+    assert {(r, i): d for r, i, d, _, _ in decontaminate.nearest(decontaminate.build_index(items, walks=0), *encoded(texts))} == want
+    assert len(want) > 50
+
+
+def test_contaminated_reports_runs_of_other_lengths(spark, docs_of):
+    item = [f"w{i}" for i in range(40)]
+    docs = docs_of([(1, " ".join(item[5:] + ["x"] * 9), "en", "a"), (2, " ".join(w for i, w in enumerate(item) if i % 6 or not i), "en", "a")])
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert sorted((r["doc_id"], r["distance"], r["first_word"], r["n_words"]) for r in decontaminate.contaminated(docs, items).collect()) == [(1, 5, 0, 40), (2, 6, 0, 40)]
+
+
 def test_edit_distance():
     a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]], dtype=np.uint64)
     b = np.array([[1, 2, 3, 4], [2, 3, 4, 5], [9, 9, 9, 9]], dtype=np.uint64)
