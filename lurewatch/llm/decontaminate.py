@@ -6,7 +6,9 @@ k = floor((1 - similarity) * n) of the item, counted in words (white space and p
 1. A run that close to an item keeps at least n - 1 - 2k of its word pairs, each moved by at most k words. Pairs that
    documents share with an item vote for (item, start), and only starts with enough votes within k words go on. This loses
    nothing: the start of every such run is among them.
-2. Word edit distance from each start to every end is computed for all of them (``nearest``).
+2. Word edit distance from each start to every end is computed for all of them (``nearest``). Items of one word are looked up.
+
+Characters of scripts that are written without spaces (Chinese, Japanese, Thai and the like) count as words of their own.
 
 ``search`` is the narrower form with CGK embedding: only windows of exactly n words (which may run over the end), and of
 those the ones that share a key of bit-sampled random walks with an item. A walk copies the current word at each of 3n
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from lurewatch.llm import text as T
 
 SIMILARITY = 0.8
-#: Items with fewer words are not searched.
+#: Items with fewer words are not searched unless a caller asks for them (the queries do: ``least_words`` = 1).
 LEAST_WORDS = 5
 WALKS, SAMPLES, SAMPLED_STEPS = 8, 16, 4
 #: Items that are sought in one pass over the documents; more take more passes.
@@ -39,10 +41,32 @@ _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+#: Code points, first and last, of scripts without spaces, and of punctuation beyond ASCII.
+_UNSPACED = np.array([(0x0E00, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FA), (0x30FC, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+                      (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)])
+_MARKS = np.array([(0x2000, 0x200A), (0x2010, 0x206F), (0x3000, 0x3004), (0x3008, 0x303F), (0x30FB, 0x30FB), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)])
+
+
+def _among(points: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    place = np.searchsorted(ranges[:, 0], points, side="right") - 1
+    return (place >= 0) & (points <= ranges[place, 1])
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of folded words and their number per row."""
-    hashes, counts, _, _ = T.word_hashes(T.LOWER[data], offsets, _INSIDE[data])
-    return hashes, counts
+    """Hashes of folded words and their number per row; characters of ``_UNSPACED`` are words."""
+    data, inside, cuts = T.LOWER[data], _INSIDE[data], [offsets]
+    for lead, last, size in ((0xE0, 0xEF, 3), (0xF0, 0xF7, 4)):
+        at = np.flatnonzero((data >= lead) & (data <= last))
+        at = at[at + size <= len(data)]
+        points = data[at].astype(np.int64) & (0xFF >> (size + 1))
+        for i in range(1, size):
+            points = points << 6 | data[at + i] & 63
+        alone, mark = at[_among(points, _UNSPACED)], at[_among(points, _MARKS)]
+        cuts += [alone, alone + size]
+        inside[(mark[:, None] + np.arange(size)).ravel()] = False
+    starts, ends = T.runs(inside, np.concatenate(cuts))
+    hashes = T.mix(T.slices(T.prefix(T.BYTE_UNITS[data]), starts, ends) + (ends - starts).astype(np.uint64))
+    return hashes, np.diff(np.searchsorted(starts, offsets))
 
 
 def _pairs(w: np.ndarray) -> np.ndarray:
@@ -122,12 +146,13 @@ class Index:
     may: np.ndarray
 
 
-def build_index(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, walks: int = WALKS, samples: int = SAMPLES, steps: int = SAMPLED_STEPS) -> Index:
+def build_index(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, walks: int = WALKS, samples: int = SAMPLES, steps: int = SAMPLED_STEPS,
+                least_words: int = LEAST_WORDS) -> Index:
     known = []
     for item, text in items:
         body = np.frombuffer((text or "").encode(), dtype=np.uint8)
         w = words(body, np.array([0, len(body)]))[0]
-        if len(w) >= LEAST_WORDS:
+        if len(w) >= max(1, least_words):
             known.append((item, w))
     sizes = np.array([len(w) for _, w in known], dtype=np.int64)
     allowed = ((1 - similarity) * sizes + 1e-9).astype(np.int64)
@@ -190,6 +215,22 @@ def _starts(index: Index, w: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray
     return row[keep], item[keep], first[keep]
 
 
+def _single(index: Index, w: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, first word) of the first place of each item of one word in each row."""
+    if 1 not in index.groups or not len(w):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    group = index.groups[1]
+    turn = np.argsort(group.rows[:, 0], kind="stable")
+    ordered = group.rows[turn, 0]
+    low = np.searchsorted(ordered, w, side="left")
+    at = np.flatnonzero(ordered[np.minimum(low, len(ordered) - 1)] == w)
+    row = np.searchsorted(begin, at, side="right") - 1
+    once = np.unique(row * len(ordered) + low[at], return_index=True)[1]
+    at, row = at[once], row[once]
+    many = np.searchsorted(ordered, w[at], side="right") - low[at]
+    return np.repeat(row, many), group.items[turn[_spread(low[at], many)]], np.repeat(at - begin[row], many)
+
+
 def _met(group: Group, rows: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
     """Distinct (window * items + item of the group) that share a key."""
     found, size = [np.zeros(0, dtype=np.int64)], len(group.items)
@@ -253,8 +294,10 @@ def nearest(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[i
 
     for i, j in T.steps(offsets) if len(index.ids) else ():
         w, counts = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        row, item, first = _starts(index, w, counts)
         begin = np.concatenate([[0], np.cumsum(counts)])
+        for r, q, f in zip(*(x.tolist() for x in _single(index, w, begin)), strict=True):
+            found[r + i, int(index.ids[q])] = (0, f, 1)
+        row, item, first = _starts(index, w, counts)
         for n in np.unique(index.sizes[item]).tolist():
             mine = np.flatnonzero(index.sizes[item] == n)
             for some in np.split(mine, range(20_000, len(mine), 20_000)):
@@ -269,11 +312,12 @@ def nearest(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[i
     return [(r, item, *best) for (r, item), best in sorted(found.items())]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, items_per_pass: int = ITEMS_PER_PASS,
+                 least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance (words), first_word, n_words (of the item).
 
     Of several runs of words the nearest counts, the first of equals. Null and empty texts hold nothing; items that are
-    null or have under ``LEAST_WORDS`` words are not searched; equal items are each reported; a document that occurs
+    null or have under ``least_words`` words are not searched, those of one to four words are found as exact copies; equal items are each reported; a document that occurs
     twice is reported twice. The items are the query set: they are sent to the tasks in passes of ``items_per_pass``.
     """
     spark = docs.sparkSession
@@ -283,7 +327,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     out = spark.createDataFrame([], schema)
     for number in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number).collect() if passes > 1 else items.collect()
-        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in sorted(some)], similarity, walks=0))
+        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in sorted(some)], similarity, walks=0, least_words=least_words))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -6,6 +6,7 @@ import pytest
 import corpus_pipeline
 from lurewatch.llm import decontaminate, embedding_dedup, html_extract, mixing
 from lurewatch.llm import text as T
+from lurewatch.llm.queries import QUERIES
 
 
 def encoded(texts):
@@ -101,6 +102,23 @@ def test_contaminated_reports_runs_of_other_lengths(spark, docs_of):
     assert sorted((r["doc_id"], r["distance"], r["first_word"], r["n_words"]) for r in decontaminate.contaminated(docs, items).collect()) == [(1, 5, 0, 40), (2, 6, 0, 40)]
 
 
+def test_short_items_are_found_exactly(spark, docs_of, tmp_path):
+    texts = ["an old Zebra.", "of the zebra", "one two three four", "one two four three", "我们今天去公园看花。", "他今天去了", "สวัสดีครับทุกคน", None, ""]
+    items = [(1, "zebra"), (2, "Of the"), (3, "two three four"), (4, "今天去"), (5, "สวัสดีครับ"), (6, "。"), (7, "ZEBRA!"), (8, "看花")]
+    docs_of([(i, t, "en", "a") for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = QUERIES["op6_decontamination"][0](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in rows) == [
+        (0, 1, 0), (0, 7, 0), (1, 1, 0), (1, 2, 0), (1, 7, 0), (2, 3, 0), (4, 4, 0), (4, 8, 0), (5, 4, 0), (6, 5, 0)]
+    left = corpus_pipeline.without_benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 7, 8]
+
+
+def test_characters_of_unspaced_scripts_are_words():
+    counts = [len(decontaminate.words(*encoded([t]))[0]) for t in ("今天天气,很好。", "カタカナ・ひらがな", "a“b”—c", "naïve Привет 안녕 세상", "abc今x", "𠀀𠀁 é", "😀")]
+    assert counts == [6, 8, 3, 4, 3, 3, 1]
+
+
 def test_edit_distance():
     a = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]], dtype=np.uint64)
     b = np.array([[1, 2, 3, 4], [2, 3, 4, 5], [9, 9, 9, 9]], dtype=np.uint64)
