@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm import decontaminate, embedding_dedup, html_extract, langid, mixing, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from lurewatch.llm import decontaminate, embedding_dedup, html_extract, langid, mixing, quality, repetition, simhash, substring_dedup, suffix_dedup, toxicity
 from lurewatch.plans.registry import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -110,3 +110,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.predict(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+_OP11_SQL = r"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+positions AS MATERIALIZED (SELECT doc_id, i, length(w[i]) AS chars FROM words, unnest(range(1, len(w) + 1)) AS t(i)),
+windows AS (
+  SELECT doc_id, n, i, md5_number(list_aggregate(w[i:i + n - 1], 'string_agg', ' ')) AS h
+  FROM words, (VALUES (3), (5), (6), (7), (8), (9), (10)) AS lengths(n), unnest(range(1, len(w) - n + 2)) AS t(i)),
+counted AS MATERIALIZED (
+  SELECT doc_id, n, i, count(*) OVER same AS copies, row_number() OVER (same ORDER BY i) AS copy FROM windows WINDOW same AS (PARTITION BY doc_id, n, h)),
+marked AS (
+  SELECT DISTINCT doc_id, n, i + k AS i FROM counted, unnest(range(0, n)) AS t(k) WHERE copies > 1 AND (n = 3 OR copy > 1)),
+covered AS (
+  SELECT doc_id, count(*) FILTER (n = 3) AS repeated, COVERS
+  FROM marked JOIN positions USING (doc_id, i) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM words)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+by_line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(chars) FILTER (again), 0) AS dup_line_chars FROM lines GROUP BY doc_id),
+measured AS (
+  SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(repeated, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(dup_line_chars, 0) AS BIGINT) AS dup_line_chars,
+         MEASURES
+  FROM words LEFT JOIN covered ON covered.doc_id = words.doc_id LEFT JOIN by_line ON by_line.doc_id = words.doc_id),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured)
+SELECT *, NOT base_failed AND NOT (LIMITS OR 100 * n_dup_lines > 30 * n_lines OR 100 * dup_line_chars > 20 * word_chars) AS kept FROM judged
+""".replace("COVERS", ", ".join(f"coalesce(sum(chars) FILTER (n = {n}), 0) AS c{n}" for n in repetition.NGRAM_LIMITS)).replace(
+    "MEASURES", ", ".join(f"CAST(coalesce(c{n}, 0) AS BIGINT) AS dup_{n}_chars" for n in repetition.NGRAM_LIMITS)).replace(
+    "LIMITS", " OR ".join(f"100 * dup_{n}_chars > {limit} * word_chars" for n, limit in repetition.NGRAM_LIMITS.items()))
+
+
+@query("op11_quality_rules", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.judge(table(spark, sf_dir, "documents"))
