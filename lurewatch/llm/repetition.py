@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,23 +34,6 @@ _ODD = np.uint64(T.BASE)
 BASE_COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of code points of byte spans that follow each other; long spans are taken one by one."""
-    hashes, chars = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.int64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + T.STEP_BYTES, side="right")))
-        part, s, e = data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]
-        if len(part) > T.STEP_BYTES:
-            hashes[i], chars[i] = xxhash.xxh64_intdigest(part), np.count_nonzero((part & 0xC0) != 0x80)
-        else:
-            hashes[i:j] = T.mix(T.slices(T.prefix(T.BYTE_UNITS[part]), s, e) + (e - s).astype(np.uint64))
-            lead = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-            chars[i:j] = lead[e] - lead[s]
-        i = j
-    return hashes, chars
-
-
 def _seen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which keys occur earlier, and which occur elsewhere at all."""
     order = np.argsort(keys, kind="stable")
@@ -79,7 +61,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     """Per row of UTF-8 ``data``: the base counts, lines with a word, characters in copies of lines and of windows of each length."""
     count = len(offsets) - 1
     starts, ends = T.runs(~T.WHITE[data], offsets)
-    hashes, chars = _spans(data, starts, ends)
+    hashes, chars = T.spans(data, starts, ends)
     row = np.searchsorted(offsets, starts, side="right") - 1
     salt = T.mix(np.arange(1, count + 1, dtype=np.uint64))
     symbols = np.flatnonzero(_SYMBOL[data])
@@ -90,7 +72,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]) ->
     words_before, words_after = np.searchsorted(starts, left), np.searchsorted(starts, right)
     spoken = words_before < words_after
     left, right, words_before, words_after = left[spoken], right[spoken], words_before[spoken], words_after[spoken]
-    line_hashes, _ = _spans(data, left, right)
+    line_hashes, _ = T.spans(data, left, right)
     line_row = row[words_before]
     again, _ = _seen(line_hashes ^ salt[line_row])
     sums = np.concatenate([[0], np.cumsum(chars)])

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
@@ -100,5 +101,22 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None
     return hashes, counts, starts, ends
 
 
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and number of code points of byte spans that follow each other; long spans are taken one by one."""
+    hashes, chars = np.zeros(len(starts), dtype=np.uint64), np.zeros(len(starts), dtype=np.int64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP_BYTES, side="right")))
+        part, s, e = data[starts[i] : ends[j - 1]], starts[i:j] - starts[i], ends[i:j] - starts[i]
+        if len(part) > STEP_BYTES:
+            hashes[i], chars[i] = xxhash.xxh64_intdigest(part), np.count_nonzero((part & 0xC0) != 0x80)
+        else:
+            hashes[i:j] = mix(slices(prefix(BYTE_UNITS[part]), s, e) + (e - s).astype(np.uint64))
+            lead = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            chars[i:j] = lead[e] - lead[s]
+        i = j
+    return hashes, chars
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
