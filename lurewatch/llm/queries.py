@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.llm import decontaminate, embedding_dedup, html_extract, langid, lexical, mixing, quality, repetition, simhash, substring_dedup, suffix_dedup, toxicity
+from lurewatch.llm import decontaminate, embedding_dedup, html_extract, langid, lexical, merkle, mixing, quality, repetition, simhash, substring_dedup, suffix_dedup, toxicity
 from lurewatch.plans.registry import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -173,3 +173,52 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r
 @query("op12_lexical_search", _OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP13_SQL = """
+WITH RECURSIVE
+crc_bytes AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+rows AS MATERIALIZED (
+  SELECT doc_id, lang, list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda x: coalesce(strlen(x) || ':' || x, '-')) AS f,
+         coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS lowered,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                         lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS crc
+  FROM documents, crc_bytes),
+leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS k, sha256(array_to_string(f, '')) AS leaf,
+         CASE WHEN crc % 3 = 0 THEN sha256(array_to_string(f[1:4], '') || lowered) ELSE sha256(array_to_string(f, '')) END AS given,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM rows),
+nodes AS (
+  SELECT 0 AS level, k, pos, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT level + 1, k, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY level, k, pos // 8, n),
+subroots AS MATERIALIZED (SELECT k, digest, row_number() OVER (ORDER BY encode(k)) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, pos, digest, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, pos // 8, n),
+segments AS MATERIALIZED (
+  SELECT doc_id, a.level AS step, coalesce(string_agg(digest, '' ORDER BY s.pos) FILTER (s.pos < own), '') AS before, coalesce(string_agg(digest, '' ORDER BY s.pos) FILTER (s.pos > own), '') AS after
+  FROM (SELECT doc_id, leaves.k, level, leaves.pos // CAST(pow(8, level) AS BIGINT) AS own FROM leaves JOIN (SELECT DISTINCT k, level FROM nodes WHERE n > 1) AS heights ON heights.k = leaves.k) AS a
+  JOIN nodes AS s ON s.k = a.k AND s.level = a.level AND s.pos // 8 = own // 8 GROUP BY doc_id, a.level
+  UNION ALL BY NAME
+  SELECT doc_id, a.height + a.level AS step, coalesce(string_agg(digest, '' ORDER BY s.pos) FILTER (s.pos < own), '') AS before, coalesce(string_agg(digest, '' ORDER BY s.pos) FILTER (s.pos > own), '') AS after
+  FROM (SELECT doc_id, heights.height, levels.level, subroots.pos // CAST(pow(8, levels.level) AS BIGINT) AS own
+        FROM leaves JOIN subroots ON subroots.k = leaves.k JOIN (SELECT k, max(level) AS height FROM nodes GROUP BY k) AS heights ON heights.k = leaves.k, (SELECT DISTINCT level FROM tops WHERE n > 1) AS levels) AS a
+  JOIN tops AS s ON s.level = a.level AND s.pos // 8 = own // 8 GROUP BY doc_id, a.height, a.level),
+folds AS (
+  SELECT doc_id, 0 AS step, given AS digest FROM leaves
+  UNION ALL
+  SELECT folds.doc_id, folds.step + 1, sha256(before || digest || after) FROM folds JOIN segments ON segments.doc_id = folds.doc_id AND segments.step = folds.step),
+folded AS (SELECT doc_id, max_by(digest, step) AS folded_root FROM folds GROUP BY doc_id),
+proofs AS (SELECT doc_id, sha256(string_agg(before || after, '' ORDER BY step)) AS proof_sha256 FROM segments GROUP BY doc_id)
+SELECT leaves.doc_id, leaf, subroots.digest AS subroot, tops.digest AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = tops.digest AS verified
+FROM leaves JOIN subroots ON subroots.k = leaves.k JOIN folded ON folded.doc_id = leaves.doc_id LEFT JOIN proofs ON proofs.doc_id = leaves.doc_id, tops WHERE tops.n = 1
+"""
+
+
+@query("op13_merkle_manifest", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
