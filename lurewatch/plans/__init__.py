@@ -7,6 +7,7 @@ from lurewatch.plans import (  # noqa: F401, E402
     intel_queries,
     learning_queries,
     report_queries,
+    investigation_queries,
     session_queries,
     store_queries,
     stream_queries,
