@@ -40,30 +40,46 @@ def _batches(spark, df, handler, label, *names):
     return [spark.read.parquet(f"{root}/{n}") for n in names]
 
 
-def _two_copies(spark, sf):
-    e = _stream(spark, sf, "events").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
-    at = F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("copy") * 3600)
-    return e.select(F.col("event_type").alias("platform"), F.col("event_id").alias("message_id"), at.alias("ts"))
+def _deliveries(spark, df, keys, ttl, label):
+    """(keys, ts, n, let_through) of a stream's deliveries."""
+    (judged,) = _batches(spark, df, lambda root: ST.deliveries_batch(root, keys, ttl), label, "judged")
+    return judged
 
 
-@query("t1_redelivery_dedup", "SELECT event_type AS platform, event_id AS message_id, epoch_us(ts) AS ts_us FROM events")
+@query("t1_redelivery_dedup", """
+SELECT event_type AS platform, event_id AS message_id, epoch_us(ts) + wait * 1000000 AS ts_us FROM events, (VALUES (0), (3600)) AS w(wait)""")
 def redelivery(spark, sf):
-    (first,) = _batches(spark, _two_copies(spark, sf), lambda root: ST.deliveries_batch(root, ["platform", "message_id"]), "dedup", "first")
-    return first.select("platform", "message_id", F.unix_micros("ts").alias("ts_us"))
+    """Every message again after 5, 14, 60 and 70 minutes: the one after an hour is past its TTL of 15 minutes, the last is not."""
+    e = _stream(spark, sf, "events").withColumn("wait", F.explode(F.array(*map(F.lit, (0, 300, 840, 3600, 4200)))))
+    copies = e.select(F.col("event_type").alias("platform"), F.col("event_id").alias("message_id"), (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("wait"))).alias("ts"))
+    judged = _deliveries(spark, copies, ["platform", "message_id"], 900, "dedup")
+    return judged.filter("let_through").select("platform", "message_id", F.unix_micros("ts").alias("ts_us"))
 
 
-@query("t1_redelivery_exact_ttl")
+_TTL_SQL = """WITH RECURSIVE d AS MATERIALIZED (SELECT event_type AS platform, user_id % 50 AS message_id, epoch_us(ts) AS t, count(*) AS n FROM events GROUP BY ALL),
+chain AS (SELECT platform, message_id, min(t) AS t FROM d GROUP BY ALL
+  UNION ALL SELECT c.platform, c.message_id, min(d.t) FROM chain c JOIN d ON d.platform = c.platform AND d.message_id = c.message_id AND d.t >= c.t + 86400000000 GROUP BY ALL)
+SELECT d.platform, d.message_id, d.t AS ts_us, n, c.t IS NOT NULL AS let_through FROM d LEFT JOIN chain c ON c.platform = d.platform AND c.message_id = d.message_id AND c.t = d.t"""
+
+
+@query("t1_redelivery_exact_ttl", _TTL_SQL)
 def redelivery_exact(spark, sf):
+    """Few keys with long chains of deliveries, each let through a day after the last."""
     e = _stream(spark, sf, "events").select(F.col("event_type").alias("platform"), (F.col("user_id") % 50).alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
-    out = _to_files(spark, ST.mark_deliveries(e, ["platform", "message_id"], 24 * 3600), "ttl")
-    return out.groupBy("platform", "is_duplicate").agg(F.count("*").alias("n"))
+    judged = _deliveries(spark, e, ["platform", "message_id"], 24 * 3600, "ttl")
+    return judged.select("platform", "message_id", F.unix_micros("ts").alias("ts_us"), "n", "let_through")
 
 
-@query("t2_rate_limit")
+@query("t2_rate_limit", """WITH RECURSIVE c AS MATERIALIZED (SELECT event_type AS caller, event_id AS seq, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+walk AS (SELECT caller, seq, rn, true AS allowed, [t] AS kept FROM c WHERE rn = 1
+  UNION ALL SELECT caller, seq, rn, len(k) < 3, CASE WHEN len(k) < 3 THEN list_append(k, t) ELSE k END
+  FROM (SELECT c.caller, c.seq, c.rn, c.t, list_filter(w.kept, lambda x: c.t - x < 3600000000) AS k FROM walk w JOIN c ON c.caller = w.caller AND c.rn = w.rn + 1))
+SELECT caller, seq, allowed FROM walk""")
 def rate_limit(spark, sf):
+    """Three calls an hour and caller."""
     e = _stream(spark, sf, "events").select(F.col("event_type").alias("caller"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
-    out = _to_files(spark, ST.limit_calls(e, limit=3, window=3600), "rate")
-    return out.groupBy("caller", "allowed").agg(F.count("*").alias("n"))
+    (calls,) = _batches(spark, e, lambda root: ST.admission_batch(root, limit=3, window=3600), "rate", "calls")
+    return calls.select("caller", "seq", "allowed")
 
 
 def _sessions(spark, sf, label):

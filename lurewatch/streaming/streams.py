@@ -8,8 +8,7 @@ value.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from lurewatch.operators import detection as P
 from lurewatch.operators import intel as I
 from lurewatch.operators import maintenance as M
 from lurewatch.operators import sessions as S
+from lurewatch.operators.admission import admitted, first_deliveries
 from lurewatch.operators.ordering import ranked, running
 from lurewatch.sources.readers import feed_entries
 
@@ -64,79 +64,95 @@ def _earlier(spark: SparkSession, root: str, name: str, epoch: int, like: DataFr
 
 # -- redelivery ---------------------------------------------------------------
 
-def deliveries_batch(root: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler: the first delivery of every key, whatever the order and the cut of the input.
+def _epochs(spark: SparkSession, path: str) -> list[int]:
+    """Finished epochs of a table."""
+    if not _exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in fs.listStatus(p) if f.getPath().getName().startswith("epoch=")]
+    return sorted(int(f.getName()[6:]) for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
 
-    Keys are remembered in a table (``seen``), so nothing is ever too late: ``first`` gets every key once,
-    ``late`` those whose event time is earlier than that of the delivery that was let through.
-    """
-    def handle(batch: DataFrame, epoch: int) -> None:
-        firsts = batch.groupBy(*keys).agg(F.min("ts").alias("ts")).persist()
-        known = _earlier(batch.sparkSession, root, "seen", epoch, firsts).groupBy(*keys).agg(F.min("ts").alias("known_ts"))
-        judged = firsts.join(known, keys, "left")
-        _log(judged.filter("known_ts IS NULL").drop("known_ts"), root, "first", epoch)
-        _log(judged.filter("ts < known_ts"), root, "late", epoch)
-        _log(firsts, root, "seen", epoch)
-        firsts.unpersist()
 
-    return handle
+def _snapshot(spark: SparkSession, root: str, name: str, epoch: int, schema: str) -> DataFrame:
+    """The newest snapshot before ``epoch``."""
+    before = [e for e in _epochs(spark, f"{root}/{name}") if e < epoch]
+    return spark.read.schema(schema).parquet(f"{root}/{name}/epoch={before[-1]}") if before else spark.createDataFrame([], schema)
 
 
-def mark_deliveries(stream: DataFrame, keys: list[str], ttl_seconds: int = DEDUP_TTL) -> DataFrame:
-    """Every delivery with ``is_duplicate``: within the TTL of the one that was let through.
+def _forget(spark: SparkSession, root: str, name: str, epoch: int) -> None:
+    """Drop snapshots that no replay of ``epoch`` can ask for."""
+    old = [e for e in _epochs(spark, f"{root}/{name}") if e < epoch][:-1]
+    for e in old:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/epoch={e}")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
-    The TTL does not slide: a repeat does not refresh it.  Every delivery is
-    answered, so a key's rows of one micro-batch meet in one task; the source's
-    file limit bounds them and the state is a single time stamp.
-    """
-    def mark(key: tuple, batches: Iterator, state: Any) -> Iterator:
-        import pandas as pd
 
-        last = state.get[0] if state.exists else None
-        # One key's rows of one micro-batch, which the source limit bounds.
-        rows = pd.concat(list(batches)).sort_values("ts")
-        flags = []
-        for t in rows["ts"].astype("int64") // 1000:
-            fresh = last is None or t - last >= ttl_seconds * 1_000_000
-            last = t if fresh else last
-            flags.append(not fresh)
-        state.update((int(last),))
-        yield rows[[*keys, "ts"]].assign(is_duplicate=flags)
+def deliveries_batch(root: str, keys: list[str], ttl_seconds: int = DEDUP_TTL, delay_seconds: int = 3600) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler: which deliveries are let through, each at least one TTL after the last of its key.
 
-    types = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out = ", ".join(f"{k} {types[k]}" for k in keys) + ", ts timestamp, is_duplicate boolean"
-    return _stateful(stream.select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts")), keys, mark, out.replace("ts timestamp,", "ts timestamp_ntz,"), "last long")
+    ``judged`` has every (key, ts) with its number of deliveries ``n`` and whether one of them was let through. State is one
+    stamp per key that was let through not longer ago than the TTL and ``delay_seconds``, so it grows with the traffic of that
+    time only. Batches in order of time give the same answer for any cut. A delivery older than its key's last one let
+    through is judged by that one alone, and logged as ``late``.
+    """
+    ttl = F.make_dt_interval(secs=F.lit(ttl_seconds))
 
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        kinds = dict(batch.dtypes)
+        schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", last timestamp"
+        state = _snapshot(spark, root, "last", epoch, schema).persist()
+        counted = batch.select(*keys, F.col("ts").cast("timestamp").alias("ts")).filter("ts IS NOT NULL").groupBy(*keys, "ts").agg(F.count("*").alias("n"))
+        same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+        joined = counted.join(state, same(counted, state), "left").select(*[counted[k] for k in keys], "ts", "n", "last").persist()
+        late = joined.filter("ts < last").withColumn("let_through", F.col("ts") + ttl <= F.col("last"))
+        now = joined.filter("last IS NULL OR ts >= last")
+        through = first_deliveries(now.select(*keys, "ts").unionByName(state.withColumnRenamed("last", "ts")), keys, ttl_seconds)
+        through = through.withColumn("let_through", F.lit(True)).persist()
+        marked = now.join(through.alias("a"), [*same(now, through), now["ts"] == through["ts"]], "left")
+        fresh = F.coalesce(through["let_through"], F.lit(False)) & ~F.coalesce(now["ts"] == now["last"], F.lit(False))
+        marked = marked.select(*[now[k] for k in keys], now["ts"], "n", fresh.alias("let_through"))
+        _log(marked.unionByName(late.drop("last")), root, "judged", epoch)
+        _log(late.select(*keys, "ts", "last"), root, "late", epoch)
+        last = through.groupBy(*keys).agg(F.max("ts").alias("last"))
+        newest = last.agg(F.max("last").alias("newest"))
+        kept = last.join(F.broadcast(newest)).filter(F.col("last") + ttl > F.col("newest") - F.make_dt_interval(secs=F.lit(delay_seconds))).drop("newest")  # one row
+        _log(kept, root, "last", epoch)
+        _forget(spark, root, "last", epoch)
+        for df in (state, joined, through):
+            df.unpersist()
 
-def _stateful(stream: DataFrame, keys: list[str], fn: Callable, output: str, state: str) -> DataFrame:
-    return stream.groupBy(*keys).applyInPandasWithState(fn, output, state, "append", "NoTimeout")
+    return handle
 
 
 # -- rate limiting -------------------------------------------------------------
 
-def limit_calls(stream: DataFrame, limit: int = RATE_LIMIT, window: int = RATE_WINDOW) -> DataFrame:
-    """``allowed`` per call: at most ``limit`` accepted calls in the last ``window`` seconds.
+def admission_batch(root: str, limit: int = RATE_LIMIT, window: int = RATE_WINDOW, delay_seconds: int = 60) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler: ``allowed`` per call, at most ``limit`` allowed calls in the last ``window`` seconds.
 
-    Refused calls do not count, so each decision depends on the ones before it:
-    state per caller is the accepted stamps of one window (at most ``limit``).
+    Needs caller, ts, seq. Refused calls do not count, so each decision depends on the ones before it; state is the allowed
+    stamps of the window and ``delay_seconds`` before the newest call. A call that is older than one already allowed to its
+    caller is judged as of that one.
     """
-    def admit(key: tuple, batches: Iterator, state: Any) -> Iterator:
-        import pandas as pd
-
-        kept = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        allowed = []
-        for t in rows["ts"].astype("int64") // 1000:
-            kept = [k for k in kept if t - k < window * 1_000_000]
-            ok = len(kept) < limit
-            if ok:
-                kept.append(int(t))
-            allowed.append(ok)
-        state.update((kept,))
-        yield rows[["caller", "seq"]].assign(allowed=allowed)
-
-    calls = stream.select("caller", F.col("ts").cast("timestamp_ntz").alias("ts"), "seq")
-    return _stateful(calls, ["caller"], admit, "caller string, seq long, allowed boolean", "stamps array<long>")
+    def handle(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        kind = dict(batch.dtypes)["caller"]
+        state = _snapshot(spark, root, "allowed", epoch, f"caller {kind}, ts timestamp, seq long").persist()
+        newest = state.groupBy("caller").agg(F.max("ts").alias("newest"))
+        calls = batch.select("caller", F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"))
+        calls = calls.join(newest, calls["caller"].eqNullSafe(newest["caller"]), "left").select(calls["caller"], F.greatest("ts", "newest").alias("ts"), "seq", F.lit(False).alias("fixed"))
+        decided = admitted(calls.unionByName(state.withColumn("fixed", F.lit(True))), limit, window).persist()
+        _log(decided, root, "calls", epoch)
+        held = state.unionByName(decided.filter("allowed").select("caller", "ts", "seq"))
+        end = held.agg(F.max("ts").alias("end"))
+        span = F.make_dt_interval(secs=F.lit(window + delay_seconds))
+        _log(held.join(F.broadcast(end)).filter(F.col("ts") > F.col("end") - span).drop("end"), root, "allowed", epoch)  # one row
+        _forget(spark, root, "allowed", epoch)
+        state.unpersist()
+        decided.unpersist()
+
+    return handle
 
 
 # -- sessions ------------------------------------------------------------------
