@@ -47,7 +47,7 @@ def _deliveries(spark, df, keys, ttl, label):
 
 
 @query("t1_redelivery_dedup", """
-SELECT event_type AS platform, event_id AS message_id, epoch_us(ts) + wait * 1000000 AS ts_us FROM events, (VALUES (0), (3600)) AS w(wait)""")
+SELECT event_type AS platform, event_id AS message_id, epoch_us(ts) + wait * 1000000 AS ts_us FROM events, (VALUES (0::BIGINT), (3600::BIGINT)) AS w(wait)""")
 def redelivery(spark, sf):
     """Every message again after 5, 14, 60 and 70 minutes: the one after an hour is past its TTL of 15 minutes, the last is not."""
     e = _stream(spark, sf, "events").withColumn("wait", F.explode(F.array(*map(F.lit, (0, 300, 840, 3600, 4200)))))
