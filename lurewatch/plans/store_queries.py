@@ -17,6 +17,7 @@ from lurewatch.plans.registry import query, table
 from lurewatch.session import scratch_path
 from lurewatch.sources import readers as R
 from lurewatch.sources import sinks as K
+from lurewatch.sources.keyed import KeyedTable
 
 # -- sources -----------------------------------------------------------------
 
@@ -73,13 +74,12 @@ def import_sessions(spark, sf):
     _session_payloads(spark, sf).write.text(path)
     s = R.sessions_from_json(spark.read.text(path).withColumnRenamed("value", "payload"))
     root = scratch_path(spark, "evidence")
-    tables = EV.session_tables(s)
-    for name, (df, key) in tables.items():
-        K.create(df, f"{root}/{name}", [key], buckets=4)
-        K.replace_rows(df, f"{root}/{name}", [key], buckets=4)  # the import may be repeated
-    inv = K.read(spark, f"{root}/investigations")
-    ent = K.read(spark, f"{root}/entities").groupBy("investigation_id").agg(F.count("*").alias("n_entities"))
-    msg = K.read(spark, f"{root}/messages").groupBy("investigation_id").agg(F.count("*").alias("n_messages"))
+    for _ in range(2):  # the import may be repeated
+        K.log_sessions(s, root)
+    stored = K.evidence_tables(spark, root)
+    inv = stored["investigations"].read()
+    ent = stored["entities"].read().groupBy("investigation_id").agg(F.count("*").alias("n_entities"))
+    msg = stored["messages"].read().groupBy("investigation_id").agg(F.count("*").alias("n_messages"))
     j = inv.join(ent, inv["id"] == ent["investigation_id"], "left").drop("investigation_id").join(msg, inv["id"] == msg["investigation_id"])
     return j.select("id", "verdict", "risk_score", F.unix_seconds("created_at").alias("created"), F.unix_seconds("purge_at").alias("purge"),
                     F.coalesce("n_entities", F.lit(0)).alias("n_entities"), "n_messages")
@@ -183,12 +183,12 @@ def sniff_attachments(spark, sf):
 @query("s9_s10_u4_report_upsert", with_(INVESTIGATIONS_SQL) + "SELECT id AS investigation_id, CASE WHEN risk_score > 50 THEN risk_score + 1000 ELSE risk_score END AS risk_score FROM investigations")
 def report_upsert(spark, sf):
     r = investigations(spark, sf).select(F.col("id").alias("investigation_id"), "risk_score")
-    path = scratch_path(spark, "reports")
-    K.create(r, path, ["investigation_id"], buckets=8)
+    stored = KeyedTable(spark, scratch_path(spark, "reports"), ("investigation_id",)).create(r)
     changed = r.filter("risk_score > 50").withColumn("risk_score", F.col("risk_score") + 1000)
     for _ in range(2):  # a replay must not change the outcome
-        K.replace_rows(changed, path, ["investigation_id"], buckets=8)
-    return K.read(spark, path)
+        stored.replace(changed, version=1)
+    stored.compact()
+    return stored.read()
 
 
 @query("s10_report_lookup", with_(INVESTIGATIONS_SQL) + "SELECT id, risk_score FROM investigations WHERE id = 'inv_42'")
@@ -265,12 +265,14 @@ def _evidence_base(spark, sf):
     return inv, {"entities": evidence_rows(spark, sf), "messages": inv.select(key, "platform"), "reports": inv.select(key, "risk_score")}
 
 
-def _written(spark, tables, label):
-    """New table versions, written and read again."""
+def _stored_evidence(spark, sf, label):
+    """The evidence tables, stored, and the path of their audit trail."""
     root = scratch_path(spark, label)
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/{name}")
-    return {name: spark.read.schema(df.schema).parquet(f"{root}/{name}") for name, df in tables.items()}
+    inv, children = _evidence_base(spark, sf)
+    tables = K.evidence_tables(spark, root)
+    for name, df in ({"investigations": inv} | children).items():
+        tables[name].create(df)
+    return tables, f"{root}/audit"
 
 
 def _survivors(out):
@@ -285,19 +287,20 @@ def _survivors(out):
 @query("u5_retention_purge", with_(INVESTIGATIONS_SQL, EVIDENCE_SQL, _GONE) + _CHILDREN.format("gone", "purge") + f"""
 SELECT 'investigations', id, CASE WHEN purge_at <= {_NOW} THEN 'purged' ELSE evidence_state END FROM investigations""")
 def retention_purge(spark, sf):
-    """Surviving rows of all tables after a purge that is written and then run again, which adds nothing."""
-    now = F.lit("1998-01-01 00:00:00").cast("timestamp")
-    out = _written(spark, M.purge(*_evidence_base(spark, sf), now), "purge")
-    again = M.purge(out["investigations"], {n: out[n] for n in ("entities", "messages", "reports")}, now)
-    return _survivors(again | {"audit": out["audit"].unionByName(again["audit"])})
+    """Surviving rows of all tables after a purge and a second one, which adds nothing; only changes are written."""
+    tables, audit = _stored_evidence(spark, sf, "purge")
+    for _ in range(2):
+        K.purge(tables, audit, F.lit("1998-01-01 00:00:00").cast("timestamp"))
+    return _survivors({name: t.read() for name, t in tables.items()} | {"audit": spark.read.parquet(audit)})
 
 
 @query("u6_owner_deletion", with_(INVESTIGATIONS_SQL, EVIDENCE_SQL, "mine AS (SELECT id FROM investigations WHERE user_id = 11)") + _CHILDREN.format("mine", "delete") + """
 SELECT 'investigations', id, evidence_state FROM investigations WHERE user_id <> 11""")
 def owner_deletion(spark, sf):
-    inv, children = _evidence_base(spark, sf)
-    ids = inv.filter("user_id = 11").select(F.col("id").alias("investigation_id"))
-    return _survivors(_written(spark, M.delete_for_owner(inv, children, ids, "user:11", "owner request"), "deletion"))
+    tables, audit = _stored_evidence(spark, sf, "deletion")
+    ids = tables["investigations"].read().filter("user_id = 11").select(F.col("id").alias("investigation_id"))
+    K.delete_for_owner(tables, audit, ids, "user:11", "owner request")
+    return _survivors({name: t.read() for name, t in tables.items()} | {"audit": spark.read.parquet(audit)})
 
 
 @query("j4_unreported_requests", with_(MESSAGES_SQL) + "SELECT message_id FROM messages WHERE message_id NOT IN (SELECT doc_id FROM labels)")

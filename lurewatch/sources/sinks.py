@@ -1,14 +1,16 @@
-"""Append and keyed-replace writers over parquet folders."""
+"""Append writers, evidence tables and their upkeep."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurewatch.operators.maintenance import upsert
+from lurewatch.operators import maintenance as M
+from lurewatch.operators.evidence import session_tables
 from lurewatch.session import cut_lineage
+from lurewatch.sources.keyed import KeyedTable
 
-BUCKET = "bucket"
+EVIDENCE = {"investigations": "id", "messages": "investigation_id", "entities": "investigation_id", "reports": "investigation_id"}
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -17,53 +19,32 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def with_bucket(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+def evidence_tables(spark: SparkSession, root: str) -> dict[str, KeyedTable]:
+    """The keyed tables of stored evidence below ``root``."""
+    return {name: KeyedTable(spark, f"{root.rstrip('/')}/{name}", (key,)) for name, key in EVIDENCE.items()}
 
 
-def create(df: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
-    """First version of a keyed table, laid out by key bucket."""
-    with_bucket(df, keys, buckets).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop(BUCKET)
-
-
-def replace_rows(changes: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
-    """Replace all rows whose key occurs in ``changes``; replays change nothing.
-
-    Only the touched key buckets are read and rewritten.  The merged rows are
-    frozen first because they are written over their own input.
-    """
-    spark = changes.sparkSession
-    new = with_bucket(changes, keys, buckets)
-    touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-    if not touched:
-        return
-    current = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
-    merged = cut_lineage(upsert(current, new, keys))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-
-
-def delete_rows(doomed: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
-    """Drop all rows whose key occurs in ``doomed``."""
-    spark = doomed.sparkSession
-    keyed = with_bucket(doomed.select(*keys).distinct(), keys, buckets)
-    touched = [r[0] for r in keyed.select(BUCKET).distinct().collect()]
-    if not touched:
-        return
-    current = spark.read.parquet(path)
-    kept = cut_lineage(current.filter(F.col(BUCKET).isin(touched)).join(keyed.select(*keys), keys, "left_anti"))
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-    survivors = {r[0] for r in kept.select(BUCKET).distinct().collect()}
-    for emptied in sorted(set(touched) - survivors):  # dynamic overwrite skips buckets without rows
-        kept.drop(BUCKET).limit(0).write.mode("overwrite").parquet(f"{path}/{BUCKET}={emptied}")
-
-
-def log_sessions(sessions: DataFrame, root: str) -> None:
-    """Store evidence sessions: replace their messages, entities and report."""
-    from lurewatch.operators.evidence import session_tables
-
+def log_sessions(sessions: DataFrame, root: str, version: int | None = None) -> None:
+    """Store evidence sessions: their messages, entities and report replace those stored before. A replay changes nothing."""
+    tables = evidence_tables(sessions.sparkSession, root)
     for name, (df, key) in session_tables(sessions).items():
-        replace_rows(df, f"{root.rstrip('/')}/{name}", [key])
+        tables[name].replace(df, version, also=sessions.select(F.col("session_id").alias(key)))
+
+
+def purge(tables: dict[str, KeyedTable], audit: str, now: Column) -> None:
+    """Retention purge: expired investigations lose all that hangs on them and are marked; one audit row each. Writes changes only."""
+    due = cut_lineage(M.expired(tables["investigations"].read(), now))
+    for name, table in tables.items():
+        if name != "investigations":
+            table.delete(due.select(F.col("id").alias("investigation_id")))
+    append(M.audit_rows(due.select(F.col("id").alias("investigation_id")), "retention-purge-job", "purge", "retention period elapsed"), audit)
+    tables["investigations"].replace(due.withColumn("evidence_state", F.lit("purged")))
+
+
+def delete_for_owner(tables: dict[str, KeyedTable], audit: str, ids: DataFrame, actor: str, reason: str) -> None:
+    """Owner deletion: the same cascade and the investigation rows themselves, audited. ``ids``: investigation_id."""
+    inv = tables["investigations"].read(ids.select(F.col("investigation_id").alias("id")))
+    gone = cut_lineage(inv.select(F.col("id").alias("investigation_id")))
+    append(M.audit_rows(gone, actor, "delete", reason), audit)
+    for name, table in tables.items():
+        table.delete(gone.withColumnRenamed("investigation_id", EVIDENCE[name]))

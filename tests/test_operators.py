@@ -14,6 +14,7 @@ from lurewatch.operators import maintenance as M
 from lurewatch.operators import sessions as S
 from lurewatch.operators.ordering import MAX_GROUP_ROWS_KEY, lagged, ranked, running
 from lurewatch.sources import readers, sinks
+from lurewatch.sources.keyed import KeyedTable
 
 
 @pytest.fixture(params=["window", "ranges"])
@@ -140,14 +141,24 @@ def test_purge_is_idempotent_and_audited(spark):
 
 
 def test_keyed_sink(spark, tmp_path):
-    path = str(tmp_path / "t")
-    sinks.create(spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v int"), path, ["k"], buckets=8)
+    table = KeyedTable(spark, str(tmp_path / "t"), ("k",)).create(spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v int"))
     for _ in range(2):
-        sinks.replace_rows(spark.createDataFrame([("k1", 100), ("new", 5)], "k string, v int"), path, ["k"], buckets=8)
-    got = dict(sinks.read(spark, path).collect())
+        table.replace(spark.createDataFrame([("k1", 100), ("new", 5)], "k string, v int"))
+    got = dict(table.read().collect())
     assert len(got) == 51 and got["k1"] == 100 and got["new"] == 5 and got["k2"] == 2
-    sinks.delete_rows(spark.createDataFrame([(f"k{i}",) for i in range(50)], "k string"), path, ["k"], buckets=8)
-    assert dict(sinks.read(spark, path).collect()) == {"new": 5}
+    table.delete(spark.createDataFrame([(f"k{i}",) for i in range(50)], "k string"))
+    assert dict(table.read().collect()) == {"new": 5}
+
+
+def test_a_session_stored_again_loses_what_it_no_longer_has(spark, tmp_path):
+    one = '{"sessions": {"s1": {"scamDetected": true, "startTime": 1700000000, "conversationHistory": [{"sender": "a", "text": "x"}], "extractedIntelligence": {"upiIds": ["a@ybl", "b@ybl"]}}, "s2": {"extractedIntelligence": {"upiIds": ["c@ybl"]}}}}'
+    two = '{"sessions": {"s1": {"scamDetected": false, "startTime": 1700000000, "conversationHistory": [{"sender": "a", "text": "y"}, {"sender": "b", "text": "z"}]}}}'
+    for payload in (one, two, two):
+        sinks.log_sessions(readers.sessions_from_json(spark.createDataFrame([(payload,)], "payload string")), str(tmp_path))
+    tables = sinks.evidence_tables(spark, str(tmp_path))
+    assert [(r["investigation_id"], r["value"]) for r in tables["entities"].read().collect()] == [("s2", "c@ybl")]
+    assert sorted(r["text"] for r in tables["messages"].read().collect()) == ["y", "z"]
+    assert {r["id"]: r["verdict"] for r in tables["investigations"].read().collect()} == {"s1": "likely_safe", "s2": "likely_safe"}
 
 
 def test_file_sources(spark, tmp_path):
