@@ -37,7 +37,7 @@ def _to_files(spark, df, label, mode="append"):
 def _batches(spark, df, handler, label, *names):
     root = scratch_path(spark, label)
     ST.run_available(df.writeStream.foreachBatch(handler(root)), f"{root}/cp")
-    return [spark.read.parquet(f"{root}/{n}") for n in names]
+    return [spark.read.parquet(f"{root}/{n}") for n in names] if names else root
 
 
 def _deliveries(spark, df, keys, ttl, label):
@@ -106,15 +106,14 @@ def incremental_correlation(spark, sf):
 
 @query("t5_incremental_rollup", with_(*TO_IND) + "SELECT kind, value_hash, epoch_us(min(ts)) AS first_seen_us, epoch_us(max(ts)) AS last_seen_us, count(*) AS occurrence_count FROM ind GROUP BY kind, value_hash")
 def incremental_rollup(spark, sf):
-    (r,) = _batches(spark, occurrences_from(_stream(spark, sf, "events")), ST.correlate_batch, "rollup", "rollups")
-    c = ST.current_rollup(r)
+    c = ST.current_rollup(spark, _batches(spark, occurrences_from(_stream(spark, sf, "events")), ST.correlate_batch, "rollup"))
     return c.select("kind", "value_hash", F.unix_micros("first_seen").alias("first_seen_us"), F.unix_micros("last_seen").alias("last_seen_us"), "occurrence_count")
 
 
 @query("t6_incremental_reputation", with_(SIGHTINGS_SQL, EMA_SQL) + "SELECT domain, round(reputation_score + 1e-9, 6) AS reputation_score, sightings FROM ema")
 def incremental_reputation(spark, sf):
-    (d,) = _batches(spark, sightings_from(_stream(spark, sf, "events")), ST.reputation_batch, "ema", "reputation")
-    return ST.current_reputation(d).select("domain", F.round(F.col("reputation_score") + 1e-9, 6).alias("reputation_score"), "sightings")
+    root = _batches(spark, sightings_from(_stream(spark, sf, "events")), ST.reputation_batch, "ema")
+    return ST.current_reputation(spark, root).select("domain", F.round(F.col("reputation_score") + 1e-9, 6).alias("reputation_score"), "sightings")
 
 
 @query("t7_exactly_once_jobs", with_(MESSAGES_SQL) + """

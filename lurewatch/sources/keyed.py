@@ -113,13 +113,16 @@ class KeyedTable:
         newest = rows.groupBy(*self.keys).agg(F.max(_VERSION).alias(_VERSION))
         return rows.join(newest, [*self.keys, _VERSION], "left_semi").drop(_VERSION)
 
-    def read(self, keys: DataFrame | None = None, before: int | None = None) -> DataFrame:
+    def read(self, keys: DataFrame | None = None, before: int | None = None, like=None) -> DataFrame:
         """Current rows; with ``keys`` only those of these keys (``by`` columns), from the buckets they fall in.
 
-        ``before`` asks for the rows as they were before that version, which a replay needs.
+        ``before`` asks for the rows as they were before that version, which a replay needs; ``like`` is the schema of a table
+        without a version.
         """
         base, changes = self._base(before), self._changes(before)
         if base is None and not changes:
+            if like is not None:
+                return self.spark.createDataFrame([], like)
             raise FileNotFoundError(f"no finished version below {self.path}")
         wanted = None if keys is None else keys.select(*(self.by or self.keys)).distinct()
         only = (lambda df: df) if wanted is None else (lambda df: df.join(wanted, list(self.by or self.keys), "left_semi"))
@@ -141,29 +144,27 @@ class KeyedTable:
 
     # -- upkeep ----------------------------------------------------------------------
 
-    def compact(self, keep=None) -> None:
-        """A new base with all changes folded in, of the rows for which ``keep`` (a condition) is true; older files go."""
-        version = self.version()
-        if not self._changes() and keep is None:
+    def compact(self, keep=None, before: int | None = None) -> None:
+        """A new base with all changes (before a version) folded in; older files go. ``keep`` maps the rows to those that stay."""
+        changes, base = self._changes(before), self._base(before)
+        if not changes:
             return
-        rows = self.read() if keep is None else self.read().filter(keep)
-        base = self._base()
-        nbytes = (size_of(self.spark, f"{self.path}/base/{base[0]}-{base[1]}") if base else 0) + sum(size_of(self.spark, f"{self.path}/changes/{v}") for v in self._changes())
-        if base and base[0] == version:
-            return  # nothing to fold in; what ``keep`` drops goes with the next change
-        self._write_base(rows, version, nbytes)
-        for name in self._bases()[:-1]:
-            self._drop(f"base/{name}")
+        rows = self.read(before=before) if keep is None else keep(self.read(before=before))
+        nbytes = (size_of(self.spark, f"{self.path}/base/{base[0]}-{base[1]}") if base else 0) + sum(size_of(self.spark, f"{self.path}/changes/{v}") for v in changes)
+        self._write_base(rows, changes[-1], nbytes)
+        for name in self._bases():
+            if int(name.split("-")[0]) < changes[-1]:
+                self._drop(f"base/{name}")
         for name in _finished(self.spark, f"{self.path}/changes"):
-            if int(name) <= version:
+            if int(name) <= changes[-1]:
                 self._drop(f"changes/{name}")
 
-    def maintain(self, keep=None, most: int = MOST_CHANGES) -> None:
+    def maintain(self, keep=None, before: int | None = None, most: int = MOST_CHANGES) -> None:
         """``compact`` once there are ``most`` changes or they weigh more than the base."""
-        changes, base = self._changes(), self._base()
+        changes, base = self._changes(before), self._base(before)
         weight = sum(size_of(self.spark, f"{self.path}/changes/{v}") for v in changes)
         if len(changes) >= most or base and weight > max(size_of(self.spark, f"{self.path}/base/{base[0]}-{base[1]}"), 1 << 20):
-            self.compact(keep)
+            self.compact(keep, before)
 
     def _drop(self, name: str) -> None:
         p, fs = _fs(self.spark, f"{self.path}/{name}")

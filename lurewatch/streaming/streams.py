@@ -22,6 +22,8 @@ from lurewatch.operators import maintenance as M
 from lurewatch.operators import sessions as S
 from lurewatch.operators.admission import admitted, first_deliveries
 from lurewatch.operators.ordering import ranked, running
+from lurewatch.session import cut_lineage
+from lurewatch.sources.keyed import KeyedTable
 from lurewatch.sources.readers import feed_entries
 
 DEDUP_TTL = 900
@@ -157,31 +159,47 @@ def admission_batch(root: str, limit: int = RATE_LIMIT, window: int = RATE_WINDO
 
 # -- sessions ------------------------------------------------------------------
 
-def sessions_batch(root: str) -> Callable[[DataFrame, int], None]:
+def sessions_batch(root: str, idle_hours: int = 24) -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: a snapshot of every session that got new turns.
 
-    Turns and first-seen values are kept as tables; a snapshot is the batch roll-up of a session's turns so far, with
-    the completion rule asked after every message in turn order. The last snapshot of a session therefore
-    does not depend on how its turns were cut into batches. A turn that comes after a later one is also logged as ``late``.
+    Turns and first-seen values are keyed tables, of which a batch reads the sessions it touches; a snapshot is the batch
+    roll-up of a session's turns so far, with the completion rule asked after every message in turn order. The last snapshot of
+    a session therefore does not depend on how its turns were cut into batches. A turn that comes after a later one is also
+    logged as ``late``. A session that was silent for ``idle_hours`` before its new turns begins anew.
     """
+    idle = F.make_dt_interval(hours=F.lit(idle_hours))
+
+    def fresh_only(rows: DataFrame) -> DataFrame:
+        newest = rows.agg(F.max("ts").alias("newest"))  # one row
+        last = rows.groupBy("session_id").agg(F.max("ts").alias("last")).join(F.broadcast(newest)).filter(F.col("last") + idle > F.col("newest"))
+        return rows.join(last.select("session_id"), "session_id", "left_semi")
+
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        turns = batch.select("session_id", "turn", "sender", "text", "ts").dropDuplicates(["session_id", "turn"])
-        stored = _earlier(spark, root, "turns", epoch, turns)
+        turn_table = KeyedTable(spark, f"{root}/turns", ("session_id", "turn"), ("session_id",))
+        value_table = KeyedTable(spark, f"{root}/values", ("session_id", "kind", "value"), ("session_id",))
+        turn_table.maintain(fresh_only, before=epoch)
+        value_table.maintain(before=epoch)
+        turns = batch.select("session_id", "turn", "sender", "text", "ts").dropDuplicates(["session_id", "turn"]).persist()
+        stored = turn_table.read(turns, before=epoch, like=turns.schema)
         new = turns.join(stored.select("session_id", "turn"), ["session_id", "turn"], "left_anti").persist()
-        touched = new.select("session_id").distinct()
+        begins = new.groupBy("session_id").agg(F.min("ts").alias("begins"))
+        silent = stored.groupBy("session_id").agg(F.max("ts").alias("last")).join(begins, "session_id").filter(F.col("last") + idle <= F.col("begins")).select("session_id")
+        silent = cut_lineage(silent)
+        history = stored.join(begins, "session_id", "left_semi").join(silent, "session_id", "left_anti")
         found = S.session_values(S.turn_entities(new)).persist()
-        earlier = _earlier(spark, root, "values", epoch, found).join(touched, "session_id", "left_semi")
-        values = earlier.unionByName(found).groupBy("session_id", "kind", "value").agg(F.min("first_turn").alias("first_turn"))
-        history = stored.join(touched, "session_id", "left_semi")
+        known = value_table.read(turns, before=epoch, like=found.schema)
+        earlier = known.join(begins, "session_id", "left_semi").join(silent, "session_id", "left_anti")
+        values = earlier.unionByName(found).groupBy("session_id", "kind", "value").agg(F.min("first_turn").alias("first_turn")).persist()
         snapshots = S.rollup(history.unionByName(new), values)
         _log(snapshots.select("session_id", "message_count", "intel_score", "is_complete", "completed_turn", "completed_at", "completed_score"), root, "snapshots", epoch)
         ahead = history.groupBy("session_id").agg(F.max("turn").alias("last_turn"))
         _log(new.join(ahead, "session_id").filter("turn < last_turn").select("session_id", "turn", "last_turn"), root, "late", epoch)
-        _log(found, root, "values", epoch)
-        _log(new, root, "turns", epoch)
-        found.unpersist()
-        new.unpersist()
+        gone = lambda df: df.join(silent, "session_id", "left_semi")
+        value_table.replace(values.select(found.columns), epoch, also=gone(known))
+        turn_table.replace(new, epoch, also=gone(stored))
+        for df in (turns, new, found, values):
+            df.unpersist()
 
     return handle
 
@@ -202,61 +220,75 @@ def completions(sessions: DataFrame) -> DataFrame:
 # -- incremental correlation and reputation --------------------------------------
 
 def correlate_batch(root: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler: new occurrences against the stored ones and each other."""
+    """Micro-batch handler: new occurrences against the stored ones and each other.
+
+    State is one row per indicator (``rollups``: occurrences of distinct investigations, calls, first and last sight) and one
+    per investigation and indicator (``occurrences``); a batch reads the indicators it touches.
+    """
     keys = ["kind", "value_hash"]
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        firsts = I.first_occurrences(I.indicators(batch)).select("investigation_id", *keys, "value", "ts", "seq")
-        stored = _earlier(spark, root, "occurrences", epoch, firsts)
-        new = firsts.join(stored.select("investigation_id", *keys), ["investigation_id", *keys], "left_anti").persist()
-        known = stored.join(new.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_stored"), F.min("ts").alias("stored_first")
-        )
+        occurrences = KeyedTable(spark, f"{root}/occurrences", ("investigation_id", *keys))
+        rollups = KeyedTable(spark, f"{root}/rollups", tuple(keys))
+        occurrences.maintain(before=epoch)
+        rollups.maintain(before=epoch)
+        ind = I.indicators(batch).persist()
+        firsts = I.first_occurrences(ind).select("investigation_id", *keys, "value", "ts", "seq").persist()
+        stored = occurrences.read(firsts, before=epoch, like=firsts.select("investigation_id", *keys).schema)
+        new = firsts.join(stored, ["investigation_id", *keys], "left_anti").persist()
+        seen = "kind string, value_hash string, n long, first_ts timestamp, first_seen timestamp, last_seen timestamp, occurrence_count long"
+        known = cut_lineage(rollups.read(ind, before=epoch, like=seen))
         occ = running(new, keys, ["ts", "seq"], position=("count", F.lit(1)), batch_first=("min", F.col("ts")))
-        joined = occ.join(known, keys, "left")
-        prior = F.col("position") - 1 + F.coalesce("n_stored", F.lit(0))
+        joined = occ.join(known.select(*keys, "n", "first_ts"), keys, "left")
+        prior = F.col("position") - 1 + F.coalesce("n", F.lit(0))
         matches = joined.withColumn("n_prior", prior).filter("n_prior > 0").select(
-            "investigation_id", *keys, "value", "ts", F.coalesce(F.least("stored_first", "batch_first"), "batch_first").alias("first_seen"),
+            "investigation_id", *keys, "value", "ts", F.coalesce(F.least("first_ts", "batch_first"), "batch_first").alias("first_seen"),
             "n_prior", I.campaign_id(F.col("kind"), F.col("value_hash")).alias("campaign_id"),
         )
         _log(matches, root, "matches", epoch)
-        _log(I.rollup(I.indicators(batch)), root, "rollups", epoch)
-        _log(new, root, "occurrences", epoch)
-        new.unpersist()
+        added = new.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+        merged = known.unionByName(I.rollup(ind).join(added, keys, "left")).groupBy(*keys).agg(
+            F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+            F.sum("occurrence_count").alias("occurrence_count"))
+        rollups.replace(merged, epoch)
+        occurrences.replace(new.select("investigation_id", *keys), epoch)
+        for df in (ind, firsts, new):
+            df.unpersist()
 
     return handle
 
 
-def current_rollup(rollups: DataFrame) -> DataFrame:
-    """Per-epoch roll-ups merge by sum, minimum and maximum."""
-    return rollups.groupBy("kind", "value_hash").agg(
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("occurrence_count").alias("occurrence_count")
-    )
+def current_rollup(spark: SparkSession, root: str) -> DataFrame:
+    """First and last sight and number of calls per indicator so far."""
+    return KeyedTable(spark, f"{root}/rollups", ("kind", "value_hash")).read().select("kind", "value_hash", "first_seen", "last_seen", "occurrence_count")
 
 
 def reputation_batch(root: str, alpha: float = I.EMA_ALPHA) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler: every epoch reduces to (count, weighted sum, first value) per domain."""
-    keep = 1 - alpha
+    """Micro-batch handler: one row of state per domain (sightings, weighted sum, first value), of which a batch reads its own."""
+    keep = F.lit(1 - alpha)
 
     def handle(batch: DataFrame, epoch: int) -> None:
+        state = KeyedTable(batch.sparkSession, f"{root}/reputation", ("domain",))
+        state.maintain(before=epoch)
         back = ranked(batch, ["domain"], [F.desc("ts"), F.desc("seq")], "distance")
-        delta = back.groupBy("domain").agg(
-            F.count(F.lit(1)).alias("n"), F.sum(alpha * F.pow(F.lit(keep), F.col("distance") - 1) * F.col("lexical_score")).alias("s"),
-            F.min_by("lexical_score", F.struct("ts", "seq")).alias("first_value"),
-        )
-        _log(delta, root, "reputation", epoch)
+        delta = cut_lineage(back.groupBy("domain").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(alpha * F.pow(keep, F.col("distance") - 1) * F.col("lexical_score")).alias("s"),
+            F.min_by("lexical_score", F.struct("ts", "seq")).alias("first_value")))
+        known = state.read(delta, before=epoch, like=delta.schema).select("domain", F.col("n").alias("n0"), F.col("s").alias("s0"), F.col("first_value").alias("x0"))
+        merged = delta.join(known, "domain", "left").select(
+            "domain", (F.col("n") + F.coalesce("n0", F.lit(0))).alias("n"), (F.col("s") + F.coalesce("s0", F.lit(0.0)) * F.pow(keep, F.col("n"))).alias("s"),
+            F.coalesce("x0", "first_value").alias("first_value"))
+        state.replace(merged, epoch)
 
     return handle
 
 
-def current_reputation(deltas: DataFrame, alpha: float = I.EMA_ALPHA) -> DataFrame:
-    """Fold the per-epoch deltas (with their ``epoch``) into today's reputation."""
+def current_reputation(spark: SparkSession, root: str, alpha: float = I.EMA_ALPHA) -> DataFrame:
+    """Today's reputation of every domain."""
     keep = F.lit(1 - alpha)
-    later = running(deltas, ["domain"], [F.desc("epoch")], upto=("sum", F.col("n")))
-    part = F.col("s") * F.pow(keep, F.col("upto") - F.col("n"))
-    agg = later.groupBy("domain").agg(F.sum(part).alias("s"), F.sum("n").alias("sightings"), F.min_by("first_value", "epoch").alias("x"))
-    return agg.select("domain", (F.col("s") + keep * F.pow(keep, F.col("sightings") - 1) * F.col("x")).alias("reputation_score"), "sightings")
+    state = KeyedTable(spark, f"{root}/reputation", ("domain",)).read()
+    return state.select("domain", (F.col("s") + keep * F.pow(keep, F.col("n") - 1) * F.col("first_value")).alias("reputation_score"), F.col("n").alias("sightings"))
 
 
 # -- investigations and feeds ------------------------------------------------------

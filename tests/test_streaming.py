@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lurewatch.operators import intel as I
+from lurewatch.sources import keyed
+from lurewatch.sources.keyed import KeyedTable
 from lurewatch.streaming import streams as ST
 
 
@@ -109,7 +111,7 @@ def test_incremental_correlation(spark, tmp_path, replay):
     key = lambda r: (r["investigation_id"], r["value_hash"], r["n_prior"], r["first_seen"])
     got = sorted(key(r) for r in spark.read.parquet(f"{root}/matches").collect())
     assert got == sorted(key(r) for r in I.correlate(I.indicators(occ)).collect())
-    counts = {r["value_hash"]: r["occurrence_count"] for r in ST.current_rollup(spark.read.parquet(f"{root}/rollups")).collect()}
+    counts = {r["value_hash"]: r["occurrence_count"] for r in ST.current_rollup(spark, root).collect()}
     assert counts == {r["value_hash"]: r["occurrence_count"] for r in I.rollup(I.indicators(occ)).collect()}
 
 
@@ -118,7 +120,7 @@ def test_incremental_reputation(spark, tmp_path):
     s = df.select(F.col("caller").alias("domain"), F.col("x").alias("lexical_score"), "ts", "seq")
     root = str(tmp_path / "state")
     ST.run_available(feed(spark, s, tmp_path, 4).writeStream.foreachBatch(ST.reputation_batch(root)), str(tmp_path / "cp"))
-    got = {r["domain"]: r["reputation_score"] for r in ST.current_reputation(spark.read.parquet(f"{root}/reputation")).collect()}
+    got = {r["domain"]: r["reputation_score"] for r in ST.current_reputation(spark, root).collect()}
     want = {r["domain"]: r["reputation_score"] for r in I.reputation(s).collect()}
     assert got == pytest.approx(want)
 
@@ -129,7 +131,8 @@ def test_session_state_for_any_cut(spark, tmp_path):
     rows += [(3, t, "scammer", "hello there friend of mine", 1_650_000_000 + t * 50) for t in range(3)]
     for per_trigger in (1, 2, 1000):
         stream = shuffled(spark, list(rows), "session_id long, turn long, sender string, text string, t long", tmp_path, 4, per_trigger)
-        snapshots, turns, late = through(spark, stream, ST.sessions_batch, tmp_path, per_trigger, "snapshots", "turns", "late")
+        snapshots, late = through(spark, stream, ST.sessions_batch, tmp_path, per_trigger, "snapshots", "late")
+        turns = KeyedTable(spark, str(tmp_path / f"state{per_trigger}/turns"), ("session_id", "turn"), ("session_id",)).read()
         got = {r["session_id"]: (r["message_count"], r["intel_score"], r["is_complete"], r["completed_turn"]) for r in ST.current_sessions(snapshots).collect()}
         # session 1 has 240 points after turn 7, and the rule looks at the score from the eighth exchange on, that is turn 15
         assert got == {1: (24, 240, True, 15), 2: (12, 0, True, 4), 3: (3, 0, False, None)}
@@ -172,3 +175,30 @@ def test_last_readable_poll_is_the_feed(spark, tmp_path):
     assert current() == ["http://c"]
     handler(poll((5, '{"urls": []}')), 2)
     assert current() == []
+
+
+def test_a_silent_session_begins_anew(spark, tmp_path):
+    root = str(tmp_path / "sessions")
+    handler = ST.sessions_batch(root)
+    turn = lambda *rows: spark.createDataFrame(list(rows), "session_id long, turn long, sender string, text string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    handler(turn((1, 0, "scammer", "pay u1@ybl", 0), (2, 0, "scammer", "pay u2@ybl", 0)), 0)
+    handler(turn((2, 1, "scammer", "hello again", 80_000)), 1)
+    for _ in range(2):  # a replay
+        handler(turn((1, 1, "scammer", "pay u3@ybl", 90_000), (2, 2, "agent", "well", 90_000)), 2)
+    handler(turn((1, 2, "agent", "well", 90_100)), 3)
+    got = {r["session_id"]: (r["message_count"], r["intel_score"]) for r in ST.current_sessions(spark.read.parquet(f"{root}/snapshots")).collect()}
+    assert got == {1: (2, 30), 2: (3, 30)}
+
+
+def test_work_of_an_epoch_does_not_grow_with_history(spark, tmp_path, monkeypatch):
+    """Changes since the last compaction and one row per domain are all that an epoch reads."""
+    root = str(tmp_path / "state")
+    handler = ST.reputation_batch(root)
+    monkeypatch.setattr(keyed.KeyedTable.maintain, "__defaults__", (None, None, 4))
+    held = []
+    for epoch in range(14):
+        handler(spark.range(200).select(F.concat(F.lit("d"), (F.col("id") % 20).cast("string")).alias("domain"), (F.col("id") / 200).alias("lexical_score"),
+                                        F.timestamp_seconds(F.col("id") + epoch * 1000).alias("ts"), F.col("id").alias("seq")), epoch)
+        held.append(keyed.size_of(spark, f"{root}/reputation"))
+    assert max(held[8:]) <= max(held[:8]) * 1.1 and len(KeyedTable(spark, f"{root}/reputation", ("domain",))._changes()) <= 4
+    assert {r["sightings"] for r in ST.current_reputation(spark, root).collect()} == {140}
