@@ -155,6 +155,50 @@ def select_threshold(swept: DataFrame, floor: DataFrame, max_fpr: float = 0.10)
     return picked.select(F.coalesce("a", "b", "c").alias("threshold"), F.when(F.col("a").isNotNull(), "within_limit").when(F.col("b").isNotNull(), "above_floor").otherwise("fallback").alias("rule"))
 
 
+#: Ways to read a classifier's scores as one number: name -> (score, whether rows called benign are out).
+FRAMINGS = {"top1": ("confidence", True), "not_benign": ("not_benign", False), "margin": ("margin", True)}
+
+
+def _called(gated: bool) -> Column:
+    return F.col("predicted_label") != "benign" if gated else F.lit(True)
+
+
+def sweep_framings(scored: DataFrame, framings: dict[str, tuple[str, bool]] | None = None, thresholds: list[float] = SWEEP, digits: int | None = 3) -> DataFrame:
+    """Confusion at every threshold in every framing, from one pass over the rows.
+
+    Each row falls into one step of the grid per framing; the counts per step, cumulated from above, are what lies over each
+    threshold. ``scored``: is_scam, predicted_label and the framings' scores.
+    """
+    framings = framings or FRAMINGS
+    step = lambda score, gated: F.when(_called(gated), F.size(F.filter(F.lit(thresholds), lambda t: F.col(score) > t))).otherwise(0)
+    steps = F.array(*[F.struct(F.lit(n).alias("framing"), step(*how).alias("step")) for n, how in framings.items()])
+    counts = scored.select("is_scam", F.explode(steps).alias("s")).groupBy("s.framing", "s.step").agg(F.count_if("is_scam").alias("scams"), F.count_if(~F.col("is_scam")).alias("fine"))
+    grid = counts.select("*", F.posexplode(F.lit(thresholds)).alias("i", "threshold"))  # a step per threshold at most
+    over = F.col("step") > F.col("i")
+    cell = lambda c, n, name: F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias(name)
+    out = grid.groupBy("framing", "threshold").agg(cell(over, "scams", "tp"), cell(over, "fine", "fp"), cell(~over, "fine", "tn"), cell(~over, "scams", "fn"))
+    return with_rates(out, digits)
+
+
+def framing_floors(bank: DataFrame, framings: dict[str, tuple[str, bool]] | None = None) -> DataFrame:
+    """Per framing, the largest score at which a text of the permanent benign bank would be flagged; 0 if none would."""
+    framings = framings or FRAMINGS
+    highest = bank.agg(*[F.coalesce(F.max(F.when(_called(gated), F.col(score))), F.lit(0.0)).alias(n) for n, (score, gated) in framings.items()])
+    return highest.select(F.explode(F.create_map(*[x for n in framings for x in (F.lit(n), F.col(n))])).alias("framing", "floor"))
+
+
+def choose_thresholds(scored: DataFrame, bank: DataFrame, framings: dict[str, tuple[str, bool]] | None = None, max_fpr: float = 0.10) -> DataFrame:
+    """The threshold of every framing, by the rule of ``select_threshold``, with the floor it had to clear and its F1."""
+    swept = sweep_framings(scored, framings, digits=3).join(framing_floors(bank, framings), "framing")  # as many rows as framings and thresholds
+    safe = F.col("threshold") > F.col("floor")
+    rank = F.struct("f1", "threshold")
+    chosen = swept.groupBy("framing").agg(
+        F.max(F.when(safe & (F.col("false_positive_rate") <= max_fpr), rank)).alias("a"), F.max(F.when(safe, rank)).alias("b"), F.max("floor").alias("floor"))
+    return chosen.select(
+        "framing", F.coalesce("a.threshold", "b.threshold", F.round(F.least(F.lit(0.95), F.col("floor") + 0.05), 2)).alias("threshold"),
+        F.when(F.col("a").isNotNull(), "within_limit").when(F.col("b").isNotNull(), "above_floor").otherwise("fallback").alias("rule"), "floor", F.coalesce("a.f1", "b.f1").alias("f1"))
+
+
 def error_slices(df: DataFrame, rules: str = "rules_predicted") -> DataFrame:
     """False positives, false negatives and rule misses nobody recovered."""
     pred, actual = F.coalesce("predicted", F.lit(False)), F.col("is_scam")
