@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.operators.ordering import ranked
+from lurewatch.operators.ordering import cumulated
 
 SWEEP = [round(0.10 + 0.05 * i, 2) for i in range(17)]
 
@@ -72,9 +72,8 @@ def latency(df: DataFrame, value: str = "latency_ms") -> DataFrame:
 
 
 def running_total(counts: DataFrame, value: str) -> DataFrame:
-    from lurewatch.operators.ordering import running
-
-    return running(counts.withColumn("__all", F.lit(0)), ["__all"], [value], upto=("sum", F.col("n"))).drop("__all")
+    """Adds ``upto``: rows up to and with each distinct value."""
+    return cumulated(counts, [value], F.col("n"), "upto")
 
 
 def category_report(df: DataFrame, candidates: dict[str, str]) -> DataFrame:
@@ -221,4 +220,5 @@ def margin(probabilities: Column) -> Column:
 
 
 def nth_value(df: DataFrame, order: list, n: int) -> DataFrame:
-    return ranked(df.withColumn("__all", F.lit(0)), ["__all"], order, "position").filter(F.col("position") == n).drop("__all")
+    """The row at 1-based place ``n`` of a unique order."""
+    return cumulated(df, order, F.lit(1).cast("long"), "position").filter(F.col("position") == n)

@@ -88,6 +88,22 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str = "rn") -> Dat
     return running(df, keys, order, **{name: ("count", F.lit(1))})
 
 
+def cumulated(df: DataFrame, order: list, amount: Column, name: str) -> DataFrame:
+    """Running sum of ``amount`` over all rows in ``order`` (unique), the current row included.
+
+    Rows are range-partitioned, summed inside each range and shifted by the ranges before it; what meets in one task
+    besides a range is one row per range.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = cut_lineage(df.withColumn("__amount", amount).repartitionByRange(width, *[_flip(o) for o in order]).withColumn(_RANGE, F.spark_partition_id()))
+    sums = cut.groupBy(_RANGE).agg(F.sum("__amount").alias("__sum"))
+    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sums.select(_RANGE, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__shift"))
+    local = Window.partitionBy(_RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = cut.withColumn(name, F.sum("__amount").over(local)).join(F.broadcast(shifts), _RANGE)  # a row per shuffle partition
+    return out.withColumn(name, F.col(name) + F.col("__shift")).drop("__amount", _RANGE, "__shift")
+
+
 def lagged(df: DataFrame, keys: list[str], position: str, columns: dict[str, str], depth: int, block: int = 100_000) -> DataFrame:
     """Array of the previous ``depth`` values of each column, nearest first.
 

@@ -10,7 +10,7 @@ from lurewatch.operators import evidence as EV
 from lurewatch.operators import fusion as FU
 from lurewatch.operators import maintenance as M
 from lurewatch.plans.inputs import (
-    EVIDENCE_SQL, INVESTIGATIONS_SQL, MESSAGES_SQL, SIGNALS_SQL, TURNS_SQL, evidence_rows, investigations, messages, quote, signals, turns, with_,
+    EVIDENCE_SQL, INVESTIGATIONS_SQL, MESSAGES_SQL, SIGNALS_SQL, TURNS_SQL, evidence_rows, investigations, messages, quote, signals, sql_list, turns, with_,
 )
 from lurewatch.plans.intel_queries import FUSED_SQL, WEIGHTED_SQL
 from lurewatch.plans.registry import query, table
@@ -338,6 +338,38 @@ def corpus_grid(spark, sf):
     return C.grid(table(spark, sf, "customer").select(F.col("c_name").alias("sender")), _SLOTS, 200, 7)
 
 
+#: Sentence slots of each label of the corpus: who, what, when.
+_LABEL_SLOTS = {
+    "benign": [["wishes you", "reminds you of", "writes about"], ["a calm week", "the garden day", "Sunday's match"], ["at noon.", "as agreed.", "with thanks."]],
+    "mfa_code_theft": [["needs", "asks for", "waits for"], ["the six digits just sent", "your login code", "the code on your screen"], ["at once.", "before it lapses.", "to finish."]],
+    "credential_access": [["wants", "requires", "must see"], ["your mailbox password", "the portal login", "your VPN phrase"], ["today.", "for the audit.", "or access ends."]],
+    "social_engineering": [["says the chief needs", "begs for", "quietly requests"], ["a favour with vouchers", "help with a transfer", "your silence on a deal"], ["this hour.", "while travelling.", "before the call."]],
+    "it_support_pretext": [["from the help desk will", "of IT has to", "at support wants to"], ["take over your desktop", "install a remote tool", "reset your profile"], ["now.", "after lunch.", "for an update."]],
+    "bank_impersonation": [["of your bank's fraud team", "from card services", "at the branch"], ["asks for your card number", "blocks your account", "verifies your savings"], ["tonight.", "until you confirm.", "within the hour."]],
+    "investment_fraud": [["doubles", "guarantees", "multiplies"], ["your deposit", "every coin you send", "a small stake"], ["in ten days.", "without risk.", "each night."]],
+    "payment_fraud": [["sends a new account for", "re-directs", "demands"], ["the open invoice", "this month's rent", "the customs fee"], ["from now on.", "by wire only.", "at once."]],
+    "phishing": [["links you to", "urges you to open", "shares"], ["a parcel page", "a refund form", "a locked document"], ["before midnight.", "to keep it.", "with your login."]],
+}
+
+
+def _drawn_sql(place, label):
+    slots = _LABEL_SLOTS[label]
+    radix = "".join(f" * {len(v)}" for v in slots)
+    digit, parts = "number // s", []
+    for v in slots:
+        parts.append(f"{sql_list(v)}[({digit}) % {len(v)} + 1]")
+        digit = f"({digit}) // {len(v)}"
+    return f"""SELECT '{label}' AS label, number % s + 1 AS place, concat_ws(' ', {', '.join(parts)}) AS rest FROM (SELECT s, (i * (SELECT min(x) FROM range(greatest(1, n * 618 // 1000 + {7 + place}), n * 618 // 1000 + 1000) AS r(x) WHERE gcd(x, n) = 1)
+  + {(7 + place) * 7919} % n) % n AS number FROM (SELECT s, s{radix} AS n FROM (SELECT count(DISTINCT c_name) AS s FROM customer)), range({L.CORPUS_TARGETS[label]}) AS t(i))"""
+
+
+@query("u7_labelled_corpus", "WITH numbered AS (SELECT sender, row_number() OVER (ORDER BY sender) AS place FROM (SELECT DISTINCT c_name AS sender FROM customer)), drawn AS ("
+       + " UNION ALL ".join(_drawn_sql(i, label) for i, label in enumerate(sorted(L.CORPUS_TARGETS))) + ") SELECT label, sender || ' ' || rest AS text FROM drawn JOIN numbered USING (place)")
+def labelled_corpus(spark, sf):
+    """As many different texts of every label as the corpus asks for, drawn from grids over all customers."""
+    return C.labelled_grid(table(spark, sf, "customer").select(F.col("c_name").alias("sender")), _LABEL_SLOTS, L.CORPUS_TARGETS)
+
+
 @query("u8_stratified_split", """
 WITH p AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id::VARCHAR || '#7'), doc_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT doc_id, source, CASE WHEN rn <= greatest(1, round_even(n * 0.22, 0)::BIGINT) THEN 'validation' ELSE 'train' END AS split FROM p""")

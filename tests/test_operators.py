@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lurewatch.operators import corpus as C
 from lurewatch.operators import evaluation as E
 from lurewatch.operators import fusion as FU
 from lurewatch.operators import intel as I
@@ -183,3 +184,48 @@ def test_term_features(spark):
     r = df.select(ML.word_terms(F.col("text")).alias("w"), ML.char_terms(F.col("text")).alias("c")).first()
     assert r["w"] == ["pay", "now", "pay", "pay now", "now pay"]
     assert r["c"][:6] == [" pa", "pay", "ay ", " pay", "pay ", " pay "]
+
+
+def test_labelled_grid_draws_without_repeats(spark):
+    senders = spark.createDataFrame([(f"s{i}",) for i in range(10)] * 2, "sender string")
+    slots = {"a": [["x", "y", "z"], ["1", "2"]], "b": [["p", "q"]]}
+    whole = C.labelled_grid(senders, slots, {"a": 60, "b": 20}).collect()
+    assert {(r["label"], r["text"]) for r in whole} == {("a", f"s{i} {u} {v}") for i in range(10) for u in "xyz" for v in "12"} | {("b", f"s{i} {u}") for i in range(10) for u in "pq"} and len(whole) == 80
+    some = [r["text"] for r in C.labelled_grid(senders, slots, {"a": 25}).collect()]
+    assert len(set(some)) == 25 and len({t.split()[0] for t in some}) == 10 and some != [r["text"] for r in C.labelled_grid(senders, slots, {"a": 25}, seed=8).collect()]
+    with pytest.raises(ValueError, match="grid has 20"):
+        C.labelled_grid(senders, slots, {"b": 21})
+
+
+def test_cumulated_and_nth_value(spark):
+    rows = [(i * 7 % 101, i % 5) for i in range(101)]
+    df = spark.createDataFrame(rows, "v long, n long")
+    total, want = 0, {}
+    for v, n in sorted(rows):
+        total += n
+        want[v] = total
+    assert {r["v"]: r["upto"] for r in E.running_total(df, "v").collect()} == want
+    assert E.nth_value(df, ["v"], 40).first()["v"] == 39
+
+
+def test_chosen_thresholds_equal_trying_all(spark):
+    rng = random.Random(9)
+    for case in range(3):
+        rows = [(rng.random() < 0.4, rng.choice(["benign", "phishing"]), rng.random(), rng.random(), rng.random()) for _ in range(80)]
+        bank = [(rng.choice(["benign", "phishing"]), *(rng.random() * (0.2, 0.5, 1.2)[case] for _ in range(3))) for _ in range(6)]
+        got = E.choose_thresholds(spark.createDataFrame(rows, "is_scam boolean, predicted_label string, confidence double, not_benign double, margin double"),
+                                   spark.createDataFrame(bank, "predicted_label string, confidence double, not_benign double, margin double")).collect()
+        for r in got:
+            at = {"top1": 2, "not_benign": 3, "margin": 4}[r["framing"]]
+            called = lambda x: r["framing"] == "not_benign" or x == "phishing"  # noqa: E731, B023
+            floor = max([b[at - 1] for b in bank if called(b[0])], default=0.0)
+            tried = []
+            for t in E.SWEEP:
+                hit = [called(x[1]) and x[at] > t for x in rows]
+                tp, fp = sum(h and x[0] for h, x in zip(hit, rows, strict=True)), sum(h and not x[0] for h, x in zip(hit, rows, strict=True))
+                fn, tn = sum(x[0] for x in rows) - tp, sum(not x[0] for x in rows) - fp
+                tried.append((round(2 * tp / (2 * tp + fp + fn), 3), t, round(fp / (fp + tn), 3)))
+            safe = [x for x in tried if x[1] > floor]
+            good = [x for x in safe if x[2] <= 0.10]
+            want = max(good or safe)[1] if safe else round(min(0.95, floor + 0.05), 2)
+            assert r["threshold"] == pytest.approx(want) and r["rule"] == ("within_limit" if good else "above_floor" if safe else "fallback") and r["floor"] == pytest.approx(floor)
