@@ -1,10 +1,12 @@
 """Main text of HTML pages by tag-path ratios.
 
-A page is read once into blocks of text with their root-to-leaf paths of block elements. Per path, the mean
-text length and the mean number of punctuation marks of its blocks are taken; both series are smoothed along
-the page, fused by their geometric mean and cut at a share of their spread. The blocks above the cut point
-out the element that holds the article; its blocks are the text. Elements that by their tag, role, class or id
-are menus, forms, adverts, comments and the like never count.
+A page is read once into blocks of text with their root-to-leaf paths of block elements. Per path, the mean length of text
+outside links and the mean number of punctuation marks of its blocks are taken; both series are smoothed along the page and
+fused by their geometric mean, which is then averaged with that of the path alone. What a tag, role, class or id says is
+evidence that scales a block's ratio: down below menus, forms, adverts, comments and the like, up below ``article`` and
+``main``. It says nothing where it names an element that holds most of the page's text or the article itself. Blocks above a
+share of the ratios' mean are the content nodes; the element that holds nearly all of their text is the article, and its other
+blocks (headings, list items, captions) belong to it unless evidence is against them.
 """
 
 from __future__ import annotations
@@ -20,7 +22,10 @@ from pyspark.sql import DataFrame
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("head script style noscript template svg math iframe object canvas audio video map form fieldset button select textarea input nav aside footer menu dialog".split())
+#: Elements whose content is no text of the page.
+SKIPPED = frozenset("head script style noscript template svg math iframe object canvas audio video map datalist select textarea button".split())
+#: Elements that by their tag are not the article; of these, ``form`` may be a wrapper of the page.
+ASIDE = frozenset("nav aside footer menu dialog form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 ARTICLE = frozenset(["article", "main"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -32,25 +37,38 @@ CLOSES = {
 }
 #: Parts of a text, which are not the article alone.
 PARTS = HEADINGS | frozenset("p ul ol dl li dt dd table tbody thead tfoot tr td th blockquote pre figure figcaption".split())
-#: Words of class and id that name something other than the article.
-_NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|advertorial|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|paywall|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|toc|sidebar|side|rail|widget|footer|foot|header|masthead|topbar|toolbar|"
-    r"comments?|respond|replies|disqus|discussion|share|sharing|social|follow|related|recommended|recirc|trending|newsletter|subscribe|signup|login|search|"
-    r"copyright|legal|disclaimer|skip|hidden)(?:[^a-z]|$)")
+#: Words of class and id that name something other than the article where they end a name, and words that may follow them.
+BOILERPLATE = frozenset("""ad ads advert adverts advertisement advertorial adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay paywall
+nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc sidebar side rail widget widgets footer foot header masthead topbar toolbar comment comments respond replies disqus discussion
+share sharing social follow related recommended recirc trending newsletter subscribe signup login search copyright legal disclaimer skip hidden""".split())
+_AFTER = frozenset("wrapper wrap container box bar block section area list item items links link buttons button inner outer content text body slot unit module panel row col column group form top bottom left right main primary secondary".split())
+_STATES = frozenset("has with without no is not".split())
+#: Headings that open something other than the article.
+_OTHER_HEADING = re.compile(r"(?:\d+ )?(?:reader |user |all |latest |leave a |add a |post a )?(?:comments?|replies|responses|reply|discussion)(?: \(\d+\))?[:.]?|related(?: \w+)?[:.]?|you (?:may|might) also like[:.]?|more (?:from|on) .{1,40}|read (?:more|next)[:.]?|share this.{0,20}|advertisement|sponsored.{0,20}|recommended(?: for you)?[:.]?", re.I)
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？؟،]")
-#: Fused ratios above this share of their standard deviation mark content.
-CUT = 0.5
+#: Ratios above this share of their mean, weighted by text, mark content, and none below ``LEAST`` does.
+CUT, LEAST = 0.5, 1.0
+#: What evidence against and for a block multiplies its ratio by.
+AGAINST, FOR = 0.02, 2.0
+#: Characters that make an element with half of the page's text a wrapper.
+WRAPPER_CHARS = 200
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     skipped: bool
-    path: str
+    path: int
     parent: Element | None
     article: Element | None
+    named: bool = False  # by class or id
+    aside: bool = False  # by tag or role
+    depth: int = 0
+    weight: int = 0
+    holds_article: bool = False
+    against: bool = False
+    inside: bool = False
 
 
 @dataclass
@@ -59,31 +77,45 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    other: bool = False  # below a heading of something else
+
+
+def names_other(value: str, within_article: bool) -> bool:
+    """Whether a class or id value names something other than the article."""
+    for name in _CAMEL.sub("-", value).lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words and words[0] in _STATES:
+            continue
+        while len(words) > 1 and words[-1] in _AFTER:
+            words.pop()
+        if words and words[-1] in BOILERPLATE and not (within_article and words[-1] in ("header", "masthead")):
+            return True
+    return False
 
 
 class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Element("", False, "", None, None)
+        self.root = Element("", False, 0, None, None)
         self.top, self.blocks, self.links = self.root, [], 0
+        self.elements, self.paths = [self.root], {}
         self.fresh = True
 
     def _open(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        at = self.top
-        given = dict(attrs)
-        names = _CAMEL.sub("-", f"{given.get('class') or ''} {given.get('id') or ''}").lower()
-        page_header = tag == "header" and at.article is None
-        skipped = (at.skipped or tag in SKIPPED or page_header or (given.get("role") or "").lower() in ROLES or "hidden" in given
-                   or (tag not in ("html", "body") and tag not in ARTICLE and bool(_NAMES.search(names))))
-        name = tag + "".join(f".{c}" for c in sorted(set(names.split())))
-        self.top = Element(tag, skipped, f"{at.path}/{name}", at, at.article)
-        if at.article is None and (tag in ARTICLE or (given.get("role") or "").lower() in ARTICLE):
+        at, given = self.top, dict(attrs)
+        classes, role = f"{given.get('class') or ''} {given.get('id') or ''}", (given.get("role") or "").lower()
+        path = self.paths.setdefault((at.path, tag, " ".join(sorted(set(classes.lower().split())))), len(self.paths) + 1)
+        article = at.article is not None
+        self.top = Element(
+            tag, at.skipped or tag in SKIPPED or "hidden" in given, path, at, at.article, tag not in ("html", "body") and names_other(classes, article),
+            tag in ASIDE or role in ROLES or (tag == "header" and not article), at.depth + 1)
+        if not article and (tag in ARTICLE or role in ARTICLE):
             self.top.article = self.top
+        self.elements.append(self.top)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE:
-            hidden = _NAMES.search(_CAMEL.sub("-", f"{dict(attrs).get('class') or ''}").lower())
-            if hidden and tag == "span" and not self.top.skipped:
+            if tag == "span" and not self.top.skipped and names_other(dict(attrs).get("class") or "", self.top.article is not None):
                 self.fresh = True
                 self._open(tag, attrs)
             elif tag == "a":
@@ -133,19 +165,43 @@ class _Reader(HTMLParser):
             self._add(data)
 
 
-def read_blocks(html: str) -> list[Block]:
-    """Blocks of text outside skipped elements, in page order, white space as single spaces."""
+def read_blocks(html: str) -> tuple[list[Block], list[Element]]:
+    """Blocks of text in page order, white space as single spaces, and all elements, parents first."""
     reader = _Reader()
     reader.feed(html)
     reader.close()
     for block in reader.blocks:
         block.text = " ".join("".join(block.parts).split())
-    return [b for b in reader.blocks if b.text]
+    return [b for b in reader.blocks if b.text], reader.elements
+
+
+def weigh_evidence(blocks: list[Block], elements: list[Element]) -> np.ndarray:
+    """What tags, roles, names and headings say about each block, as a factor of its ratio."""
+    for b in blocks:
+        b.element.weight += max(0, len(b.text) - b.linked)
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.weight += e.weight
+            e.parent.holds_article = e.parent.holds_article or e.holds_article or e.article is e
+    total = elements[0].weight
+    for e in elements:
+        wrapper = 2 * e.weight >= total and e.weight >= WRAPPER_CHARS
+        against = (e.named and not (wrapper or e.holds_article)) or (e.aside and not (e.holds_article or (e.tag == "form" and wrapper)))
+        e.against = against or (e.parent is not None and e.parent.against)
+    opened: tuple[int, Element] | None = None
+    for b in blocks:
+        level = int(b.element.tag[1]) if b.element.tag in HEADINGS else None
+        if opened and (b.element.depth < opened[1].depth + 1 or (level and level <= opened[0])):
+            opened = None
+        if level and b.element.parent is not None and _OTHER_HEADING.fullmatch(b.text):
+            opened = (level, b.element.parent)
+        b.other = opened is not None
+    return np.array([AGAINST if b.element.against or b.other else FOR if b.element.article is not None else 1.0 for b in blocks])
 
 
 def path_ratios(blocks: list[Block]) -> np.ndarray:
-    """Fused and smoothed tag-path ratio of each block."""
-    paths: dict[str, list[int]] = {}
+    """Tag-path ratio of each block: fused, of its own path and of the page around it, which lifts no path by its neighbours alone."""
+    paths: dict[int, list[int]] = {}
     for i, b in enumerate(blocks):
         paths.setdefault(b.element.path, []).append(i)
     length, marks = np.zeros(len(blocks)), np.zeros(len(blocks))
@@ -155,54 +211,45 @@ def path_ratios(blocks: list[Block]) -> np.ndarray:
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     weight = np.convolve(np.ones(len(blocks)), kernel, mode="full")[2:-2]
     smooth = lambda v: np.convolve(v, kernel, mode="full")[2:-2] / weight
-    return np.sqrt(np.maximum(smooth(length), 0) * (smooth(marks) + 0.1))
+    fuse = lambda v, m: np.sqrt(np.maximum(v, 0) * (m + 0.1))
+    return np.sqrt(fuse(length, marks) * fuse(smooth(length), smooth(marks)))
 
 
-def _weight_below(blocks: list[Block], chosen: list[int]) -> Element | None:
-    """The deepest element that holds nine tenths of the chosen blocks' text and is no mere part of a text."""
-    weight: dict[int, int] = {}
-    named: dict[int, tuple[int, Element]] = {}
-    total = 0
+def _holder(blocks: list[Block], chosen: np.ndarray, elements: list[Element]) -> None:
+    """Marks what lies inside the deepest element that holds nine tenths of the chosen text and is no mere part of a text."""
+    for e in elements:
+        e.weight = 0
     for i in chosen:
-        total += len(blocks[i].text)
-        at, depth = blocks[i].element, blocks[i].element.path.count("/")
-        while at is not None:
-            weight[id(at)] = weight.get(id(at), 0) + len(blocks[i].text)
-            named[id(at)] = (depth, at)
-            at, depth = at.parent, depth - 1
-    best = max((named[k] for k, w in weight.items() if w >= 0.9 * total), key=lambda x: x[0], default=None)
-    top = best[1] if best else None
-    while top is not None and top.parent and top.tag in PARTS:
+        blocks[i].element.weight += len(blocks[i].text)
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.weight += e.weight
+    top = max((e for e in elements if e.weight >= 0.9 * elements[0].weight), key=lambda e: e.depth)
+    while top.parent is not None and top.tag in PARTS:
         top = top.parent
-    return top
-
-
-def _within(at: Element | None, top: Element) -> bool:
-    while at is not None:
-        if at is top:
-            return True
-        at = at.parent
-    return False
+    for e in elements:
+        e.inside = e is top or (e.parent is not None and e.parent.inside)
 
 
 def main_text(html: str | None) -> str:
     """The article's blocks joined by two line ends; empty if there are none."""
-    blocks = read_blocks(html or "")
+    blocks, elements = read_blocks(html or "")
     if not blocks:
         return ""
-    ratio = path_ratios(blocks)
-    chosen = [i for i in range(len(blocks)) if ratio[i] >= CUT * ratio.std()]
-    marked = [i for i in chosen if blocks[i].element.article is not None]
-    if sum(len(blocks[i].text) for i in marked) * 2 >= sum(len(blocks[i].text) for i in chosen) or not chosen:
-        inside = [b for b in blocks if b.element.article is not None]
-    else:
-        inside = []
-    if not inside:
-        top = _weight_below(blocks, chosen)
-        inside = [b for b in blocks if top is not None and _within(b.element, top)]
-        while inside and inside[0].linked * 2 > len(inside[0].text):
-            inside.pop(0)
-    return "\n\n".join(b.text for b in inside if b.linked * 2 <= len(b.text) or len(b.text) > 200 or b.element.tag in HEADINGS or b.element.tag == "p")
+    evidence = weigh_evidence(blocks, elements)
+    ratio = path_ratios(blocks) * evidence
+    mean = np.average(ratio, weights=[len(b.text) for b in blocks])
+    above = ratio > max(LEAST, CUT * mean)
+    if not above.any():
+        return ""
+    _holder(blocks, np.flatnonzero(above), elements)
+    above &= np.array([b.element.inside for b in blocks]) | (ratio >= mean)  # elsewhere only what stands out as much as the article
+    kept = [i for i, b in enumerate(blocks) if above[i] or (b.element.inside and evidence[i] >= 1)]
+    within = [i for i in kept if above[i] or blocks[i].element.article is not None]
+    if within:  # without an article tag, links before the first content node and after the last are menus that nothing names
+        first, last = within[0], within[-1]
+        kept = [i for i in kept if first <= i <= last or 2 * blocks[i].linked <= len(blocks[i].text)]
+    return "\n\n".join(blocks[i].text for i in kept)
 
 
 def extract(pages: DataFrame) -> DataFrame:
