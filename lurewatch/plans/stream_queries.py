@@ -133,14 +133,15 @@ def exactly_once(spark, sf):
 
 @query("t8_feed_snapshot", f"WITH {_FEED_SQL.replace('WHERE', 'WHERE page_id // 40 = (SELECT max(page_id // 40) FROM pages) AND')} SELECT * FROM feed")
 def feed_snapshot(spark, sf):
-    """Polls of forty entries each, then an unreadable one; the last readable poll is the feed."""
+    """Polls of forty entries every six minutes, each asked for again while it is fresh, then an unreadable one; the last taken is the feed."""
     src = scratch_path(spark, "polls")
     entry = F.from_json("payload", schemas.FEED)["urls"][0]
-    entries = _feed_payloads(spark, sf, "page_id").select(F.floor(F.col("page_id") / 40).alias("polled_at"), entry.alias("e"))
+    entries = _feed_payloads(spark, sf, "page_id").select((F.floor(F.col("page_id") / 40) * 360).alias("polled_at"), entry.alias("e"))
     polls = entries.groupBy("polled_at").agg(F.to_json(F.struct(F.collect_list("e").alias("urls"))).alias("payload"))  # forty entries at most
-    polls = polls.unionByName(polls.agg((F.max("polled_at") + 1).alias("polled_at")).withColumn("payload", F.lit("<html>busy</html>")))
-    polls.write.parquet(src)
-    (kept,) = _batches(spark, spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 2).parquet(src), ST.feed_batch, "feed", "polls")
+    again = polls.withColumn("polled_at", F.col("polled_at") + 100).withColumn("payload", F.lit('{"urls": [{"url": "http://too.soon.example/"}]}'))
+    polls = polls.unionByName(again).unionByName(polls.agg((F.max("polled_at") + 360).alias("polled_at")).withColumn("payload", F.lit("<html>busy</html>")))
+    polls.repartitionByRange(4, "polled_at").write.parquet(src)
+    (kept,) = _batches(spark, spark.readStream.schema(polls.schema).parquet(src), ST.feed_batch, "feed", "polls")
     return ST.current_feed(kept)
 
 

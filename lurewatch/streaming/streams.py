@@ -9,6 +9,7 @@ value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from lurewatch.sources.readers import feed_entries
 DEDUP_TTL = 900
 RATE_LIMIT, RATE_WINDOW = 60, 60
 MAX_TRIES = 3
+#: Seconds for which a feed that was read counts as fresh.
+FEED_FRESH = 300
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema, max_files: int = 1000) -> DataFrame:
@@ -293,32 +296,39 @@ def current_reputation(spark: SparkSession, root: str, alpha: float = I.EMA_ALPH
 
 # -- investigations and feeds ------------------------------------------------------
 
-def failing_parts(df: DataFrame, job: Callable[[DataFrame], DataFrame], key: str, tries: int = MAX_TRIES, most: int = 256) -> list[tuple[int, int, str]]:
-    """(bits, rest, reason): hash classes of ``key`` on which ``job`` fails, halved until a class holds one key.
+def failing_parts(df: DataFrame, job: Callable[[DataFrame], DataFrame], key: str, tries: int = MAX_TRIES, ways: int = 4) -> list[tuple[int, int, str]]:
+    """(bits, rest, reason): hash classes of ``key`` on which ``job`` fails, split until a class holds one key.
 
-    A class of one key is tried ``tries`` times. Beyond ``most`` open classes they are no longer halved, and count as failed whole.
+    The classes of a round run side by side, each a job over its share of ``df``; a failing one splits ``2 ** ways`` ways in the
+    next round. A class of one key is tried ``tries`` times.
     """
-    todo, failed = [(0, 0)], []
-    while todo:
-        bits, rest = todo.pop()
-        part = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << bits)) == rest)
-        single = bits >= 48 or len(todo) >= most or part.select(key).distinct().limit(2).count() < 2
-        for attempt in range(1, (tries if single else 1) + 1):
+    def attempt(part: tuple[int, int]) -> tuple[str | None, bool]:
+        rows = df.filter(F.pmod(F.xxhash64(key), F.lit(1 << part[0])) == part[1])
+        single, reason = None, None
+        for _ in range(tries):
             try:
-                job(part).write.format("noop").mode("overwrite").save()
-                break
+                job(rows).write.format("noop").mode("overwrite").save()
+                return None, False
             except Exception as exc:  # noqa: BLE001 - whatever the job raises ends in the dead letters
-                if single and attempt == tries:
-                    failed.append((bits, rest, str(exc)[:500]))
-                elif not single:
-                    todo += [(bits + 1, rest), (bits + 1, rest + (1 << bits))]
+                reason = str(exc)[:500]
+                single = part[0] >= 60 or rows.select(key).distinct().limit(2).count() < 2 if single is None else single
+                if not single:
+                    break
+        return reason, bool(single)
+
+    todo, failed = [(0, 0)], []
+    with ThreadPool(8) as pool:
+        while todo:
+            results = list(zip(todo, pool.map(attempt, todo), strict=True))
+            failed += [(bits, rest, reason) for (bits, rest), (reason, single) in results if reason is not None and single]
+            todo = [(bits + ways, rest + (i << bits)) for (bits, rest), (reason, single) in results if reason is not None and not single for i in range(1 << ways)]
     return failed
 
 
 def investigation_batch(root: str, investigate: Callable[[DataFrame], DataFrame], valid: Column) -> Callable[[DataFrame, int], None]:
     """Micro-batch handler: skip reported ids; ids that fail ``valid`` or three tries become dead letters, the rest reports.
 
-    Needs ``investigation_id``. If the batch fails as a whole, the failing ids are found by halving.
+    Needs ``investigation_id``. If the batch fails as a whole, the failing ids are found by splitting it.
     """
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -339,12 +349,19 @@ def investigation_batch(root: str, investigate: Callable[[DataFrame], DataFrame]
     return handle
 
 
-def feed_batch(root: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler of polls (polled_at, payload): the latest readable poll of the batch is kept."""
+def feed_batch(root: str, fresh_seconds: int = FEED_FRESH) -> Callable[[DataFrame, int], None]:
+    """Micro-batch handler of polls (polled_at in seconds, payload): which are taken over as the feed.
+
+    While the feed is fresh, polls change nothing; an unreadable poll leaves the last good one in place.
+    """
     def handle(batch: DataFrame, epoch: int) -> None:
-        readable = F.from_json("payload", schemas.FEED)["urls"].isNotNull()
-        latest = batch.filter(readable).agg(F.max_by(F.struct("polled_at", "payload"), "polled_at").alias("p"))
-        _log(latest.filter("p IS NOT NULL").select("p.*"), root, "polls", epoch)
+        spark = batch.sparkSession
+        known = _earlier(spark, root, "polls", epoch, batch.select("polled_at", "payload")).agg(F.max("polled_at").alias("polled_at")).filter("polled_at IS NOT NULL")
+        at = lambda df: df.select(F.lit("feed").alias("feed"), F.timestamp_seconds("polled_at").alias("ts"))
+        readable = batch.filter(F.from_json("payload", schemas.FEED)["urls"].isNotNull())
+        readable = readable.groupBy("polled_at").agg(F.min("payload").alias("payload")).join(known.withColumnRenamed("polled_at", "kept"), F.col("polled_at") <= F.col("kept"), "left_anti")
+        taken = first_deliveries(at(readable).unionByName(at(known)), ["feed"], fresh_seconds).select(F.unix_seconds("ts").alias("polled_at"))
+        _log(readable.join(taken, "polled_at", "left_semi").select("polled_at", "payload"), root, "polls", epoch)
 
     return handle
 

@@ -16,11 +16,11 @@ CASES = [
     ("Shall we have a coffee near the station on Sunday", 0, [], False),
 ]
 EXTRACT = [
-    ("pay to desk.seven@okaxis or spare@ybl", ["desk.seven@okaxis", "spare@ybl"], [], [], [], 35),
-    ("ring me on +917012345678 or 6123456789", [], ["6123456789", "7012345678"], ["917012345678"], [], 15),
-    ("move it to account 314159265358979", [], ["9265358979"], ["314159265358979"], [], 20),
-    ("open http://card-verify-now.xyz/in and bit.ly/qq77", [], [], [], ["bit.ly/qq77", "http://card-verify-now.xyz/in"], 55),
-    ("urgent payment due, verify kyc today, you won a gift", [], [], [], [], 25),
+    ("rohan_77@ybl settles it; Meera.K@oksbi works as well", ["meera.k@oksbi", "rohan_77@ybl"], [], [], [], 30),
+    ("The landline is dead. Text 07788990011, after six 9988776655.", [], ["7788990011", "9988776655"], ["07788990011"], [], 15),
+    ("Our society keeps its fund in 220033445566, says the treasurer", [], [], ["220033445566"], [], 0),
+    ("Forms lie under https://parcel-login.club/f?i=3 and t.co/k2k2", [], [], [], ["https://parcel-login.club/f?i=3", "t.co/k2k2"], 40),
+    ("That reward expires tonight", [], [], [], [], 10),
     ("mail b@gmail.com or Z@PAYTM", ["z@paytm"], [], [], [], 35),
     ("", [], [], [], [], 0),
 ]

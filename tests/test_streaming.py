@@ -169,11 +169,12 @@ def test_last_readable_poll_is_the_feed(spark, tmp_path):
     poll = lambda *rows: spark.createDataFrame(list(rows), "polled_at long, payload string")
     handler = ST.feed_batch(root)
     current = lambda: [r["url"] for r in ST.current_feed(spark.read.parquet(f"{root}/polls")).collect()]
-    handler(poll((1, '{"urls": [{"url": "http://a"}, {"url": "http://b"}]}'), (2, '{"urls": [{"url": "http://c"}]}')), 0)
+    handler(poll((1000, '{"urls": [{"url": "http://a"}, {"url": "http://b"}]}'), (1200, '{"urls": [{"url": "http://fresh"}]}'), (1300, '{"urls": [{"url": "http://c"}]}')), 0)
     assert current() == ["http://c"]
-    handler(poll((3, "<html>"), (4, None)), 1)
-    assert current() == ["http://c"]
-    handler(poll((5, '{"urls": []}')), 2)
+    for _ in range(2):  # a replay
+        handler(poll((1599, '{"urls": [{"url": "http://fresh"}]}'), (1700, "<html>"), (1800, None)), 1)
+        assert current() == ["http://c"]
+    handler(poll((1900, '{"urls": []}'), (2000, '{"urls": [{"url": "http://fresh"}]}')), 2)
     assert current() == []
 
 
