@@ -34,7 +34,7 @@ _MULTIPLY = np.uint32(2654435761)
 def _letters() -> np.ndarray:
     """Of every code point: its lower-case letter, or a space."""
     out = np.full(0x110000, 32, dtype=np.uint32)
-    for c in range(0x30000):
+    for c in range(0x40000):  # no letters beyond
         if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
             low = chr(c).lower()
             out[c] = ord(low) if len(low) == 1 else c
@@ -142,6 +142,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], alpha: float = 2.0, be
     return Model(languages, w[:WIDTH] * idf[:, None], w[WIDTH], float(grid[int(np.argmin(loss))]))
 
 
+def column_size(column: pa.ChunkedArray, i: int) -> int:
+    return column[i].as_buffer().size
+
+
 def training_rows(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[np.ndarray, np.ndarray, str]]:
     """A bounded sample of (doc_id, text, lang): at most ``per_language`` rows of each of the languages, by hash order.
 
@@ -159,11 +163,13 @@ def training_rows(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             counted = [term_counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"lang": pdf["lang"], "place": pdf["place"], "ids": [c[0].astype(np.int32) for c in counted], "n": [c[1].astype(np.int32) for c in counted]})
+            yield pd.DataFrame({"lang": pdf["lang"], "place": pdf["place"], "ids": [c[0].astype(np.int32).tobytes() for c in counted], "n": [c[1].astype(np.int32).tobytes() for c in counted]})
 
-    rows = some.mapInPandas(count, "lang string, place double, ids array<int>, n array<int>").toPandas().sort_values(["lang", "place"])
-    rows = rows.groupby("lang").head(per_language)
-    return [(np.asarray(i, dtype=np.int64), np.asarray(n, dtype=np.float64), v) for i, n, v in zip(rows["ids"], rows["n"], rows["lang"], strict=True) if len(i)]
+    rows = some.mapInPandas(count, "lang string, place double, ids binary, n binary").toArrow()  # bytes stay where Arrow put them; the rows are views
+    chosen = rows.select(["lang", "place"]).to_pandas().sort_values(["lang", "place"], kind="stable").groupby("lang").head(per_language)
+    ids, n = rows["ids"], rows["n"]
+    view = lambda column, i: np.frombuffer(column[i].as_buffer(), dtype=np.int32)
+    return [(view(ids, i), view(n, i), v) for i, v in zip(chosen.index.tolist(), chosen["lang"], strict=True) if column_size(ids, i)]
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:

@@ -104,3 +104,8 @@ def test_language_weights_are_sparse_and_calibrated():
     rows = [(np.array([1, 2, 3 + i % 5]), np.array([3.0, 1.0, 1.0]), "a") for i in range(40)] + [(np.array([2, 10, 11 + i % 5]), np.array([1.0, 3.0, 1.0]), "b") for i in range(40)]
     model = langid.train(rows)
     assert model.languages == ["a", "b"] and (model.weights != 0).mean() < 0.01 and 0.05 <= model.temperature <= 20
+
+
+def test_letters_of_all_planes():
+    table = langid.letters()
+    assert table[0x30000] == 0x30000 and table[0x20000] == 0x20000 and table[ord("Ä")] == ord("ä") and table[ord("7")] == 32 and table[0x1F600] == 32
