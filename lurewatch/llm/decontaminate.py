@@ -3,17 +3,19 @@
 An item of n words is found in a document if some run of its words, n - k to n + k long, is within edit distance
 k = floor((1 - similarity) * n) of the item, counted in words (white space and punctuation aside, case folded).
 
-1. A run that close to an item keeps at least n - 1 - 2k of its word pairs, each moved by at most k words. Pairs that
-   documents share with an item vote for (item, start), and only starts with enough votes within k words go on. This loses
-   nothing: the start of every such run is among them.
-2. Word edit distance from each start to every end is computed for all of them (``nearest``). Items of one word are looked up.
+1. Windows: a run that close to an item keeps at least n - 1 - 2k of its word pairs, each moved by at most k words. Pairs
+   that documents share with an item vote for (item, start); starts with enough votes within k words are the windows to
+   compare, each of n + k words. This loses nothing.
+2. Candidates: a CGK walk copies the current word at each step and moves on by a coin that depends on step and word, so
+   that edit distance becomes Hamming distance. Bit sampling hashes a few steps of the walk to a key; a document and an item
+   go on if a window shares a key with the item. Walks are repeated, and pairs that have met leave, until ``WALKS`` are
+   done. Walks run on into the text after a window, so runs longer or shorter than the item are walked alike.
+3. Exact word edit distance from every start of a met pair to every end, the least of which is returned.
+
+Only step 2 can lose a copy. Its recall against ``nearest``, which skips it and is exact, is tested: at least 0.97 of pairs
+with as many edits as are allowed, all of the copies without an edit. Items of one word are looked up.
 
 Characters of scripts that are written without spaces (Chinese, Japanese, Thai and the like) count as words of their own.
-
-``search`` is the narrower form with CGK embedding: only windows of exactly n words (which may run over the end), and of
-those the ones that share a key of bit-sampled random walks with an item. A walk copies the current word at each of 3n
-steps and moves on by a coin that depends on step and word, so that edit distance becomes Hamming distance. It can miss
-near copies; ``contaminated`` does not use it.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ from lurewatch.llm import text as T
 SIMILARITY = 0.8
 #: Items with fewer words are not searched unless a caller asks for them (the queries do: ``least_words`` = 1).
 LEAST_WORDS = 5
-WALKS, SAMPLES, SAMPLED_STEPS = 8, 16, 4
+#: Walks at most, keys per walk, steps that a key is made of, and the share of an item's words that keys look at (a walk
+#: takes about two steps a word).
+WALKS, SAMPLES, SAMPLED_STEPS, LOOKED_AT = 24, 16, 3, 0.75
 #: Items that are sought in one pass over the documents; more take more passes.
 ITEMS_PER_PASS = 20_000
 _FILTER_BITS = 20
@@ -73,13 +77,18 @@ def _pairs(w: np.ndarray) -> np.ndarray:
     return T.mix(w[:-1] * np.uint64(T.BASE) + w[1:])
 
 
-def walk(rows: np.ndarray, seed: int) -> np.ndarray:
-    """CGK embedding of rows of n words: 3n copied words each, 0 once a walk has left its row."""
+def walked_steps(n: int) -> int:
+    """Steps of the walk from an item of n words that keys are sampled from."""
+    return max(1, int(2 * LOOKED_AT * n))
+
+
+def walk(rows: np.ndarray, seed: int, steps: int) -> np.ndarray:
+    """CGK embedding of rows of words: the words copied at ``steps`` steps, ``_END`` once a walk has left its row."""
     count, n = rows.shape
-    at, out = np.zeros(count, dtype=np.int64), np.zeros((count, 3 * n), dtype=np.uint64)
-    padded = np.hstack([rows, np.zeros((count, 1), dtype=np.uint64)])
+    at, out = np.zeros(count, dtype=np.int64), np.zeros((count, steps), dtype=np.uint64)
+    padded = np.hstack([rows, np.full((count, 1), _END)])
     line = np.arange(count)
-    for step in range(3 * n):
+    for step in range(steps):
         word = padded[line, at]
         out[:, step] = word
         coin = T.mix(word + np.uint64((seed * 4096 + step) * T.BASE & (1 << 64) - 1)) >> np.uint64(63)
@@ -87,16 +96,13 @@ def walk(rows: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def keys(rows: np.ndarray, walks: int, samples: int, steps: int) -> Iterator[np.ndarray]:
-    """One array of keys of the rows per walk and sample."""
-    n = rows.shape[1]
-    for w in range(walks):
-        embedded, random = walk(rows, w), np.random.default_rng([w, n])
-        for _ in range(samples):
-            key = np.zeros(len(rows), dtype=np.uint64)
-            for step in random.integers(0, 3 * n, steps):
-                key = T.mix(key + embedded[:, step])
-            yield key
+def keys(rows: np.ndarray, n: int, number: int, samples: int = SAMPLES, sampled: int = SAMPLED_STEPS) -> np.ndarray:
+    """Keys (rows x samples) of walk ``number`` for items of n words and for windows that are compared with them."""
+    embedded, random = walk(rows, number, walked_steps(n)), np.random.default_rng([number, n])
+    key = np.zeros((len(rows), samples), dtype=np.uint64)
+    for chosen in random.integers(0, walked_steps(n), (sampled, samples)):
+        key = T.mix(key + embedded[:, chosen])
+    return key
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,11 +131,11 @@ def free_end_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Group:
-    """Items of one number of words, with their keys per walk and sample, sorted."""
+    """Items of one number of words: their words, numbers and keys, one array of keys per walk."""
 
     rows: np.ndarray
     items: np.ndarray
-    keys: list[tuple[np.ndarray, np.ndarray]]
+    keys: list[np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -146,8 +152,7 @@ class Index:
     may: np.ndarray
 
 
-def build_index(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, walks: int = WALKS, samples: int = SAMPLES, steps: int = SAMPLED_STEPS,
-                least_words: int = LEAST_WORDS) -> Index:
+def build_index(items: list[tuple[int, str | None]], similarity: float = SIMILARITY, walks: int = WALKS, least_words: int = LEAST_WORDS) -> Index:
     known = []
     for item, text in items:
         body = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -160,11 +165,7 @@ def build_index(items: list[tuple[int, str | None]], similarity: float = SIMILAR
     for n in np.unique(sizes):
         mine = np.flatnonzero(sizes == n)
         rows = np.array([known[i][1] for i in mine])
-        ordered = []
-        for key in keys(rows, walks, samples, steps):
-            turn = np.argsort(key, kind="stable")
-            ordered.append((key[turn], turn))
-        groups[int(n)] = Group(rows, mine, ordered)
+        groups[int(n)] = Group(rows, mine, [keys(rows, int(n), number) for number in range(walks if n > 1 else 0)])
     pairs = np.concatenate([_pairs(w) for _, w in known] or [np.zeros(0, dtype=np.uint64)])
     item = np.repeat(np.arange(len(known)), np.maximum(sizes - 1, 0))
     at = np.concatenate([np.arange(len(w) - 1) for _, w in known] or [np.zeros(0, dtype=np.int64)])
@@ -231,56 +232,43 @@ def _single(index: Index, w: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray,
     return np.repeat(row, many), group.items[turn[_spread(low[at], many)]], np.repeat(at - begin[row], many)
 
 
-def _met(group: Group, rows: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
-    """Distinct (window * items + item of the group) that share a key."""
-    found, size = [np.zeros(0, dtype=np.int64)], len(group.items)
-    for key, (ordered, turn) in zip(keys(rows, *shape), group.keys, strict=True):
-        lo, hi = np.searchsorted(ordered, key, side="left"), np.searchsorted(ordered, key, side="right")
-        some = np.flatnonzero(hi > lo)
-        many = (hi - lo)[some]
-        found.append(np.repeat(some, many) * size + turn[_spread(lo[some], many)])
-    return np.unique(np.concatenate(found))
+def _met(group: Group, pair: np.ndarray, place: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which windows belong to a pair (document, item) of which some window shares a key with the item.
 
+    ``pair`` numbers the windows' pairs from 0 on, ``place`` is the item in its group, ``text`` the windows' words.
+    """
+    met = np.zeros(int(pair.max()) + 1 if len(pair) else 0, dtype=bool)
+    n = group.rows.shape[1]
+    for number, of_items in enumerate(group.keys):
+        left = np.flatnonzero(~met[pair])
+        if not len(left):
+            break
+        same = (keys(text[left], n, number) == of_items[place[left]]).any(axis=1)
+        met[pair[left[same]]] = True
+    return met[pair]
 
-def search(index: Index, data: np.ndarray, offsets: np.ndarray, walks: int = WALKS, samples: int = SAMPLES, steps: int = SAMPLED_STEPS) -> list[tuple[int, int, int, int, int]]:
-    """(row, item_id, distance, first word, words) of the nearest window of each item found in a row."""
-    windows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-    for i, j in T.steps(offsets) if len(index.ids) else ():
-        w, counts = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        row, item, first = _starts(index, w, counts)
-        begin = np.concatenate([[0], np.cumsum(counts)])
-        for n in np.unique(index.sizes[item]):
-            mine = np.flatnonzero(index.sizes[item] == n)
-            r, f = np.divmod(np.unique(row[mine] * (len(w) + 1) + first[mine]), len(w) + 1)
-            at = f[:, None] + np.arange(n)
-            text = np.where(at < counts[r][:, None], w[np.minimum(begin[r][:, None] + at, len(w) - 1)], _END)
-            windows.setdefault(int(n), []).append((r + i, f, text))
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for n, parts in windows.items():
-        group = index.groups[n]
-        row, first, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-        for i in range(0, len(row), 20_000):
-            met = _met(group, text[i : i + 20_000], (walks, samples, steps))
-            at, item = i + met // len(group.items), met % len(group.items)
-            for k in range(0, len(met), 20_000):
-                a, b = at[k : k + 20_000], item[k : k + 20_000]
-                d = distances(text[a], group.rows[b])
-                close = d <= index.allowed[group.items[b]]
-                for r, f, q, dist in zip(row[a[close]].tolist(), first[a[close]].tolist(), b[close].tolist(), d[close].tolist(), strict=True):
-                    key, best = (r, int(index.ids[group.items[q]])), (dist, f, n)
-                    if key not in found or best < found[key]:
-                        found[key] = best
-    return [(r, item, *best) for (r, item), best in sorted(found.items())]
+
+def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(row, item_id, distance, first word, words) of the nearest run of words of each item found in a row, by CGK keys."""
+    return _search(index, data, offsets, True)
 
 
 def nearest(index: Index, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(row, item_id, distance, first word, words) of the nearest run of words of each item found in a row; misses none."""
+    """What ``search`` returns, from all windows whether they share a key or not; misses none."""
+    return _search(index, data, offsets, False)
+
+
+def _search(index: Index, data: np.ndarray, offsets: np.ndarray, by_keys: bool) -> list[tuple[int, int, int, int, int]]:
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
 
     def settle(n: int) -> None:
         row, item, first, text = (np.concatenate(x) for x in zip(*waiting.pop(n), strict=True))
         group = index.groups[n]
+        if by_keys:
+            _, pair = np.unique(row * len(index.ids) + item, return_inverse=True)
+            keep = _met(group, pair, np.searchsorted(group.items, item), text)
+            row, item, first, text = row[keep], item[keep], first[keep], text[keep]
         for i in range(0, len(row), 20_000):
             r, q, f = row[i : i + 20_000], item[i : i + 20_000], first[i : i + 20_000]
             d = free_end_distances(group.rows[np.searchsorted(group.items, q)], text[i : i + 20_000])
@@ -327,13 +315,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     out = spark.createDataFrame([], schema)
     for number in range(passes):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == number).collect() if passes > 1 else items.collect()
-        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in sorted(some)], similarity, walks=0, least_words=least_words))
+        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in sorted(some)], similarity, least_words=least_words))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = T.buffers(batch.column(1))
                 ids = batch.column(0).to_pylist()
-                rows = nearest(index.value, data, offsets)
+                rows = search(index.value, data, offsets)
                 if rows:
                     r, item, d, first, n = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays(

@@ -14,41 +14,6 @@ def encoded(texts):
     return np.frombuffer(data, dtype=np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
 
 
-def nearest(texts, items):
-    """(row, item) -> least word edit distance of a window, for windows near enough, by trying all."""
-    out = {}
-    for i, item in items:
-        want = decontaminate.words(*encoded([item]))[0]
-        n, k = len(want), int(0.2 * len(want) + 1e-9)
-        for r, t in enumerate(texts):
-            have = np.append(decontaminate.words(*encoded([t]))[0], np.full(k, 1, dtype=np.uint64))
-            if n >= decontaminate.LEAST_WORDS and len(have) >= n:
-                windows = np.lib.stride_tricks.sliding_window_view(have, n)
-                d = int(decontaminate.distances(windows, np.tile(want, (len(windows), 1))).min())
-                if d <= k:
-                    out[r, i] = d
-    return out
-
-
-def test_decontamination_recall_against_all_windows():
-    rng = np.random.default_rng(4)
-    vocabulary = np.array(["".join(rng.choice(list("abcdefg"), rng.integers(2, 6))) for _ in range(400)])
-    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(5, 50)))) for i in range(40)]
-    texts = []
-    for k in range(160):
-        words = items[k % 40][1].split()
-        for _ in range(int(rng.integers(0, 0.25 * len(words) + 1))):
-            at, new = int(rng.integers(len(words))), str(rng.choice(vocabulary))
-            kind = rng.integers(3)
-            words[at : at + (kind != 1)] = [] if kind == 0 else [new]
-        texts.append(" ".join([*rng.choice(vocabulary, rng.integers(0, 200)), *words, *rng.choice(vocabulary, rng.integers(0, 200))]))
-    want = nearest(texts, items)
-    got = {(r, i): d for r, i, d, _, _ in decontaminate.search(decontaminate.build_index(items), *encoded(texts))}
-    assert set(got) <= set(want) and len(got) >= 0.97 * len(want) and len(want) > 100
-    assert all(got[k] == 0 for k in want if want[k] == 0)
-    assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
-
-
 def nearest_runs(texts, items):
     """(row, item) -> least word edit distance of any run of words, by the whole table of distances with both ends free."""
     out = {}
@@ -67,6 +32,34 @@ def nearest_runs(texts, items):
     return out
 
 
+@pytest.mark.parametrize("place", ["anywhere", "first half"])
+def test_recall_of_walks_against_all_runs(place):
+    """Items of 2 to 60 words with as many edits as are allowed, of one kind or mixed, spread or in one half."""
+    rng = np.random.default_rng(4)
+    vocabulary = np.array(["".join(rng.choice(list("abcdefg"), rng.integers(2, 6))) for _ in range(400)])
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(2, 60)))) for i in range(40)]
+    texts = []
+    for k in range(160):
+        words, kinds = items[k % 40][1].split(), [(0,), (1,), (2,), (0, 1, 2)][k // 40]
+        for _ in range(int(0.2 * len(words) + 1e-9)):
+            at, new = int(rng.integers(len(words) if place == "anywhere" else (len(words) + 1) // 2)), str(rng.choice(vocabulary))
+            kind = rng.choice(kinds)
+            words[at : at + (kind != 1)] = [] if kind == 0 else [new]
+        texts.append(" ".join([*rng.choice(vocabulary, rng.integers(0, 60)), *words, *rng.choice(vocabulary, rng.integers(0, 60))]))
+    want = nearest_runs(texts, items)
+    got = {(r, i): d for r, i, d, _, _ in decontaminate.search(decontaminate.build_index(items, least_words=1), *encoded(texts))}
+    assert set(got) <= set(want) and len(want) >= 150 and len(got) >= 0.97 * len(want)
+    assert all(got[k] == 0 for k in want if want[k] == 0)
+    assert sum(got[k] == want[k] for k in got) >= 0.97 * len(got)
+
+
+def test_walks_decide():
+    """A pair without a common key is not compared: without walks only items of one word are found."""
+    index = decontaminate.build_index([(1, "one two three four five six"), (2, "seven")], walks=0, least_words=1)
+    texts = encoded(["one two three four five six seven"])
+    assert [r[1] for r in decontaminate.search(index, *texts)] == [2] and [r[1] for r in decontaminate.nearest(index, *texts)] == [1, 2]
+
+
 def test_runs_of_other_lengths_are_found():
     item = [f"w{i}" for i in range(40)]
     around = [f"x{i}" for i in range(60)]
@@ -111,7 +104,7 @@ def test_short_items_are_found_exactly(spark, docs_of, tmp_path):
     assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in rows) == [
         (0, 1, 0), (0, 7, 0), (1, 1, 0), (1, 2, 0), (1, 7, 0), (2, 3, 0), (4, 4, 0), (4, 8, 0), (5, 4, 0), (6, 5, 0)]
     left = corpus_pipeline.without_benchmark(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
-    assert sorted(r["doc_id"] for r in left.collect()) == [3, 7, 8]
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 1, 2, 3, 4, 5, 7, 8]  # items under five words are reported, but take no document out
 
 
 def test_characters_of_unspaced_scripts_are_words():
@@ -270,7 +263,7 @@ def test_pipeline(spark, sf):
     assert all(r["n_chars"] == len(r["text"]) and len(r["text"]) <= len(docs[r["doc_id"]]["text"]) for r in rows)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     data, offsets = encoded([r["text"] for r in rows])
-    assert decontaminate.search(decontaminate.build_index(items), data, offsets) == []
+    assert decontaminate.nearest(decontaminate.build_index(items), data, offsets) == []
     assert len({(r["slot"], r["place"]) for r in rows}) == len(rows)
 
 
