@@ -38,9 +38,12 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, or nearly, go."""
+    """Documents that hold a benchmark item of at least ``decontaminate.LEAST_WORDS`` words, or nearly, go.
+
+    Shorter items are phrases that clean documents use too; op6 reports them.
+    """
     benchmark = spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
-    found = stored(decontaminate.contaminated(docs, benchmark, least_words=1).select("doc_id").distinct(), "contaminated")
+    found = stored(decontaminate.contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
 
