@@ -6,9 +6,9 @@ deadline first then keeps every source within one block of its share at every sl
 starts over (``epoch``); the schedule is as long as the source takes that needs most slots to be used once,
 so every document is placed at least once.
 
-Weights count as they are given, as whole parts of their common denominator, over the whole schedule. The driver walks
-the schedule once and keeps how many blocks of each source are placed at some slots; tasks walk and write the slots
-from there side by side.
+Weights count as they are given, as whole parts of their common denominator, over the whole schedule. No one walks the
+whole of it: tasks take ranges of slots and settle by themselves how many blocks of each source are placed at both ends
+(``placed``), so that neighbours agree and neither the driver nor a task does more for a longer schedule.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Mapping, Sequence
 from fractions import Fraction
+from itertools import islice
 from math import gcd, lcm
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 #: Rounded weights are parts of at least this many, and of sixteen for each source.
 LEAST_PARTS = 1 << 14
-#: Slots that a task writes at least, and tasks at most.
+#: Slots of a range at least, and ranges at most.
 TASK_SLOTS, MAX_TASKS = 1 << 14, 1 << 10
 BLOCK_DOCS = 64
 #: Documents that one task orders at once, on average.
@@ -61,23 +62,65 @@ def exact_parts(weights: Mapping[str, float]) -> dict[str, int]:
     return {n: p // common for n, p in parts.items()}
 
 
-def walk(parts: Sequence[int], slots: int, first: int = 0, done: Sequence[int] | None = None) -> Iterator[tuple[int, int]]:
+def placed(parts: Sequence[int], t: int) -> list[int]:
+    """Blocks of each source that are placed before slot ``t``, such that all deadlines on both sides of t can be met.
+
+    A source has floor(t w) blocks before t for certain; of the blocks whose window holds t, as many are placed as
+    there are slots left. Blocks due within L slots beyond those that fit into them must be placed (for each L); from the
+    ones that this leaves to choose, those with the earliest release are taken, as they crowd the slots before t least.
+    Some choice exists, since Pfair schedules do, and this one is as good as any. The work is that of the slots up to
+    the last deadline looked at, whatever t is.
+    """
+    total = sum(parts)
+    done = [t * p // total for p in parts]
+    left = t - sum(done)
+    cut = {k for k, p in enumerate(parts) if t * p % total}
+    due = [(-(-(done[k] + 1) * total // p), k, done[k]) for k, p in enumerate(parts)]
+    heapq.heapify(due)
+    waiting: list[tuple[int, int]] = []
+    passed, unseen = 0, len(cut)
+    while left:
+        if unseen:
+            until = due[0][0]
+            while due[0][0] == until:
+                _, k, j = due[0]
+                heapq.heapreplace(due, (-(-(j + 2) * total // parts[k]), k, j + 1))
+                passed += 1
+                if k in cut:
+                    cut.discard(k)
+                    unseen -= 1
+                    heapq.heappush(waiting, (done[k] * total // parts[k], k))
+        else:
+            until = t - left  # all are known: what is left is free to choose
+        while passed > until - t and left and waiting:
+            done[heapq.heappop(waiting)[1]] += 1
+            left, passed = left - 1, passed - 1
+    return done
+
+
+def walk(parts: Sequence[int], slots: int, first: int = 0) -> Iterator[tuple[int, int]]:
     """(source number, block number) of ``slots`` slots from ``first`` on, earliest deadline first; ties go to the first source.
 
-    ``done`` are the blocks of each source that this schedule places before ``first``.
+    Blocks that ``placed`` has before ``first`` or after the last slot are left to the ranges there.
     """
-    total, done = sum(parts), list(done or [0] * len(parts))
+    total, last = sum(parts), first + slots
+    done, end = placed(parts, first), placed(parts, last)
     ready: list[tuple[int, int]] = []
     released: dict[int, list[int]] = {}
-    for k, j in enumerate(done):
-        released.setdefault(max(first, j * total // parts[k]), []).append(k)
-    for t in range(first, first + slots):
+
+    def wait(k: int, earliest: int) -> None:
+        if done[k] < end[k]:
+            released.setdefault(max(earliest, done[k] * total // parts[k]), []).append(k)
+
+    for k in range(len(parts)):
+        wait(k, first)
+    for t in range(first, last):
         for k in released.pop(t, ()):
-            heapq.heappush(ready, (-(-(done[k] + 1) * total // parts[k]), k))
+            heapq.heappush(ready, (min(last, -(-(done[k] + 1) * total // parts[k])), k))
         _, k = heapq.heappop(ready)
         yield k, done[k]
         done[k] += 1
-        released.setdefault(max(t + 1, done[k] * total // parts[k]), []).append(k)
+        wait(k, t + 1)
 
 
 def period(parts: list[int]) -> list[tuple[int, int]]:
@@ -85,14 +128,9 @@ def period(parts: list[int]) -> list[tuple[int, int]]:
     return list(walk(parts, sum(parts)))
 
 
-def starts(parts: Sequence[int], slots: int, size: int) -> list[list[int]]:
-    """Blocks of each source placed before slots 0, size, 2 size, ..."""
-    done, out = [0] * len(parts), []
-    for t, (k, _) in enumerate(walk(parts, slots)):
-        if t % size == 0:
-            out.append(done.copy())
-        done[k] += 1
-    return out
+def range_slots(parts: Sequence[int], slots: int) -> int:
+    """Slots of one range: long enough that finding its ends costs no more than walking it twice."""
+    return max(TASK_SLOTS, -(-slots // MAX_TASKS), min(slots, -(-sum(parts) // min(parts))))
 
 
 def blocks(docs: DataFrame, sizes: Mapping[str, int], block_docs: int, group_docs: int) -> DataFrame:
@@ -138,16 +176,16 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs:
     counts = [-(-sizes[n] // block_docs) for n in names]
     total = sum(parts)
     slots = max(-(-c * total // p) for c, p in zip(counts, parts, strict=True))
-    size = max(TASK_SLOTS, -(-slots // MAX_TASKS))
-    ranges = spark.createDataFrame([(t * size, done) for t, done in enumerate(starts(parts, slots, size))], "first long, done array<long>")
+    size = range_slots(parts, slots)
+    ranges = spark.range(0, slots, size, -(-slots // size))
     count, name = np.array(counts), np.array(names, dtype=object)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for first, done in zip(pdf["first"], pdf["done"], strict=True):
-                here = np.array(list(walk(parts, min(size, slots - int(first)), int(first), done.tolist())), dtype=np.int64)
-                source, block = here[:, 0], here[:, 1]
-                yield pd.DataFrame({"slot": np.arange(len(here)) + int(first), "source": name[source], "block": block % count[source], "epoch": block // count[source]})
+        for first in (int(x) for pdf in batches for x in pdf["id"]):
+            turns = walk(parts, min(size, slots - first), first)
+            for at in range(first, min(first + size, slots), TASK_SLOTS):
+                source, block = np.array(list(islice(turns, TASK_SLOTS)), dtype=np.int64).T
+                yield pd.DataFrame({"slot": np.arange(len(source)) + at, "source": name[source], "block": block % count[source], "epoch": block // count[source]})
 
-    scheduled = ranges.repartition(-(-slots // size)).mapInPandas(run, schema)
+    scheduled = ranges.mapInPandas(run, schema)
     return blocks(docs, sizes, block_docs, group_docs).join(scheduled, ["source", "block"]).select("slot", "place", "source", "block", "epoch", "doc_id")

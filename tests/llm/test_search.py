@@ -188,16 +188,39 @@ def test_long_schedules_keep_to_the_given_weights():
         parts = list(mixing.exact_parts({f"s{i}": w for i, w in enumerate(weights)}).values())
         total, slots, done = sum(parts), 300_000, [0] * len(parts)
         assert all(abs(p / total - w / sum(weights)) < 1e-12 * w for p, w in zip(parts, weights, strict=True))
-        tails = mixing.starts(parts, slots, 50_000)
-        pieces = [x for n, d in enumerate(tails) for x in mixing.walk(parts, 50_000, n * 50_000, d)]
-        for t, (k, j) in enumerate(mixing.walk(parts, slots), 1):
-            assert pieces[t - 1] == (k, j) and j == done[k]
+        pieces = [x for n in range(6) for x in mixing.walk(parts, 50_000, n * 50_000)]
+        for t, (k, j) in enumerate(pieces, 1):
+            assert j == done[k]
             done[k] += 1
             if t % 997 == 0:
                 assert all(abs(d * total - p * t) < total for d, p in zip(done, parts, strict=True))
         assert done[0] == -(-slots * parts[0] // total) or done[0] == slots * parts[0] // total
 
 
+@pytest.mark.parametrize("weights", [[0.41, 0.13, 0.13, 0.13, *[0.01] * 20], [1.0, 1.0, 1.0], [5.0], [0.9, *[0.004] * 25], [i ** 0.7 for i in range(1, 40)]])
+def test_ranges_meet_and_keep_all_windows(weights):
+    """Wherever the schedule is cut, ranges agree on what is placed and every block lies between release and deadline."""
+    parts = list(mixing.exact_parts({f"s{i}": w for i, w in enumerate(weights)}).values())
+    total = sum(parts)
+    for first, size in ((0, 1), (0, 7), (10**9 + 3, 11), (10**12, 400)):
+        done = mixing.placed(parts, first)
+        assert sum(done) == first
+        for a in range(first, first + 800, size):
+            for t, (k, j) in enumerate(mixing.walk(parts, size, a), a):
+                assert j == done[k] and j * total // parts[k] <= t < -(-(j + 1) * total // parts[k])
+                done[k] += 1
+            assert done == mixing.placed(parts, a + size)
+
+
+def test_very_long_schedules_are_cut_at_once():
+    parts = list(mixing.exact_parts({"rare": 0.00001, "some": 0.3, "often": 0.69999}).values())
+    size = mixing.range_slots(parts, 10**9)
+    assert size <= 10**6
+    for a in (0, 500 * size, 1000 * size):
+        assert sum(mixing.placed(parts, a)) == a
+        assert next(mixing.walk(parts, 1, a))[0] in (0, 1, 2)
+
+
 def test_mix_keeps_a_small_weight(docs_of):
     docs = docs_of([(i, "t", None, "rare" if i < 2 else "often") for i in range(40)])
     rows = mixing.mix(docs, {"rare": 0.00001, "often": 0.99999}, block_docs=1).groupBy("source").count().collect()
