@@ -110,7 +110,7 @@ def reputation(sightings: DataFrame, alpha: float = EMA_ALPHA) -> DataFrame:
     the distance from the latest sighting, so it combines before the shuffle.
     """
     keep = 1 - alpha
-    latest_first = ranked(sightings, ["domain"], [F.desc("ts"), F.desc("seq")], "distance")
+    latest_first = ranked(sightings, ["domain"], ["ts", "seq"], "distance", descending=True)
     agg = latest_first.groupBy("domain").agg(
         F.sum(alpha * F.pow(F.lit(keep), F.col("distance") - 1) * F.col("lexical_score")).alias("__s"),
         F.min_by("lexical_score", F.struct("ts", "seq")).alias("__first"), F.count(F.lit(1)).alias("sightings"),

@@ -118,7 +118,7 @@ def repeated_replies(turns: DataFrame, threshold: float = 0.75, memory: int = 5)
 def least_similar(turns: DataFrame, candidates: list[str], memory: int = 5) -> DataFrame:
     """Per session the candidate furthest from the last five replies."""
     replies = turns.filter(F.col("sender") == "agent").select("session_id", "turn", S.clean(F.col("text")).alias("reply"))
-    last = ranked(replies, ["session_id"], [F.desc("turn")], "back").filter(F.col("back") <= memory)
+    last = ranked(replies, ["session_id"], ["turn"], "back", descending=True).filter(F.col("back") <= memory)
     memory_rows = last.groupBy("session_id").agg(F.collect_list("reply").alias("recent"))  # at most ``memory`` values
     options = memory_rows.select("session_id", "recent", F.posexplode(F.lit(candidates)).alias("pos", "candidate"))
     scored = options.withColumn("similarity", S.max_ratio(S.clean(F.col("candidate")), F.col("recent")))

@@ -274,7 +274,7 @@ def reputation_batch(root: str, alpha: float = I.EMA_ALPHA) -> Callable[[DataFra
     def handle(batch: DataFrame, epoch: int) -> None:
         state = KeyedTable(batch.sparkSession, f"{root}/reputation", ("domain",))
         state.maintain(before=epoch)
-        back = ranked(batch, ["domain"], [F.desc("ts"), F.desc("seq")], "distance")
+        back = ranked(batch, ["domain"], ["ts", "seq"], "distance", descending=True)
         delta = cut_lineage(back.groupBy("domain").agg(
             F.count(F.lit(1)).alias("n"), F.sum(alpha * F.pow(keep, F.col("distance") - 1) * F.col("lexical_score")).alias("s"),
             F.min_by("lexical_score", F.struct("ts", "seq")).alias("first_value")))

@@ -13,7 +13,7 @@ from lurewatch.operators import intel as I
 from lurewatch.operators import learning as ML
 from lurewatch.operators import maintenance as M
 from lurewatch.operators import sessions as S
-from lurewatch.operators.ordering import MAX_GROUP_ROWS_KEY, lagged, ranked, running
+from lurewatch.operators.ordering import MAX_GROUP_ROWS_KEY, hot_bounds, lagged, ranked, running
 from lurewatch.sources import readers, sinks
 from lurewatch.sources.keyed import KeyedTable
 
@@ -49,12 +49,39 @@ def test_running(spark, mode):
 
 def test_ranked_descending(spark, mode):
     rows, df = skewed(spark)
-    got = {r["seq"]: r["rn"] for r in ranked(df, ["k"], [F.desc("ts"), F.desc("seq")]).collect()}
+    got = {r["seq"]: r["rn"] for r in ranked(df, ["k"], ["ts", "seq"], descending=True).collect()}
     for k in {r[0] for r in rows}:
         order = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], -r[2]))
         assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
 
 
+def test_hot_null_key_and_null_order(spark, mode):
+    rows = [(None if i % 3 else "cold", None if i == 7 else i // 2, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k string, ts long, seq long")
+    for descending in (False, True):
+        got = {r["seq"]: r["rn"] for r in ranked(df, ["k"], ["ts", "seq"], descending=descending).collect()}
+        for k in (None, "cold"):
+            order = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2]), reverse=descending)
+            assert [got[r[2]] for r in order] == list(range(1, len(order) + 1))
+
+
+def test_only_hot_keys_are_cut_and_evenly(spark):
+    """A key of 30 000 rows among keys of 60 is cut into ranges of about half the limit; nothing else is."""
+    hot, cold = spark.range(30_000).select(F.lit("hot").alias("k"), "id"), spark.range(6_000).select((F.col("id") % 100).cast("string").alias("k"), "id")
+    df = hot.unionByName(cold)
+    assert hot_bounds(df, ["k"], ["id"]) is None
+    spark.conf.set(MAX_GROUP_ROWS_KEY, "2000")
+    try:
+        (bounds,) = hot_bounds(df, ["k"], ["id"]).collect()
+        cuts = [b["id"] for piece in bounds["__bounds"] for b in piece]
+        sizes = [b - a for a, b in zip([0, *cuts], [*cuts, 30_000], strict=True)]
+        assert bounds["__k_k"] == "hot" and sorted(cuts) == cuts and 20 <= len(cuts) <= 40 and max(sizes) <= 2_500
+        out = ranked(df, ["k"], ["id"]).filter("k = 'hot'")
+        assert out.filter("rn = id + 1").count() == 30_000
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS_KEY)
+
+
 def test_lagged_blocks(spark):
     df = spark.range(1, 38).select(F.lit("s").alias("k"), F.col("id").alias("rn"))
     out = lagged(df, ["k"], "rn", {"prev": "rn"}, 5, block=7)
