@@ -178,6 +178,23 @@ def sniff_attachments(spark, sf):
     return d.select("doc_id", R.sniff(body).alias("s")).select("doc_id", "s.mime", "s.kind")
 
 
+@query("s8_attachment_files", f"""
+WITH f AS (SELECT s_suppkey, CASE WHEN s_suppkey = 0 THEN 10485761 ELSE strlen({_HEADS}[(s_suppkey % 11 + 1)::INT]) // 2 + 1 + strlen(s_name) END AS length FROM supplier)
+SELECT s_suppkey, length::BIGINT AS length, CASE WHEN s_suppkey > 0 THEN {_MIMES}[(s_suppkey % 11 + 1)::INT] END AS mime,
+       CASE WHEN s_suppkey > 0 THEN {_TYPES}[(s_suppkey % 11 + 1)::INT] END AS kind,
+       CASE WHEN s_suppkey = 0 THEN 'too_large' WHEN s_suppkey % 11 = 10 THEN 'unsupported_media' END AS rejection FROM f""")
+def attachment_files(spark, sf):
+    """A file for each supplier, of all ten types and of none; one is a byte over the limit."""
+    d = table(spark, sf, "supplier")
+    head = F.unhex(F.try_element_at(F.lit(_HEADS), (F.col("s_suppkey") % 11 + 1).cast("int")))
+    body = F.concat(head, F.encode(F.concat(F.lit("~"), F.col("s_name")), "UTF-8"))
+    body = F.when(F.col("s_suppkey") == 0, F.rpad(body, L.LIMITS["media_bytes"] + 1, F.lit(b"~"))).otherwise(body)
+    folder = scratch_path(spark, "attachments")
+    K.write_files(d.select(F.format_string("supplier %d.bin", "s_suppkey").alias("name"), body.alias("content")), folder)
+    key = F.regexp_extract("path", r"(\d+)\.bin$", 1).cast("long")
+    return R.attachments(spark, folder).select(key.alias("s_suppkey"), "length", "mime", "kind", "rejection")
+
+
 # -- sinks -------------------------------------------------------------------
 
 @query("s9_s10_u4_report_upsert", with_(INVESTIGATIONS_SQL) + "SELECT id AS investigation_id, CASE WHEN risk_score > 50 THEN risk_score + 1000 ELSE risk_score END AS risk_score FROM investigations")

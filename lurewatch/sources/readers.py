@@ -6,6 +6,11 @@ reads files, tables and streams.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,23 @@ from lurewatch.functions.keys import flexible_timestamp
 from lurewatch.functions.text import strip_space
 
 
+#: Leading bytes that tell a file's type.
+HEAD_BYTES = 16
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark lists it."""
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return plain.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(plain).toString()
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system of a path as Spark writes it (special characters as they are) and the path within."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[len("file:") :].lstrip("/")
+    return pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+
+
 def labelled_examples(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """``{purpose, labels, examples: [...]}`` documents to one row per example."""
     doc = spark.read.schema(schemas.LABELLED_DOCUMENT).option("multiLine", multi_line).json(path)
@@ -153,16 +175,30 @@ def sniff(content: Column) -> Column:
     return out
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        heads = []
+        for name in batch.column("path").to_pylist():
+            system, place = file_system(name)
+            with system.open_input_file(place) as file:
+                heads.append(file.read(HEAD_BYTES))
+        yield batch.append_column("head", pa.array(heads, pa.binary()))
+
+
 def attachments(spark: SparkSession, path: str, max_bytes: int = L.LIMITS["media_bytes"], pattern: str = "*") -> DataFrame:
-    """Files with sniffed type; the size limit is checked before any byte is read."""
+    """Files below ``path`` with length and sniffed type; the size limit is checked before any byte is read.
+
+    Of each file within the limit the first ``HEAD_BYTES`` bytes are read and no others, once. Unknown types
+    are ``unsupported_media``; empty files are not listed, as Spark reads none; a file that is gone by the time its bytes are read fails the job.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     meta = files.select("path", "length", "modificationTime")
-    small = files.filter(F.col("length") <= max_bytes).select("path", sniff(F.col("content")).alias("s"))
-    joined = meta.join(small, "path", "left")
-    return joined.select(
-        "path", "length", "s.mime", "s.kind",
-        F.when(F.col("length") > max_bytes, "too_large").when(F.col("s.kind").isNull(), "unsupported_media").alias("rejection"),
-    )
+    read = meta.filter(F.col("length") <= max_bytes).mapInArrow(_heads, meta.schema.add("head", "binary"))
+    known = read.withColumn("s", sniff(F.col("head"))).select(
+        "path", "length", "s.mime", "s.kind", F.when(F.col("s").isNull(), "unsupported_media").alias("rejection"))
+    over = meta.filter(F.col("length") > max_bytes).select(
+        "path", "length", *[F.lit(None).cast("string").alias(c) for c in ("mime", "kind")], F.lit("too_large").alias("rejection"))
+    return known.unionByName(over)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

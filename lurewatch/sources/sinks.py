@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from lurewatch.operators import maintenance as M
 from lurewatch.operators.evidence import session_tables
 from lurewatch.session import cut_lineage
 from lurewatch.sources.keyed import KeyedTable
+from lurewatch.sources.readers import file_system, qualified
 
 EVIDENCE = {"investigations": "id", "messages": "investigation_id", "entities": "investigation_id", "reports": "investigation_id"}
 
@@ -19,6 +23,25 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_files(df: DataFrame, folder: str) -> int:
+    """One file per row (``name``, ``content``) in ``folder``, written by the tasks; a retried task writes the same files again.
+
+    Names are plain and unique. Returns how many rows were written; a null content gives an empty file.
+    """
+    root = qualified(df.sparkSession, folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, place = file_system(root)
+        system.create_dir(place, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                with system.open_output_stream(f"{place}/{name.as_py()}") as file:
+                    file.write(content.as_buffer() if content.is_valid else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return df.select("name", F.col("content").cast("binary")).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def evidence_tables(spark: SparkSession, root: str) -> dict[str, KeyedTable]:
     """The keyed tables of stored evidence below ``root``."""
     return {name: KeyedTable(spark, f"{root.rstrip('/')}/{name}", (key,)) for name, key in EVIDENCE.items()}

@@ -206,6 +206,19 @@ def test_file_sources(spark, tmp_path):
     assert got == {"a.pdf": ("pdf", None), "b.bin": (None, "too_large")}
 
 
+def test_attachment_files_written_and_sniffed(spark, tmp_path):
+    contents = {"a%20 b.png": b"\x89PNG\r\n\x1a\n..", "ü#1.wav": b"RIFF1234WAVE", "short": b"\xff\xd8", "empty": None, "at limit": b"BM" + b"0" * 48, "over": b"BM" + b"0" * 49}
+    folder = str(tmp_path / "in here")
+    for _ in range(2):  # written again, nothing changes
+        assert sinks.write_files(spark.createDataFrame(list(contents.items()), "name string, content binary"), folder) == 6
+    rows = readers.attachments(spark, folder, max_bytes=50).collect()
+    assert {r["path"].rsplit("/", 1)[1]: (r["length"], r["mime"], r["rejection"]) for r in rows} == {
+        "a%20 b.png": (10, "image/png", None), "ü#1.wav": (12, "audio/wav", None), "short": (2, None, "unsupported_media"),
+        "at limit": (50, "image/bmp", None), "over": (51, None, "too_large")}
+    plan = readers.attachments(spark, folder)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+
+
 def test_term_features(spark):
     df = spark.createDataFrame([("Pay now, pay",)], "text string")
     r = df.select(ML.word_terms(F.col("text")).alias("w"), ML.char_terms(F.col("text")).alias("c")).first()
