@@ -23,8 +23,11 @@ WIDTH = 1 << 16
 SIZES = (2, 3)
 #: Labelled rows at most that a model is fitted on, taken by hash order within each language.
 SAMPLE_PER_LANGUAGE = 1500
-#: Languages at most; each adds a column of weights.
-MAX_LANGUAGES = 256
+#: Weights at most, so that a model stays small however many languages there are: beyond 256 languages n-grams share
+#: weights. All languages are learned; more than ``MAX_LANGUAGES`` (the column then is no language) raise an error.
+WEIGHTS, MAX_LANGUAGES = 1 << 24, 1 << 14
+#: Labelled rows at most of all languages together.
+MAX_SAMPLE = 256 * SAMPLE_PER_LANGUAGE
 STEP_CHARS = 1 << 18
 #: Factor of all features: term frequencies are shares, which alone would be small next to the penalties.
 SCALE = 10.0
@@ -98,25 +101,40 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def width_for(languages: int) -> int:
+    """Width of the n-gram space for a number of languages, a power of two."""
+    return min(WIDTH, 1 << (WEIGHTS // max(1, languages)).bit_length() - 1)
+
+
+def folded(ids: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams and counts in a narrower space."""
+    if width == WIDTH:
+        return ids, counts
+    ids, place = np.unique(ids & (width - 1), return_inverse=True)
+    return ids, np.bincount(place, counts)
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, str]], alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.002,
           rounds: int = 4, seed: int = 7) -> Model:
     """Rows (n-gram ids, counts, language) -> model. A fifth of the rows is held back for the temperature."""
     languages = sorted({r[2] for r in rows})
     if not languages:
         return Model([], np.zeros((WIDTH, 0)), np.zeros(0), 1.0)
+    width = width_for(len(languages))
+    rows = [(*folded(ids, counts, width), name) for ids, counts, name in rows]
     number = {v: i for i, v in enumerate(languages)}
-    frequency = np.zeros(WIDTH)
+    frequency = np.zeros(width)
     for ids, _, _ in rows:
         frequency[ids] += 1
     idf = np.log((1 + len(rows)) / (1 + frequency)) + 1
     order = np.random.default_rng(seed).permutation(len(rows))
     held = order[: len(rows) // 5] if len(rows) >= 5 else order
     fit = order[len(rows) // 5 :] if len(rows) >= 5 else order
-    z = np.zeros((WIDTH + 1, len(languages)))
-    n = np.zeros((WIDTH + 1, len(languages)))
+    z = np.zeros((width + 1, len(languages)))
+    n = np.zeros((width + 1, len(languages)))
 
     def vector(row):
-        return np.append(row[0], WIDTH), np.append(idf[row[0]] * row[1] * (SCALE / row[1].sum()), 1.0)
+        return np.append(row[0], width), np.append(idf[row[0]] * row[1] * (SCALE / row[1].sum()), 1.0)
 
     def weights(i):
         shrunk = np.sign(z[i]) * np.maximum(np.abs(z[i]) - l1, 0)
@@ -132,14 +150,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], alpha: float = 2.0, be
             sigma = (np.sqrt(n[ids] + g * g) - np.sqrt(n[ids])) / alpha
             z[ids] += g - sigma * w
             n[ids] += g * g
-    w = weights(np.arange(WIDTH + 1))
+    w = weights(np.arange(width + 1))
     scores = np.array([(lambda v: v[1] @ w[v[0]])(vector(rows[r])) for r in held])
     truth = np.array([number[rows[r][2]] for r in held])
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
     target = np.full(scores.shape, 1 / (len(truth) + 2) / len(languages))  # smoothed, or separable rows would call for a temperature of zero
     target[np.arange(len(truth)), truth] += 1 - 1 / (len(truth) + 2)
     loss = [-(target * np.log(np.maximum(_softmax(scores / t), 1e-300))).sum(axis=1).mean() for t in grid]
-    return Model(languages, w[:WIDTH] * idf[:, None], w[WIDTH], float(grid[int(np.argmin(loss))]))
+    return Model(languages, w[:width] * idf[:, None], w[width], float(grid[int(np.argmin(loss))]))
 
 
 def column_size(column: pa.ChunkedArray, i: int) -> int:
@@ -150,15 +168,19 @@ def training_rows(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE)
     """A bounded sample of (doc_id, text, lang): at most ``per_language`` rows of each of the languages, by hash order.
 
     Counts per language are taken over all rows; the sampling thresholds follow from them, so that only
-    candidates near the bound are ordered. Term counts are made in the tasks.
+    candidates near the bound are ordered. Term counts are made in the tasks. All languages together give at most
+    ``MAX_SAMPLE`` rows, each at least one.
     """
     known = labelled.where("text is not null and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return []
-    share = F.create_map(*(F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, 1.1 * per_language / v))))
+    per_language = max(1, min(per_language, MAX_SAMPLE // len(sizes)))
+    share = known.sparkSession.createDataFrame([(r["lang"], min(1.0, 1.1 * per_language / r["count"])) for r in sizes], "lang string, share double")
     place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(9)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = known.select("text", "lang", place.alias("place")).where(F.col("place") < share[F.col("lang")])
+    some = known.select("text", "lang", place.alias("place")).join(F.broadcast(share), "lang").where("place < share").select("text", "lang", "place")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -197,7 +219,7 @@ def logits(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if not len(row):
                 continue
             heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-            np.add.at(sums, owner[row[heads]], np.add.reduceat(table[gram], heads, axis=0))
+            np.add.at(sums, owner[row[heads]], np.add.reduceat(table[gram & np.uint32(len(table) - 1)], heads, axis=0))
             np.add.at(total, owner[row[heads]], np.diff(np.append(heads, len(row))))
     return SCALE * sums / np.maximum(total, 1)[:, None] + model.bias, total
 
@@ -206,7 +228,8 @@ def predict(docs: DataFrame, model: Model, unknown: str = "und") -> DataFrame:
     """doc_id, lang_pred, score (calibrated probability): one row per row of ``docs``.
 
     ``unknown`` with score 0 for null and empty texts, texts without a letter, and if no language was learned.
-    Ties go to the language that sorts first; other columns are ignored.
+    Ties go to the language that sorts first; other columns are ignored; repeated rows are each returned; no rows, no
+    rows. A text over ``STEP_CHARS`` characters is counted piece by piece, so that the few n-grams over a cut are missed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

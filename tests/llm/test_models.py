@@ -30,6 +30,18 @@ def test_language_of_held_out_documents(spark):
     assert (held["lang_pred"] == docs["lang"][held.index]).mean() > 0.98
 
 
+def test_more_than_256_languages_are_all_learned(docs_of):
+    """Each language has words of its own; beyond 256 languages n-grams share weights, but no language is left out."""
+    rng = np.random.default_rng(3)
+    words = {f"l{i:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(4)] for i in range(270)}
+    free = [d for d in range(3000) if remainder(d, 4) != 2]
+    rows = [(free[i], " ".join(rng.choice(words[name], 12)), name, "a") for i, name in enumerate(n for n in words for _ in range(5))]
+    assert langid.width_for(256) == langid.WIDTH and langid.width_for(270) == langid.WIDTH // 2
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs_of(rows)).collect()}
+    right = {name for d, _, name, _ in rows if got[d] == name}
+    assert len(right) == 270
+
+
 def test_toxicity_of_held_out_documents(spark, labels):
     rows = QUERIES["op5_toxicity"][0](spark, SF).toPandas().set_index("doc_id")
     assert len(rows) == 1000 and rows["score"].between(0, 1).all() and set(rows["predicted"]) <= {0, 1}
