@@ -2,7 +2,8 @@
 
 Alternates the large-star and small-star steps; each is a grouped minimum (combined before
 the shuffle) and a join, and a fixed point is reached when an iteration changes no edge.
-Every iteration is cut with ``checkpoint()`` in the shared folder.
+Every iteration is cut with ``checkpoint()`` in the shared folder, and so are the minima before they are
+joined: a node with very many links is then split like any skewed join key.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ def _signature(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    edges = cut_lineage(edges)
+    low = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(low, "u")
     return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
         low.select("u", F.col("m").alias("v")))

@@ -87,8 +87,8 @@ def remove_repeats(docs: DataFrame, window_words: int = WINDOW_WORDS, gram_words
     # grouped minima are stored before they are joined: a join of two plain exchanges can split a hot key
     shared = stored(found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram"), "shared-grams")
     rows = stored(found.join(shared, "gram"), "word-blocks")
-    contexts = rows.groupBy("gram", "sig").agg(F.min("doc_id").alias("first"))
-    groups = contexts.groupBy("gram").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("gram", F.lit(True).alias("mixed"))
+    contexts = stored(rows.groupBy("gram", "sig").agg(F.min("doc_id").alias("first")), "word-block-firsts")
+    groups = stored(contexts.groupBy("gram").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo < hi").select("gram", F.lit(True).alias("mixed")), "mixed-grams")
     known = stored(contexts.join(groups, "gram", "left"), "word-contexts")
     span = F.col("shape").bitwiseAND(0xFFFF)
     judged = rows.join(known, ["gram", "sig"])
