@@ -26,9 +26,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near-equal SimHash fingerprints, the one with the smallest doc_id stays."""
+    """Of documents with near-equal SimHash fingerprints, the one with the smallest doc_id stays.
+
+    Of rows that repeat a doc_id one stays, the same in every run unless they agree in text, source, lang and n_chars.
+    """
     keep = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(keep.distinct(), "doc_id").dropDuplicates(["doc_id"]).select(docs.columns)
+    near = docs.join(keep.distinct(), "doc_id").select(docs.columns)
+    one = near.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text", "source", "lang", "n_chars")).alias("one"))
+    return one.select("one.*")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
