@@ -82,8 +82,9 @@ def rate_limit(spark, sf):
     return calls.select("caller", "seq", "allowed")
 
 
-def _sessions(spark, sf, label):
-    (snapshots,) = _batches(spark, turns_from(_stream(spark, sf, "conversations")), ST.sessions_batch, label, "snapshots")
+def _sessions(spark, sf, label, conversations=None):
+    conversations = _stream(spark, sf, "conversations") if conversations is None else conversations
+    (snapshots,) = _batches(spark, turns_from(conversations), ST.sessions_batch, label, "snapshots")
     return ST.current_sessions(snapshots)
 
 
@@ -97,6 +98,17 @@ def session_completions(spark, sf):
     return ST.completions(_sessions(spark, sf, "completions"))
 
 
+_LONG_SQL = "long_conversations AS (SELECT conv_id // 12 AS conv_id, conv_id % 12 * 50 + turn AS turn, role, text FROM conversations)"
+_LONG_TURNS = (_LONG_SQL, TO_VALUES[0].replace("FROM conversations", "FROM long_conversations"), *TO_VALUES[1:])
+
+
+@query("t4_long_session_completions", with_(*_LONG_TURNS, PROGRESS_SQL, ROLLUP_SQL) + "SELECT session_id, completed_at AS message_count, completed_score AS intel_score FROM roll WHERE done")
+def long_session_completions(spark, sf):
+    """Twelve conversations on end make a session, long enough for every rule of completion."""
+    c = _stream(spark, sf, "conversations").withColumn("turn", (F.col("conv_id") % 12 * 50 + F.col("turn")).cast("int")).withColumn("conv_id", F.floor(F.col("conv_id") / 12))
+    return ST.completions(_sessions(spark, sf, "long-completions", c))
+
+
 @query("t5_incremental_correlation", with_(*TO_MATCH) + """
 SELECT investigation_id, kind, value, n_prior, epoch_us(first_seen) AS first_seen_us, campaign_id FROM matched""")
 def incremental_correlation(spark, sf):
